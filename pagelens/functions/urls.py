@@ -92,7 +92,7 @@ def resolve(base: str, r: str) -> str:
         f"({', '.join(lit(s) for s in HIERARCHICAL_SCHEMES)}))"
     )
     return (
-        f"case when {r}.url = '' then {base}.url "
+        f"case when {r}.url is null then null when {r}.url = '' then {base}.url "
         f"when {r}.netloc = '' and {foreign} then {r}.url "
         f"when {r}.netloc <> '' then concat(if({r}.scheme <> '', {r}.scheme, {base}.scheme), '://', {r}.netloc, {r}.path, {suffix}) "
         f"when {r}.path = '' then concat({root}, {base}.path, if({r}.query <> '', concat('?', {r}.query), "

@@ -22,13 +22,16 @@ def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], how: str = "left") -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], how: str = "left", hot: DataFrame | None = None
+) -> DataFrame:
     """Join where `left` may be skewed on `on`; `right` rows of hot keys are repeated per salt.
 
     Every left row meets every matching right row exactly once, so the result is that of a plain
-    join. `spread_by` names left columns that differ between rows of one key.
+    join. `spread_by` names left columns that differ between rows of one key. `hot` is a
+    hot_keys() result over a cheaper table with the same skew, where `left` is costly to count.
     """
-    hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast((hot_keys(left, on) if hot is None else hot).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
     salted = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(0)
