@@ -50,7 +50,7 @@ def find_first(text: str, keys: list[str], min_length: int) -> str:
     )
     children = (
         f"filter(transform({inner}, (v, i) -> named_struct('at', concat(n.at, lpad(cast(i as string), 6, '0')), 'text', v)), "
-        "m -> m.text rlike '^[{[]')"
+        "m -> left(m.text, 1) in ('{', '['))"
     )
     level = f"cast(flatten(transform(acc.level, n -> {children})) as {_NODES})"
     descend = (

@@ -63,7 +63,7 @@ TOP_ISSUES = 15
 TOP_CLUSTERS = 20
 MIXED_ROWS = 50
 
-FIRST_SEEN = F.struct("ord", "seq")
+FIRST_SEEN = "struct(ord, seq)"
 
 
 def _count(cond: str, name: str) -> F.Column:
@@ -96,8 +96,8 @@ def issue_clusters_html(issues: DataFrame) -> DataFrame:
     """Per type: severity and advice of the first finding, count, first five affected pages."""
     keys = ["site", "issue_type"]
     per_url = issues.groupBy(*keys, "url").agg(
-        F.count(F.lit(1)).alias("c"), F.min(FIRST_SEEN).alias("first_seen"),
-        F.min_by("severity", FIRST_SEEN).alias("severity"), F.min_by("recommendation", FIRST_SEEN).alias("recommendation"),
+        F.count(F.lit(1)).alias("c"), F.expr(f"min({FIRST_SEEN})").alias("first_seen"),
+        F.expr(f"min_by(severity, {FIRST_SEEN})").alias("severity"), F.expr(f"min_by(recommendation, {FIRST_SEEN})").alias("recommendation"),
     )
     clusters = per_url.groupBy(*keys).agg(
         F.min_by("severity", "first_seen").alias("severity"), F.min_by("recommendation", "first_seen").alias("recommendation"),
@@ -112,8 +112,8 @@ def issue_clusters_pdf(issues: DataFrame) -> DataFrame:
     keys = ["site", "issue_type"]
     clusters = issues.groupBy(*keys).agg(
         F.expr("if(max(severity = 'CRITICAL'), 'CRITICAL', 'WARNING')").alias("severity"),
-        F.count(F.lit(1)).alias("n_issues"), F.min(FIRST_SEEN).alias("first_seen"),
-        F.min_by("description", FIRST_SEEN).alias("sample_description"),
+        F.count(F.lit(1)).alias("n_issues"), F.expr(f"min({FIRST_SEEN})").alias("first_seen"),
+        F.expr(f"min_by(description, {FIRST_SEEN})").alias("sample_description"),
     )
     order = Window.partitionBy("site").orderBy(F.expr("severity <> 'CRITICAL'"), F.desc("n_issues"), "first_seen")
     ranked = clusters.withColumn("rank", F.row_number().over(order)).withColumn("listed", F.col("rank") <= TOP_CLUSTERS)
@@ -291,7 +291,7 @@ def http_error_summary(page: DataFrame, issues: DataFrame) -> DataFrame:
         f"case cast(floor(status_code / 100) as int) {classes} end as severity",
     )
     found = issues.where(f"ord >= 0 and severity in ('CRITICAL', 'WARNING') and issue_type in ({lits(HTTP_ISSUES)})").groupBy("site", "issue_type").agg(
-        F.count(F.lit(1)).alias("amount"), F.min_by("severity", FIRST_SEEN).alias("severity")
+        F.count(F.lit(1)).alias("amount"), F.expr(f"min_by(severity, {FIRST_SEEN})").alias("severity")
     ).withColumnRenamed("issue_type", "http_status")
     return statuses.unionByName(found)
 

@@ -29,17 +29,14 @@ def finding(issue: str, *slots: str, snippet: str = "null", loc: tuple[str, str]
     )
 
 
-def when(cond: str, issue: str, *slots: str, **kw) -> str:
-    return f"if({cond}, {finding(issue, *slots, **kw)}, null)"
+def when(cond: str, issue: str, *slots: str, **kw) -> tuple[str, str, str]:
+    """A rule with at most one finding per page."""
+    return issue, "one", f"if({cond}, {finding(issue, *slots, **kw)}, null)"
 
 
-def each(arr: str, issue: str, *slots: str, **kw) -> str:
-    """One finding per element (x) of an array."""
-    return f"transform({arr}, (x, i) -> {finding(issue, *slots, k='i', **kw)})"
-
-
-def singles(*rules: str) -> str:
-    return f"array_compact(array({', '.join(rules)}))"
+def each(arr: str, issue: str, *slots: str, **kw) -> tuple[str, str, str]:
+    """A rule with one finding per element (x) of an array."""
+    return issue, "many", f"transform({arr}, (x, i) -> {finding(issue, *slots, k='i', **kw)})"
 
 
 def missing_keys(map_col: str, keys: list[str]) -> str:
@@ -64,7 +61,8 @@ LEGACY_FORMAT = "x.format is not null and not x.is_next_gen_format"
 NOT_LAZY = f"not x.is_lazy_loaded and not {present('x.fetchpriority')}"
 
 
-def rule_arrays() -> list[str]:
+def rules() -> list[tuple[str, str, str]]:
+    """(issue type, one|many, expression) of every page rule in evaluation order."""
     title_at = {"snippet": "title_html", "loc": ("title", "1")}
     desc_at = {"snippet": "meta_desc_html", "loc": ("meta", "meta_desc_n")}
     canonical_at = {"snippet": "canonical_html", "loc": ("link", "canonical_n")}
@@ -77,7 +75,7 @@ def rule_arrays() -> list[str]:
     unsafe = count_where("links", f"x.target = '_blank' and {present('x.rel')} and not contains(x.rel, 'noopener')")
     legacy = count_where("images", LEGACY_FORMAT)
     not_lazy = count_where("images", NOT_LAZY)
-    head = singles(
+    head = [
         when("not is_https", "HTTPS Security"),
         when(f"not {has_title}", "Missing Title"),
         when(f"{has_title} and {TITLE_LENGTH} < 10", "Title Too Short", TITLE_LENGTH, **title_at),
@@ -103,10 +101,10 @@ def rule_arrays() -> list[str]:
         when(f"size({MISSING_OG}) > 0", "Missing Open Graph Tags", f"array_join({MISSING_OG}, ', ')"),
         when("not open_graph['og:url'] rlike '^https?://'", "OG URL Invalid", "open_graph['og:url']"),
         when(f"size({MISSING_TWITTER}) > 0", "Missing Twitter Cards", f"array_join({MISSING_TWITTER}, ', ')"),
-    )
+    ]
     missing_props = "array_join(x.required_missing, ', ')"
     block_at = {"snippet": "x.html_snippet"}
-    body = singles(
+    body = [
         when(f"exists(images, x -> {no_size})", "Image Missing Dimensions",
              f"left({first_where('images', no_size)}.src, 80)", snippet=f"{first_where('images', no_size)}.html_snippet"),
         when(f"{legacy} > 0 and {legacy} = {count_where('images', KNOWN_FORMAT)}", "Images Not Next-Gen Format", legacy),
@@ -131,20 +129,29 @@ def rule_arrays() -> list[str]:
         when("not coalesce(total_ms > 3000, false) and ttfb_ms > 1000", "High TTFB", whole("ttfb_ms")),
         when("html_size_bytes > 1048576", "Large Page Size", whole("html_size_bytes / 1024D")),
         when("crawl_depth > 3", "Deep Page Depth", "crawl_depth"),
-    )
+    ]
     return [
-        head,
+        *head,
         each("filter(json_ld, x -> not x.valid)", "Invalid JSON-LD", "x.error", loc=("script", "x.n"), **block_at),
         each("filter(json_ld, x -> x.valid and size(x.required_missing) > 0)", "Schema Missing Required Properties",
              "x.schema_type", missing_props, rec_slots=(missing_props,), **block_at),
         each("filter(images, x -> x.is_missing_alt)", "Missing Alt Text", "left(x.src, 100)", loc=("img", "x.n"), **block_at),
-        body,
+        *body,
     ]
 
 
-def page_issues(page: DataFrame) -> DataFrame:
-    """Findings of the page rules; `seq` orders them within a page as the rules are listed."""
-    found = page.selectExpr("site", "ord", "url", f"explode(concat({', '.join(rule_arrays())})) as f")
+def page_issues(page: DataFrame, only: str | None = None) -> DataFrame:
+    """Findings of the page rules; `seq` orders them within a page as the rules are listed.
+
+    Rules with one finding share an array, the others are arrays of their own, so the projection
+    is a handful of expressions. `only` keeps one rule and evaluates nothing else.
+    """
+    chosen = [r for r in rules() if only in (None, r[0])]
+    ones = [e for _, kind, e in chosen if kind == "one"]
+    arrays = [f"array_compact(array({', '.join(ones)}))"] if ones else []
+    arrays += [e for _, kind, e in chosen if kind == "many"]
+    merged = arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
+    found = page.selectExpr("site", "ord", "url", f"explode({merged}) as f")
     return found.selectExpr("site", "ord", "f.seq as seq", "url", *[f"f.{c}" for c in ISSUE_COLUMNS[4:]])
 
 

@@ -162,9 +162,9 @@ def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def derived_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived crawl in the CRAWL contract."""
-    raw = load_pages(spark, sf_dir).selectExpr(*derived_select())
+def derive_crawl(pages: DataFrame) -> DataFrame:
+    """The derived crawl in the CRAWL contract. One projection, for batches and streams alike."""
+    raw = pages.selectExpr(*derived_select())
     headers = {
         "Content-Type": "h_type", "Content-Length": "h_length", "strict-transport-security": "h_hsts",
         "Content-Security-Policy": "h_csp", "X-CONTENT-TYPE-OPTIONS": "h_nosniff", "x-frame-options": "h_frame",
@@ -190,3 +190,31 @@ def derived_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("crawl_depth").cast("int").alias("crawl_depth"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("ord")).alias("fetched_at"),
     )
+
+
+SITE_OF = "regexp_extract(url, '//([^/?#]*)', 1)"
+
+# One sitemap entry per page: every fourth names a page that was not crawled.
+SITEMAP_COLUMNS = [
+    f"{SITE_OF} AS site", "page_id AS ord",
+    f"CASE WHEN page_id % 4 = 0 THEN 'https://' || {SITE_OF} || '/orphan/' || page_id ELSE url END AS loc",
+    "CASE WHEN page_id % 3 = 0 THEN '2024-01-0' || (page_id % 9 + 1) END AS lastmod",
+]
+# One stored sitemap document per page, and every seventh an index naming the next one.
+SITEMAP_DOCUMENT_COLUMNS = [
+    f"'https://' || {SITE_OF} || '/sitemap-' || page_id || '.xml' AS url",
+    f"CASE WHEN page_id % 7 = 6 THEN '<sitemapindex><sitemap><loc> https://' || {SITE_OF} || '/sitemap-' || (page_id + 1) || '.xml </loc></sitemap></sitemapindex>' "
+    "ELSE '<urlset><url><loc> ' || replace(url, '&', '&amp;') || '</loc><lastmod>2024-02-0' || (page_id % 9 + 1) || '</lastmod></url>"
+    "<url><loc>' || replace(url, '&', '&amp;') || '</loc></url></urlset>' END AS body",
+]
+# One robots.txt per row; the first row of a host is the one that is kept.
+ROBOTS_DOCUMENT_COLUMNS = [
+    "page_id AS ord",
+    f"'https://' || {SITE_OF} || '/robots.txt' AS url",
+    "'# rules' || chr(10) || 'User-agent: OtherBot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) "
+    "|| 'Allow: /en/' || (page_id % 10) || chr(10) || 'Disallow: /en/ # english' || chr(10) || 'Disallow: /fr/' || (page_id % 10) AS body",
+]
+
+
+def derived_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_crawl(load_pages(spark, sf_dir))
