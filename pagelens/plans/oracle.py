@@ -675,3 +675,226 @@ TABLES["factor"] = " UNION ALL ".join(_FACTOR_ROWS)
 ORACLES["factor_table"] = "SELECT * FROM factor"
 ORACLES["aiv_status"] = "SELECT ord, factor, status FROM factor"
 ORACLES["priority_improvements"] = "SELECT site, ord, url, CASE status WHEN 'critical' THEN 0 ELSE 1 END AS rank, n, factor, score, recommendation FROM factor WHERE status <> 'good'"
+
+# --- keywords ------------------------------------------------------------------------------
+TABLES["link_text"] = "SELECT ord, list(text ORDER BY n) AS ts FROM link GROUP BY ord"
+TABLES["heading_text"] = "SELECT ord, list(text ORDER BY n) AS hs, list('H' || level || ': ' || text ORDER BY n) AS labeled FROM heading GROUP BY ord"
+TABLES["ptext"] = """SELECT p.site, p.ord, p.url, lower(title) AS title, lower(meta_description) AS description, coalesce(list_transform(hs, lambda h: lower(h)), []) AS hs,
+    array_to_string(list_filter(list_concat([nullif(title, ''), nullif(meta_description, '')], hs, ts), lambda x: x IS NOT NULL), ' ') AS text
+    FROM page p LEFT JOIN heading_text USING (ord) LEFT JOIN link_text USING (ord)"""
+
+
+def token_list(text: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(regexp_replace(lower({text}), '[^a-z\\s\\-]', ' ', 'g'), '\\s+'), lambda w: trim(w, '-')), lambda w: length(w) >= 3)"
+
+
+_STOPS = f"[{qs(sorted(set(keywords.STOP_WORDS)))}]"
+
+
+def keyword_tables(prefix: str, source: str) -> None:
+    """CTEs over a source with site, ord, url, title, description, hs, text."""
+    TABLES[f"{prefix}_toks"] = f"SELECT *, {token_list('text')} AS tokens FROM ({source})"
+    TABLES[f"{prefix}_tok"] = f"SELECT site, ord, url, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM {prefix}_toks"
+    TABLES[f"{prefix}_stop"] = f"SELECT unnest({_STOPS}) AS w"
+    TABLES[f"{prefix}_gram"] = f"SELECT *, lead(token, 1) OVER o AS t2, lead(token, 2) OVER o AS t3, token IN (SELECT w FROM {prefix}_stop) AS s1, lead(token, 1) OVER o IN (SELECT w FROM {prefix}_stop) AS s2, lead(token, 2) OVER o IN (SELECT w FROM {prefix}_stop) AS s3 FROM {prefix}_tok WINDOW o AS (PARTITION BY ord ORDER BY pos)"
+    TABLES[f"{prefix}_occ"] = f"""SELECT site, ord, url, 1 AS n, pos, token AS term FROM {prefix}_gram WHERE NOT s1
+        UNION ALL SELECT site, ord, url, 2, pos, token || ' ' || t2 FROM {prefix}_gram WHERE t2 IS NOT NULL AND NOT s1 AND NOT s2
+        UNION ALL SELECT site, ord, url, 3, pos, token || ' ' || t2 || ' ' || t3 FROM {prefix}_gram WHERE t3 IS NOT NULL AND NOT s1 AND NOT s2 AND NOT s3"""
+    TABLES[f"{prefix}_ppc"] = f"SELECT site, term, n, ord, url, count(*) AS c, min(pos) AS pos FROM {prefix}_occ GROUP BY ALL"
+    TABLES[f"{prefix}_total"] = f"SELECT site, sum(len(tokens)) AS total FROM {prefix}_toks GROUP BY site"
+    TABLES[f"{prefix}_kw"] = f"""SELECT site, term AS keyword, n, CAST(sum(c) AS BIGINT) AS count, count(*) AS n_pages, round(CAST(sum(c) AS DOUBLE) / any_value(total) * 100, 2) AS density,
+        min((ord, n, pos)) AS first_seen, bool_or(n = 1 AND coalesce(contains(k.title, term), false)) AS in_title, bool_or(n = 1 AND coalesce(contains(k.description, term), false)) AS in_meta,
+        bool_or(n = 1 AND len(list_filter(k.hs, lambda h: contains(h, term))) > 0) AS in_headings, bool_or(n = 1 AND contains(lower(k.url), term)) AS in_url
+        FROM {prefix}_ppc JOIN (SELECT ord, title, description, hs, url FROM {prefix}_toks) k USING (ord) JOIN {prefix}_total USING (site) GROUP BY site, term, n"""
+    TABLES[f"{prefix}_one"] = f"SELECT *, row_number() OVER (PARTITION BY site ORDER BY count DESC, first_seen) AS rank FROM {prefix}_kw WHERE n = 1 QUALIFY rank <= 20"
+
+
+keyword_tables("kp", "SELECT * FROM ptext")
+keyword_tables("kd", "SELECT source AS site, doc_id AS ord, CAST(doc_id AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description, CAST([] AS VARCHAR[]) AS hs, text FROM documents")
+TABLES["kp_two"] = "SELECT *, row_number() OVER (PARTITION BY site ORDER BY count DESC, first_seen) AS rank FROM kp_kw WHERE n > 1 QUALIFY rank <= 20"
+TABLES["kp_lsi"] = """SELECT b.* FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY count DESC, first_seen) AS rank FROM kp_kw WHERE n = 2 QUALIFY rank <= 15) b
+    WHERE NOT EXISTS (SELECT 1 FROM kp_two t WHERE t.site = b.site AND t.keyword = b.keyword)"""
+TABLES["kp_gap"] = f"""SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY pos) AS INTEGER) AS rank, keyword FROM (
+    SELECT site, unnest([{qs(keywords.GAP_CANDIDATES)}]) AS keyword, generate_subscripts([{qs(keywords.GAP_CANDIDATES)}], 1) AS pos FROM probe) g
+    WHERE NOT EXISTS (SELECT 1 FROM kp_kw k WHERE k.site = g.site AND k.keyword = g.keyword) QUALIFY rank <= 10"""
+TABLES["kp_top"] = "SELECT *, rank AS position, 0 AS part FROM kp_one UNION ALL SELECT *, rank + 20, 1 FROM kp_two"
+ORACLES["page_text"] = "SELECT ord, text FROM ptext"
+ORACLES["page_text_labeled"] = """SELECT p.ord, array_to_string(list_filter(list_concat([CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN meta_description <> '' THEN 'Description: ' || meta_description END], labeled), lambda x: x IS NOT NULL), ' | ') AS labeled_text
+    FROM page p LEFT JOIN heading_text USING (ord)"""
+ORACLES["tokenize"] = "SELECT ord, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM kp_toks"
+ORACLES["stop_filter"] = "SELECT ord, pos, term FROM kp_occ WHERE n = 1"
+ORACLES["ngrams"] = """SELECT ord, CAST(row_number() OVER (PARTITION BY ord ORDER BY n, pos) - 1 AS INTEGER) AS pos, phrase FROM (
+    SELECT ord, 2 AS n, pos, token || ' ' || t2 AS phrase FROM kp_gram WHERE t2 IS NOT NULL UNION ALL SELECT ord, 3, pos, token || ' ' || t2 || ' ' || t3 FROM kp_gram WHERE t3 IS NOT NULL)"""
+_KW = "site, keyword, count, n_pages, density, in_title, in_meta, in_headings, in_url"
+ORACLES["keyword_count"] = "SELECT site, keyword, count, n_pages FROM kp_kw"
+ORACLES["keyword_pages"] = "SELECT site, term AS keyword, url, c AS count FROM kp_ppc"
+ORACLES["keyword_density"] = "SELECT site, keyword, density FROM kp_kw"
+ORACLES["keyword_placement"] = f"SELECT {_KW} FROM kp_kw"
+ORACLES["vocabulary_stats"] = "SELECT site, CAST(t.total AS BIGINT) AS total_tokens, coalesce(u.n, 0) AS unique_tokens FROM kp_total t LEFT JOIN (SELECT site, count(DISTINCT token) AS n FROM kp_tok GROUP BY site) u USING (site)"
+ORACLES["primary_keywords"] = f"SELECT rank, {_KW} FROM kp_one"
+ORACLES["secondary_keywords"] = f"SELECT rank, {_KW} FROM kp_two"
+ORACLES["lsi_keywords"] = "SELECT site, rank, keyword, count, density FROM kp_lsi"
+ORACLES["keyword_gaps"] = "SELECT site, rank, keyword FROM kp_gap"
+
+
+def ranked_list(table: str) -> str:
+    return f"coalesce((SELECT string_agg(keyword, '|' ORDER BY rank) FROM {table} x WHERE x.site = t.site), '')"
+
+
+ORACLES["keyword_report"] = f"""SELECT site, CAST(t.total AS BIGINT) AS total_tokens, coalesce(u.n, 0) AS unique_tokens, {ranked_list('kp_one')} AS primary_keywords, {ranked_list('kp_two')} AS secondary_keywords,
+    {ranked_list('kp_lsi')} AS lsi_keywords, {ranked_list('kp_gap')} AS keyword_gaps FROM kp_total t LEFT JOIN (SELECT site, count(DISTINCT token) AS n FROM kp_tok GROUP BY site) u USING (site)"""
+_TREND = "(CASE WHEN in_title THEN 2 ELSE 0 END + CASE WHEN in_meta THEN 1 ELSE 0 END + CASE WHEN in_headings THEN 2 ELSE 0 END + CASE WHEN in_url THEN 1 ELSE 0 END)"
+TABLES["overview"] = f"""SELECT site, CAST(position AS INTEGER) AS position, keyword, count AS volume, density, CASE WHEN density >= 3 THEN 'Hard' WHEN density >= 1.5 THEN 'Medium' ELSE 'Easy' END AS difficulty,
+    round(density * 1.2::DOUBLE + 0.5::DOUBLE, 2) AS cpc, round(least(density / 5, 1), 2) AS competition,
+    CASE WHEN regexp_matches(keyword, {words(keywords.TRANSACTIONAL)}) THEN 'Transactional' WHEN regexp_matches(keyword, {words(keywords.COMMERCIAL)}) THEN 'Commercial' WHEN in_url THEN 'Navigational' ELSE 'Informational' END AS intent,
+    CASE WHEN {_TREND} >= 4 THEN 'Rising' WHEN {_TREND} >= 2 THEN 'Stable' ELSE 'Low' END AS trend, in_title, in_meta, in_headings, in_url, count * 47 AS results FROM kp_top"""
+ORACLES["keyword_overview"] = "SELECT * FROM overview"
+ORACLES["keyword_search"] = "SELECT site, position, keyword, volume FROM overview WHERE keyword ILIKE '%the%'"
+ORACLES["keyword_recommendations"] = """SELECT site, position, keyword, CAST(generate_subscripts(rs, 1) - 1 AS INTEGER) AS n, unnest(rs) AS recommendation FROM (
+    SELECT site, CAST(position AS INTEGER) AS position, keyword, list_filter([CASE WHEN NOT in_title THEN 'Add to title tag' END, CASE WHEN NOT in_meta THEN 'Add to meta description' END, CASE WHEN NOT in_headings THEN 'Add to H1/H2 heading' END,
+        CASE WHEN density < 0.5 THEN 'Increase keyword density' WHEN density > 4 THEN 'Reduce keyword stuffing' END, CASE WHEN in_title AND in_meta AND in_headings THEN 'Well optimized placement!' END], lambda r: r IS NOT NULL) AS rs FROM kp_top)"""
+_SERP = [
+    "CASE WHEN bool_or(in_headings AND part = 0) THEN 'High' ELSE 'Low' END", "CASE WHEN (SELECT count(*) FROM kp_gap g WHERE g.site = t.site) > 0 THEN 'High' ELSE 'Medium' END",
+    "'Medium'", "'Low'", "'Medium'", "CASE WHEN count(*) FILTER (part = 1) > 3 THEN 'High' ELSE 'Low' END",
+]
+ORACLES["serp_opportunities"] = " UNION ALL ".join(
+    f"SELECT site, {i} AS n, {q(f)} AS feature, {o} AS opportunity, {q(a)} AS action FROM kp_top t GROUP BY site HAVING count(*) FILTER (part = 0) > 0"
+    for i, ((f, _, a), o) in enumerate(zip(keywords.SERP_ACTIONS, _SERP), 1)
+)
+TABLES["seed"] = "SELECT site, keyword AS seed FROM kp_one WHERE rank = 1"
+_NAME = "coalesce(list_filter(string_split(keyword, ' '), lambda w: w <> seed AND length(w) > 3)[1], string_split(keyword, ' ')[1])"
+ORACLES["keyword_clusters"] = f"""SELECT site, seed, cluster, keywords, n_keywords, mean_count, CAST(row_number() OVER (PARTITION BY site ORDER BY first_position, cluster) AS INTEGER) AS cluster_rank FROM (
+    SELECT site, seed, cluster, min(position) AS first_position, array_to_string(list(keyword ORDER BY position)[1:10], '|') AS keywords, count(*) AS n_keywords, round(avg(count), 4) AS mean_count FROM (
+        SELECT *, upper(c[1]) || c[2:] AS cluster FROM (SELECT t.*, seed, {_NAME} AS c FROM kp_top t JOIN seed USING (site))) GROUP BY site, seed, cluster) QUALIFY cluster_rank <= 8"""
+
+
+def tpl(text: str) -> str:
+    head, tail = text.split("{}")
+    return f"{q(head)} || seed || {q(tail)}"
+
+
+_IDEAS = [("broad", f"CASE WHEN starts_with(seed, {q(m)}) THEN seed ELSE {q(m + ' ')} || seed END") for m in keywords.BROAD_MODIFIERS]
+_IDEAS += [("phrase", tpl(t)) for t in keywords.PHRASE_TEMPLATES] + [("exact", "seed")] + [("related", tpl(t)) for t in keywords.RELATED_TEMPLATES]
+_IDEAS += [("question", f"{q(p + ' ')} || {tpl(keywords.QUESTION_SUFFIXES[i % 5])}") for i, p in enumerate(keywords.QUESTION_PREFIXES)]
+TABLES["idea"] = " UNION ALL ".join(f"SELECT site, seed, {i} AS n, {e} AS keyword, {q(m)} AS match_type FROM seed" for i, (m, e) in enumerate(_IDEAS, 1))
+TABLES["expanded"] = """SELECT i.site, seed, i.n, i.keyword, match_type, CAST(len(string_split(i.keyword, ' ')) AS INTEGER) AS words, coalesce(k.count, 0) AS volume,
+    CAST(round(least(coalesce(density, 0) / 5, 1) * 100) AS INTEGER) AS kd FROM idea i LEFT JOIN kp_kw k ON k.site = i.site AND k.keyword = i.keyword"""
+ORACLES["keyword_expand"] = "SELECT * FROM expanded"
+ORACLES["keyword_questions"] = " UNION ALL ".join(
+    f"SELECT site, seed, {i} AS n, {q(kind)} AS type, {tpl(t)} AS question, {q('Informational' if kind in ('What', 'How', 'Why') else 'Commercial')} AS intent FROM seed" for i, (kind, t) in enumerate(keywords.QUESTIONS, 1)
+)
+ORACLES["keyword_metrics"] = """SELECT site, count(*) AS total_keywords, CAST(sum(volume) AS BIGINT) AS total_volume, CAST(sum(kd) // count(*) AS BIGINT) AS avg_kd, count(*) FILTER (match_type = 'question') AS question_keywords,
+    count(*) FILTER (match_type = 'broad') AS broad_keywords, count(*) FILTER (match_type = 'exact') AS exact_keywords FROM expanded GROUP BY site"""
+ORACLES["keyword_labels"] = """SELECT site, n, keyword, kd, volume, CASE WHEN kd <= 29 THEN 'easy' WHEN kd <= 49 THEN 'possible' WHEN kd <= 69 THEN 'difficult' ELSE 'hard' END AS kd_band,
+    CASE WHEN volume >= 10000 THEN 'high' WHEN volume >= 1000 THEN 'medium' ELSE 'low' END AS volume_band FROM expanded"""
+ORACLES["competitor_gap"] = """SELECT keyword, CAST(sum(count) AS BIGINT) AS competitor_count, count(*) AS competitor_sites FROM kp_kw WHERE site <> (SELECT min(site) FROM probe)
+    AND keyword NOT IN (SELECT keyword FROM kp_kw WHERE site = (SELECT min(site) FROM probe)) GROUP BY keyword ORDER BY competitor_count DESC, keyword LIMIT 10"""
+ORACLES["document_keyword_count"] = "SELECT site, keyword, count, n_pages, density FROM kd_kw"
+ORACLES["document_primary_keywords"] = "SELECT site, rank, keyword, count, density FROM kd_one"
+ORACLES["keyword_csv"] = "SELECT site, CAST(position AS INTEGER) AS position, keyword, count, density FROM kp_top"
+
+# --- reports -------------------------------------------------------------------------------
+SEV = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END"
+_AT = "(ord, seq)"
+_COUNTS = "count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info"
+ORACLES["all_issues"] = f"SELECT site, {_ISSUE} FROM issue"
+ORACLES["html_snippet"] = "SELECT ord, seq, issue_type, html_snippet FROM issue WHERE html_snippet IS NOT NULL"
+ORACLES["write_issues_csv"] = "SELECT severity, issue_type, count(*) AS n_rows FROM issue GROUP BY ALL"
+ORACLES["write_issues_csv_compact"] = "SELECT url, severity, issue_type, description, '' AS css_selector, '' AS xpath, recommendation FROM issue"
+TABLES["sev_count"] = f"SELECT site, {_COUNTS} FROM issue GROUP BY site"
+ORACLES["severity_counts"] = "SELECT * FROM sev_count"
+ORACLES["issue_clusters_html"] = f"""SELECT site, issue_type, severity, recommendation, n_issues, n_urls, (SELECT string_agg(url, '|' ORDER BY at) FROM (SELECT url, min({_AT}) AS at FROM issue i WHERE i.site = c.site AND i.issue_type = c.issue_type GROUP BY url ORDER BY at LIMIT 5)) AS urls,
+    CAST(row_number() OVER (PARTITION BY site ORDER BY {SEV}, n_issues DESC, first_seen) AS INTEGER) AS rank FROM (
+    SELECT site, issue_type, arg_min(severity, {_AT}) AS severity, arg_min(recommendation, {_AT}) AS recommendation, count(*) AS n_issues, count(DISTINCT url) AS n_urls, min({_AT}) AS first_seen FROM issue GROUP BY site, issue_type) c"""
+ORACLES["issue_clusters_pdf"] = f"""SELECT site, issue_type, severity, n_issues, sample_description, array_to_string(urls[1:10], '|') AS urls, CAST(row_number() OVER o AS INTEGER) AS rank, row_number() OVER o <= 20 AS listed FROM (
+    SELECT site, issue_type, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'WARNING' END AS severity, count(*) AS n_issues, min({_AT}) AS first_seen, arg_min(description, {_AT}) AS sample_description, list(url ORDER BY ord, seq) AS urls
+    FROM issue GROUP BY site, issue_type) WINDOW o AS (PARTITION BY site ORDER BY severity <> 'CRITICAL', n_issues DESC, first_seen)"""
+ORACLES["issue_distribution"] = "SELECT site, critical, warning, total, round(critical / total * 100, 1) AS critical_pct, round(warning / total * 100, 1) AS warning_pct FROM sev_count"
+ORACLES["pages_with_issues"] = "SELECT site, count(DISTINCT url) AS pages_with_issues FROM issue GROUP BY site"
+
+
+def stack(rows, frm: str, keep: str) -> str:
+    """One select per (label columns, expressions) row."""
+    return " UNION ALL ".join(f"SELECT site, {i} AS n, {cols} FROM {frm}" for i, cols in enumerate(rows, 1)) if not keep else (
+        f"SELECT * FROM (" + " UNION ALL ".join(f"SELECT site, {i} AS n, {cols} FROM {frm}" for i, cols in enumerate(rows, 1)) + f") WHERE {keep}")
+
+
+ORACLES["executive_findings"] = stack(
+    [f"{q(t)} AS finding, {c} AS amount" for t, c in [("Critical Issues", "critical"), ("Warnings", "warning"), ("Duplicate Content Sets", "duplicate_contents"), ("Orphan Pages", "orphans"), ("Redirect Chains", "redirect_chains")]],
+    "report LEFT JOIN sev_count USING (site)", "amount > 0")
+ORACLES["top_issues"] = f"""SELECT site, CAST(rank AS INTEGER) AS rank, severity, issue_type, n_issues, n_pages, CASE WHEN length(recommendation) > 80 THEN substr(recommendation, 1, 80) || '...' ELSE recommendation END AS recommendation FROM (
+    SELECT *, row_number() OVER (PARTITION BY site ORDER BY {SEV}, n_issues DESC, first_seen) AS rank FROM (
+        SELECT site, severity, issue_type, count(*) AS n_issues, count(DISTINCT url) AS n_pages, min((ord < 0, ord, seq)) AS first_seen, arg_min(recommendation, (ord < 0, ord, seq)) AS recommendation FROM issue GROUP BY site, severity, issue_type)) WHERE rank <= 15"""
+TABLES["adv_site"] = "SELECT site, sum(missing_headers) AS security_issues, count(*) FILTER (word_count < 300) AS thin_pages FROM adv GROUP BY site"
+ORACLES["health_breakdown"] = stack(
+    [f"{q(t)} AS label, round({e}, 4) AS pct" for t, e in [
+        ("HTTPS Security", "https_pct"), ("robots.txt", "CASE WHEN robots_txt_found THEN 100.0::DOUBLE ELSE 0 END"), ("sitemap.xml", "CASE WHEN sitemap_xml_found THEN 100.0::DOUBLE ELSE 0 END"), ("Title Tags", "title_pct"),
+        ("Meta Descriptions", "description_pct"), ("H1 Tags", "h1_pct"), ("Security Headers", "CAST(greatest(0, 100 - security_issues * 10) AS DOUBLE)"), ("Content Quality", "CAST(greatest(0, 100 - thin_pages * 20) AS DOUBLE)")]],
+    "report JOIN adv_site USING (site)", "")
+ORACLES["health_table"] = stack(
+    ["'HTTPS Security' AS label, CASE WHEN https_pct = 100 THEN 'Pass' ELSE 'Partial' END AS status, round(https_pct, 4) AS pct"] + [
+        f"{q(t)} AS label, CASE WHEN {c} > 80 THEN 'Good' ELSE 'Needs Work' END AS status, round({c}, 4) AS pct" for t, c in [("Title Tags", "title_pct"), ("Meta Descriptions", "description_pct"), ("H1 Headings", "h1_pct"), ("Canonical Tags", "canonical_pct")]],
+    "report", "")
+TABLES["page_count"] = f"SELECT ord, {_COUNTS} FROM issue WHERE ord >= 0 GROUP BY ord"
+ORACLES["page_rows"] = "SELECT p.site, p.ord, p.url, status_code, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, score FROM page p JOIN score USING (ord) LEFT JOIN page_count USING (ord)"
+ORACLES["write_report_json"] = "SELECT p.ord, p.url, score, CAST(coalesce((SELECT count(*) FROM link l WHERE l.ord = p.ord), 0) AS INTEGER) AS n_links, CAST((SELECT count(*) FROM image i WHERE i.ord = p.ord) AS INTEGER) AS n_images, CAST(coalesce(total, 0) AS INTEGER) AS n_issues FROM page p JOIN score USING (ord) LEFT JOIN page_count USING (ord)"
+_CH = " ".join(f"WHEN issue_type IN ({qs(v)}) THEN {q(k)}" for k, v in reporting.CHAPTERS.items() if k[0] != "1")
+TABLES["chaptered"] = f"SELECT *, CASE WHEN severity = 'CRITICAL' OR issue_type IN ({qs(reporting.CHAPTERS['1. Critical Errors'])}) THEN '1. Critical Errors' {_CH} ELSE {q(reporting.FALLBACK_CHAPTER)} END AS chapter FROM issue"
+ORACLES["report_chapters"] = "SELECT site, chapter, issue_type AS section, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(DISTINCT url) AS pages FROM chaptered GROUP BY GROUPING SETS ((site, chapter, issue_type), (site, chapter))"
+ORACLES["status_buckets"] = "SELECT site, (status_code // 100) || 'xx' AS bucket, count(*) AS pages FROM crawl GROUP BY ALL"
+ORACLES["depth_distribution"] = "SELECT site, CAST(crawl_depth AS INTEGER) AS crawl_depth, count(*) AS pages FROM crawl GROUP BY ALL"
+ORACLES["link_overview"] = "SELECT site, CAST(sum(n_internal) AS BIGINT) AS internal_links, CAST(sum(n_external) AS BIGINT) AS external_links, CAST(sum(n_internal) // count(*) AS BIGINT) AS avg_internal, count(*) FILTER (n_internal > 0) AS pages_with_links, count(*) AS pages FROM pagex GROUP BY site"
+ORACLES["links_per_page_hist"] = "SELECT site, CASE WHEN n_internal >= 20 THEN '20+' ELSE CAST(n_internal AS VARCHAR) END AS bucket, count(*) AS pages FROM pagex GROUP BY ALL"
+ORACLES["avg_page_score"] = "SELECT site, CAST(sum(score) // count(*) AS BIGINT) AS avg_page_score FROM score GROUP BY site"
+ORACLES["section_scores"] = " UNION ALL ".join(
+    f"SELECT site, {i} AS n, {q(s)} AS section, count(severity) FILTER (severity = 'CRITICAL') AS critical, count(severity) FILTER (severity = 'WARNING') AS warning, count(severity) AS total, CAST(greatest(0, 100 - 15 * count(severity) FILTER (severity = 'CRITICAL') - 5 * count(severity) FILTER (severity = 'WARNING')) AS INTEGER) AS score "
+    f"FROM probe LEFT JOIN (SELECT site, severity FROM issue WHERE regexp_matches(lower(issue_type), {words(w)})) USING (site) GROUP BY site"
+    for i, (s, w) in enumerate(reporting.SECTIONS, 1)
+)
+ORACLES["technical_checklist"] = stack(
+    [f"{q(t)} AS \"check\", {e} AS passed" for t, e in [("HTTPS", "https_pct = 100"), ("robots.txt", "robots_txt_found"), ("sitemap.xml", "sitemap_xml_found"), ("Viewport Meta", "pages_with_viewport > 0"), ("Lang Attribute", "pages_with_lang > 0"),
+                                                       ("Favicon", "pages_with_favicon > 0"), ("No Redirect Chains", "redirect_chains = 0")]], "report", "")
+ORACLES["pages_overview"] = f"SELECT p.site, p.ord, p.url, status_code, CASE WHEN is_https THEN 'HTTPS' ELSE 'HTTP' END AS protocol, score, coalesce(total, 0) AS n_issues, {DISPLAY.replace('url', 'p.url')} AS redirects FROM page p JOIN score USING (ord) LEFT JOIN page_count USING (ord)"
+_STATUS = " ".join(f"WHEN {c} THEN {q(n)}" for c, n in reporting.STATUS_NAMES.items())
+TABLES["http_error"] = f"""SELECT site, CASE status_code {_STATUS} END AS http_status, count(*) AS amount, CASE status_code // 100 WHEN 2 THEN 'OK' WHEN 3 THEN 'Redirect' WHEN 4 THEN 'Error' ELSE 'Critical' END AS severity FROM crawl GROUP BY site, status_code
+    UNION ALL SELECT site, issue_type, count(*), arg_min(severity, {_AT}) FROM issue WHERE issue_type IN ({qs(reporting.HTTP_ISSUES)}) GROUP BY site, issue_type"""
+ORACLES["http_error_summary"] = "SELECT * FROM http_error"
+ORACLES["http_error_totals"] = "SELECT site, CAST(coalesce(sum(amount) FILTER (severity IN ('Error', 'Critical')), 0) AS BIGINT) AS total_errors FROM http_error GROUP BY site"
+ORACLES["error_pages"] = "SELECT p.site, p.ord, p.url, status_code, coalesce(total, 0) AS n_issues, score FROM page p JOIN score USING (ord) LEFT JOIN page_count USING (ord) WHERE status_code >= 400"
+_TECH = f"issue_type IN ({qs(reporting.TECHNICAL_TYPES)})"
+ORACLES["technical_issues"] = f"SELECT site, ord, seq, url, severity, issue_type, description, recommendation FROM issue WHERE {_TECH}"
+ORACLES["technical_issue_counts"] = f"SELECT site, {_COUNTS} FROM issue WHERE {_TECH} GROUP BY site"
+ORACLES["content_issues"] = f"""SELECT site, ord, url, coalesce(nullif(title, ''), 'MISSING') AS title, CAST(coalesce(length(title), 0) AS INTEGER) AS title_length, CASE WHEN {_D} THEN substr(meta_description, 1, 80) || '...' ELSE 'MISSING' END AS description,
+    CAST(coalesce(length(meta_description), 0) AS INTEGER) AS description_length, coalesce(first_h1, 'MISSING') AS h1, CAST(coalesce(length(first_h1), 0) AS INTEGER) AS h1_length, n_issues
+    FROM page JOIN (SELECT ord, count(*) AS n_issues FROM issue WHERE issue_type IN ({qs(reporting.CONTENT_TYPES)}) GROUP BY ord) USING (ord)"""
+ORACLES["image_issues"] = "SELECT ord, seq, url, issue_type, description FROM issue WHERE issue_type IN ('Missing Alt Text', 'Broken Image')"
+ORACLES["link_issues"] = "SELECT ord, seq, url, severity, description FROM issue WHERE issue_type = 'Broken Link'"
+ORACLES["page_perf"] = "SELECT site, ord, url, CAST(coalesce(length(title), 0) + coalesce(length(meta_description), 0) + 500 AS INTEGER) AS document_length, CASE WHEN favicon_url IS NOT NULL THEN 'Configured' ELSE 'Missing' END AS favicon_status FROM page"
+ORACLES["schema_inventory"] = "SELECT p.site, ord, p.url, CAST(n AS INTEGER) AS n, CASE WHEN valid THEN coalesce(ty, 'Unknown') END AS schema_type, valid, CASE WHEN NOT valid THEN 'JSON parsing error' END AS error FROM json_ld JOIN page p USING (ord)"
+ORACLES["schema_summary"] = "SELECT site, count(*) AS blocks, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS errors, count(DISTINCT CASE WHEN valid THEN coalesce(ty, 'Unknown') END) AS types FROM json_ld JOIN page USING (ord) GROUP BY site"
+ORACLES["quality_table"] = """SELECT url, word_count, sentence_count, avg_words_per_sentence, readability, CASE WHEN word_count < 300 THEN 'Yes' ELSE '' END AS thin, CASE WHEN skip_a IS NULL THEN 'Valid' ELSE 'Invalid' END AS hierarchy,
+    CAST(n_internal AS INTEGER) AS internal_link_count, CAST(n_external AS INTEGER) AS external_link_count FROM adv"""
+ORACLES["mixed_content_table"] = "SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY ord, n) AS INTEGER) AS rank, page_url, resource_url, resource_type FROM mixed QUALIFY rank <= 50"
+ORACLES["technical_summary"] = "SELECT site, orphans, duplicate_titles, duplicate_descriptions, duplicate_contents, redirect_chains FROM report"
+ORACLES["issue_summary"] = f"""SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY severity <> 'CRITICAL', issue_type) AS INTEGER) AS rank FROM (
+    SELECT site, issue_type, count(*) AS n_issues, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'WARNING' END AS severity, arg_min(severity, {SEV}) AS max_severity FROM issue GROUP BY site, issue_type)"""
+ORACLES["score_label"] = "SELECT ord, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 70 THEN 'Satisfactory' ELSE 'Needs Immediate Remediation' END AS label FROM score"
+ORACLES["score_indicator"] = "SELECT site, " + ", ".join(
+    f"CASE WHEN {c} >= 80 THEN 'Excellent' WHEN {c} >= 60 THEN 'Good' WHEN {c} >= 40 THEN 'Needs Work' ELSE 'Poor' END AS {c}" for c in ("site_score", "ai_visibility_score", "site_speed_score", "site_health_score")) + " FROM report"
+ORACLES["priority_actions"] = stack(
+    ["'Fix critical issues first' AS action, critical AS amount", "'Fix warnings next' AS action, warning AS amount", "'Create robots.txt' AS action, CASE WHEN robots_txt_found THEN 0 ELSE 1 END AS amount",
+     "'Create sitemap.xml' AS action, CASE WHEN sitemap_xml_found THEN 0 ELSE 1 END AS amount"], "probe LEFT JOIN sev_count USING (site)", "amount > 0")
+_GUIDE_ROWS = ", ".join(f"({qs([r[0], r[1], r[2], r[3], r[4], r[5], r[7], ' | '.join(r[6])])})" for r in guides.guide_rows())
+_CMS = ", ".join(f"({q(i)}, {q(' | '.join(f'{c}: open {p[g[0]]}' for c, p in guides.CMS_PLACES.items()))}, {q('wordpress: open ' + guides.CMS_PLACES['wordpress'][g[0]])})" for i, g in guides.GUIDES.items())
+TABLES["type_count"] = "SELECT site, issue_type, count(*) AS n_issues FROM issue GROUP BY ALL"
+ORACLES["fix_guides"] = f"""SELECT site, issue_type, n_issues, title, severity, priority, what, why, verification, steps, cms_steps FROM type_count LEFT JOIN (VALUES {_GUIDE_ROWS}) g(issue_type, title, severity, priority, what, why, verification, steps) USING (issue_type)
+    LEFT JOIN (VALUES {_CMS}) c(issue_type, cms_steps, wp) USING (issue_type)"""
+ORACLES["fix_guides_wordpress"] = f"SELECT site, issue_type, priority, wp AS cms_steps FROM type_count LEFT JOIN (VALUES {_GUIDE_ROWS}) g(issue_type, title, severity, priority, what, why, verification, steps) USING (issue_type) LEFT JOIN (VALUES {_CMS}) c(issue_type, cms_steps, wp) USING (issue_type)"
+_SHORT = " ".join(f"WHEN {q(i)} THEN {q(f'{guides.GUIDES[i][1]} {guides.GUIDES[i][2]} Steps: ' + '; '.join(guides.AREA_STEPS[guides.GUIDES[i][0]]))}" for i in guides.SHORT_GUIDES)
+ORACLES["fix_guides_short"] = f"SELECT site, ord, seq, issue_type, CASE issue_type {_SHORT} ELSE 'Fix: ' || issue_type || '. ' || description || ' Steps: ' || {q('; '.join(guides.SHORT_FALLBACK_STEPS))} END AS guide FROM issue"
+_DESC = " ".join(f"WHEN {q(i)} THEN {q(f'{guides.GUIDES[i][1]} {guides.GUIDES[i][2]}')}" for i in guides.PLAIN_DESCRIPTIONS)
+_STEP = " ".join(f"WHEN {q(i)} THEN {q(' | '.join(guides.AREA_STEPS[guides.GUIDES[i][0]]))}" for i in guides.PLAIN_DESCRIPTIONS)
+ORACLES["issue_descriptions"] = f"""SELECT site, issue_type, n_issues, CASE issue_type {_DESC} ELSE 'This is a ' || issue_type || ' issue that needs to be addressed for better SEO performance.' END AS description,
+    CASE issue_type {_STEP} ELSE {q(' | '.join(guides.FALLBACK_STEPS))} END AS steps FROM type_count"""
+ORACLES["fix_plan"] = f"""SELECT site, issue_type, severity, n_issues, CAST(row_number() OVER (PARTITION BY site ORDER BY first_seen) AS INTEGER) AS priority, array_to_string(urls[1:5], '|') AS urls FROM (
+    SELECT site, issue_type, min(({SEV}, ord, seq)) AS first_seen, arg_min(severity, ({SEV}, ord, seq)) AS severity, count(*) AS n_issues, list(url ORDER BY {SEV}, ord, seq) AS urls FROM issue GROUP BY site, issue_type)"""
