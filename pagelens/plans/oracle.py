@@ -803,7 +803,7 @@ ORACLES["write_issues_csv"] = "SELECT severity, issue_type, count(*) AS n_rows F
 ORACLES["write_issues_csv_compact"] = "SELECT url, severity, issue_type, description, '' AS css_selector, '' AS xpath, recommendation FROM issue"
 TABLES["sev_count"] = f"SELECT site, {_COUNTS} FROM issue GROUP BY site"
 ORACLES["severity_counts"] = "SELECT * FROM sev_count"
-ORACLES["issue_clusters_html"] = f"""SELECT site, issue_type, severity, recommendation, n_issues, n_urls, (SELECT string_agg(url, '|' ORDER BY at) FROM (SELECT url, min({_AT}) AS at FROM issue i WHERE i.site = c.site AND i.issue_type = c.issue_type GROUP BY url ORDER BY at LIMIT 5)) AS urls,
+ORACLES["issue_clusters_html"] = f"""SELECT site, issue_type, severity, recommendation, n_issues, n_urls, (SELECT string_agg(url, '|' ORDER BY seen) FROM (SELECT url, min({_AT}) AS seen FROM issue i WHERE i.site = c.site AND i.issue_type = c.issue_type GROUP BY url ORDER BY seen LIMIT 5)) AS urls,
     CAST(row_number() OVER (PARTITION BY site ORDER BY {SEV}, n_issues DESC, first_seen) AS INTEGER) AS rank FROM (
     SELECT site, issue_type, arg_min(severity, {_AT}) AS severity, arg_min(recommendation, {_AT}) AS recommendation, count(*) AS n_issues, count(DISTINCT url) AS n_urls, min({_AT}) AS first_seen FROM issue GROUP BY site, issue_type) c"""
 ORACLES["issue_clusters_pdf"] = f"""SELECT site, issue_type, severity, n_issues, sample_description, array_to_string(urls[1:10], '|') AS urls, CAST(row_number() OVER o AS INTEGER) AS rank, row_number() OVER o <= 20 AS listed FROM (
@@ -898,3 +898,168 @@ ORACLES["issue_descriptions"] = f"""SELECT site, issue_type, n_issues, CASE issu
     CASE issue_type {_STEP} ELSE {q(' | '.join(guides.FALLBACK_STEPS))} END AS steps FROM type_count"""
 ORACLES["fix_plan"] = f"""SELECT site, issue_type, severity, n_issues, CAST(row_number() OVER (PARTITION BY site ORDER BY first_seen) AS INTEGER) AS priority, array_to_string(urls[1:5], '|') AS urls FROM (
     SELECT site, issue_type, min(({SEV}, ord, seq)) AS first_seen, arg_min(severity, ({SEV}, ord, seq)) AS severity, count(*) AS n_issues, list(url ORDER BY {SEV}, ord, seq) AS urls FROM issue GROUP BY site, issue_type)"""
+
+# --- exports -------------------------------------------------------------------------------
+_ESC = "url"
+for _raw, _ent in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")]:
+    _ESC = f"replace({_ESC}, {q(_raw)}, {q(_ent)})"
+ORACLES["sitemap_export"] = f"""SELECT ord, {_ESC} AS loc, '2024-06-01' AS lastmod, CASE WHEN regexp_matches(lower(url), 'blog|news|post|article') THEN 'weekly' WHEN regexp_matches(lower(url), 'product|shop|store|price') THEN 'daily'
+    WHEN regexp_matches(lower(url), 'about|contact|team|company') THEN 'monthly' ELSE 'weekly' END AS changefreq,
+    CASE WHEN rtrim(url, '/') = rtrim(start_url, '/') THEN '1.0' WHEN score >= 80 THEN '0.8' WHEN score >= 60 THEN '0.6' ELSE '0.4' END AS priority FROM score JOIN probe USING (site)"""
+TABLES["listed_page"] = "SELECT site, ord, url, coalesce(nullif(title, ''), url) AS title, coalesce(meta_description, '') AS description FROM page QUALIFY row_number() OVER (PARTITION BY site ORDER BY ord) <= 20"
+TABLES["llms_site"] = "SELECT site, start_url AS site_url, 'AI SEO Audit Report for ' || start_url || '. Score: ' || site_score || '/100.' AS about FROM report"
+NL = "chr(10)"
+ORACLES["llms_txt"] = f"""SELECT s.site, '# ' || s.site || {NL} || '> ' || about || {NL} || {NL} || '## Details' || {NL} || {NL} || 'The website provides tools and resources for website management, SEO optimization, and content strategy.' || {NL} || {NL}
+    || 'For more information, visit ' || site_url || {NL} || {NL} || '## Contact' || {NL} || {NL} || 'Email: team@' || s.site || {NL} || {NL} || '## Features' || {NL} || {NL} || '- Audit' || {NL} || '- Keywords' || {NL} || {NL}
+    || '## Blog' || {NL} || {NL} || 'Blog: ' || site_url || '/blog' || {NL} || {NL} || '## Docs' || {NL} || {NL}
+    || string_agg('- [' || title || '](' || url || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END, {NL} ORDER BY ord) || {NL} || {NL}
+    || '## Optional' || {NL} || {NL} || 'This file helps LLMs understand and navigate our website.' || {NL} || 'For any questions about this file, contact us at team@' || s.site || {NL} AS content
+    FROM llms_site s JOIN listed_page p ON p.site = s.site GROUP BY s.site, about, site_url"""
+ORACLES["llms_full_txt"] = f"""SELECT s.site, '# ' || s.site || {NL} || '> ' || about || {NL} || {NL} || '## About ' || s.site || {NL} || {NL} || s.site || ' is available at ' || site_url || {NL} || {NL} || about || {NL} || {NL}
+    || '## Key Features' || {NL} || {NL} || '1. Audit' || {NL} || '2. Keywords' || {NL} || {NL} || '## Pages' || {NL} || {NL}
+    || string_agg('### ' || title || {NL} || 'URL: ' || url || {NL} || CASE WHEN description <> '' THEN description || {NL} ELSE '' END, {NL} ORDER BY ord) || {NL}
+    || '## Contact' || {NL} || {NL} || 'Email: team@' || s.site || {NL} || {NL} || '---' || {NL} || 'Generated by ' || s.site || ' SEO Audit Tool' AS content
+    FROM llms_site s JOIN listed_page p ON p.site = s.site GROUP BY s.site, about, site_url"""
+
+# --- frontier ------------------------------------------------------------------------------
+TABLES["anchor_raw"] = f"SELECT ord, n, {attr('href')} AS href FROM (SELECT *, list_transform(regexp_extract_all(body, {q(ATTR)}, 1), lambda x: lower(x)) AS names, regexp_extract_all(body, {q(ATTR)}, 2) AS vals FROM anchor)"
+TABLES["found"] = f"""SELECT DISTINCT f.ord, c.site, c.status_code, c.url AS source_url, {absolute('c.url', 'f.ref')} AS target_url FROM (
+        SELECT ord, {strip('href')} AS ref FROM anchor_raw WHERE coalesce(href, '') <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:|data:)')
+        UNION ALL SELECT ord, {strip('href')} FROM linktag WHERE coalesce(href, '') <> '' AND len(list_filter(string_split(rel, ' '), lambda r: r IN ('alternate', 'canonical', 'next', 'prev'))) > 0
+        UNION ALL SELECT ord, {strip("regexp_replace(content, '^.*?url=', '')")} FROM meta WHERE equiv = 'refresh' AND contains(lower(content), 'url=')) f JOIN crawl c USING (ord)"""
+_INTERNAL = same_site(url_part("target_url", 4), url_part("source_url", 4))
+ORACLES["discover_links"] = f"SELECT ord, target_url FROM found WHERE {_INTERNAL}"
+TABLES["seedkey"] = f"SELECT site, url, 0 AS source, {normalized('url')} AS url_key FROM (SELECT site, loc AS url FROM sitemap) UNION ALL SELECT site, start_url, 1, {normalized('start_url')} FROM probe"
+ORACLES["seed_frontier"] = "SELECT site, url_key, arg_min(url, (source, url)) AS url, 0 AS depth FROM seedkey GROUP BY site, url_key"
+ORACLES["visited_dedup"] = f"SELECT site, {normalized('url')} AS url_key, min(ord) AS ord, arg_min(url, ord) AS url FROM crawl GROUP BY 1, 2"
+TABLES["sectioned"] = f"SELECT site, {normalized('url')} AS key, regexp_extract(url, '^([a-z]+://[^/]*/[^/?#]*)', 1) AS section FROM crawl"
+TABLES["edge"] = f"""SELECT site, key AS source_key, section AS target_key FROM sectioned UNION SELECT site, section, key FROM sectioned
+    UNION SELECT site, {normalized('source_url')}, {normalized('target_url')} FROM found WHERE status_code BETWEEN 200 AND 299 AND {_INTERNAL}"""
+TABLES["depth0"] = f"SELECT DISTINCT site, {normalized('start_url')} AS url_key FROM probe"
+for _d in (1, 2, 3):
+    _seen = " UNION ".join(f"SELECT site, url_key FROM depth{i}" for i in range(_d))
+    TABLES[f"depth{_d}"] = f"SELECT DISTINCT e.site, e.target_key AS url_key FROM depth{_d - 1} f JOIN edge e ON e.site = f.site AND e.source_key = f.url_key WHERE (e.site, e.target_key) NOT IN ({_seen})"
+TABLES["reached"] = " UNION ALL ".join(f"SELECT site, url_key, {d} AS depth FROM depth{d}" for d in range(4))
+ORACLES["crawl_depth_bfs"] = "SELECT * FROM reached"
+ORACLES["frontier_limit"] = "SELECT site, url_key, depth, CAST(row_number() OVER (PARTITION BY site ORDER BY depth, url_key) AS INTEGER) AS rn FROM reached WHERE url_key NOT LIKE '%/sub/page.html' QUALIFY rn <= 5"
+
+# --- structured data -----------------------------------------------------------------------
+def js(e: str) -> str:
+    return f"CAST(to_json({e}) AS VARCHAR)"
+
+
+def prop(key: str, e: str, when: str = "true", raw: bool = False) -> str:
+    """`,"key":value` or nothing."""
+    value = e if raw else js(e)
+    return f"CASE WHEN {when} THEN ',\"{key}\":' || {value} ELSE '' END"
+
+
+def has(e: str) -> str:
+    return f"coalesce({e}, '') <> ''"
+
+
+def ld(kind: str, *parts: str) -> str:
+    return f"'{{\"@context\":\"https://schema.org\",\"@type\":\"{kind}\"' || " + " || ".join(parts) + " || '}'"
+
+
+def node(kind: str, *parts: str) -> str:
+    return f"'{{\"@type\":\"{kind}\"' || " + " || ".join(parts) + " || '}'"
+
+
+ORACLES["jsonld_webpage"] = f"SELECT ord, {ld('WebPage', prop('name', 'title', 'title IS NOT NULL'), prop('url', 'url'), prop('inLanguage', chr(99) + 'oalesce(lang, ' + q('en') + ')'), prop('description', 'meta_description', has('meta_description')))} AS json FROM page"
+ORACLES["jsonld_generic"] = f"SELECT ord, {ld('AboutPage', prop('name', 'title', 'title IS NOT NULL'), prop('url', 'url'))} AS json FROM page"
+_AUTHOR = node("Person", prop("name", "site"), prop("url", "'https://' || site", "ord % 4 = 0"))
+_PUBLISHER = node("Organization", prop("name", "site"), prop("logo", node("ImageObject", prop("url", "favicon_url")), has("favicon_url"), raw=True))
+_ARTICLE = ld("Article", prop("headline", "title", "title IS NOT NULL"), prop("url", "url"), prop("datePublished", "strftime(make_timestamp((1704067200 + ord) * 1000000), '%Y-%m-%d')"),
+              prop("description", "meta_description", has("meta_description")), prop("image", "og_image", has("og_image")), prop("author", _AUTHOR, "ord % 2 = 0", raw=True), prop("publisher", _PUBLISHER, raw=True))
+ORACLES["jsonld_article"] = f"SELECT ord, {_ARTICLE} AS json FROM page"
+
+
+def questions(rows: str) -> str:
+    return f"'{{\"@context\":\"https://schema.org\",\"@type\":\"FAQPage\",\"mainEntity\":[' || {rows} || ']}}'"
+
+
+def one_question(name: str, text: str) -> str:
+    return node("Question", prop("name", name), prop("acceptedAnswer", node("Answer", prop("text", text)), raw=True))
+
+
+_FB_TEXT = f"CASE WHEN {_D} THEN substr(meta_description, 1, 200) ELSE 'Information about ' || title END"
+_FB = questions(node("Question", prop("name", "'What is ' || title || '?'", "title IS NOT NULL"), prop("acceptedAnswer", node("Answer", prop("text", _FB_TEXT, f"{_FB_TEXT} IS NOT NULL")), raw=True)))
+ORACLES["jsonld_faq_fallback"] = f"SELECT ord, {_FB} AS json FROM page"
+ORACLES["jsonld_faq"] = f"""SELECT conv_id, {questions("string_agg(" + one_question('a.text', 'b.text') + ", ',' ORDER BY a.turn)")} AS json
+    FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1 GROUP BY conv_id"""
+_SEARCH = node("SearchAction", prop("target", node("EntryPoint", prop("urlTemplate", "rtrim(start_url, '/') || '/search?q={search_term_string}'")), raw=True), prop("query-input", "'required name=search_term_string'"))
+ORACLES["jsonld_website_search"] = f"SELECT site, {ld('WebSite', prop('name', 'site'), prop('url', 'start_url'), prop('potentialAction', _SEARCH, raw=True))} AS json FROM probe"
+_CRUMB = node("ListItem", prop("position", "CAST(i AS INTEGER)"), prop("name", "name"), prop("item", "item", "item IS NOT NULL"))
+_CRUMBS = f"'{{\"@context\":\"https://schema.org\",\"@type\":\"BreadcrumbList\",\"itemListElement\":[' || string_agg({_CRUMB}, ',' ORDER BY i) || ']}}'"
+ORACLES["jsonld_breadcrumb"] = f"SELECT ord, {_CRUMBS} AS json FROM (SELECT h.ord, h.n AS i, h.text AS name, CASE WHEN level = 1 THEN url END AS item FROM heading h JOIN crawl USING (ord)) GROUP BY ord"
+_ROOT = f"{url_part('url', 2)} || '://' || {url_part('url', 4)} || '/'"
+ORACLES["jsonld_breadcrumb_from_url"] = f"""SELECT ord, {_CRUMBS} AS json FROM (
+    SELECT ord, 1 AS i, site AS name, {_ROOT} AS item FROM crawl
+    UNION ALL SELECT ord, i + 1, array_to_string(list_transform(string_split(translate(ps[i], '-_', '  '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), root || array_to_string(ps[1:i], '/') || '/' FROM (
+        SELECT ord, ps, root, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT ord, {_ROOT} AS root, list_filter(string_split({url_part('url', 5)}, '/'), lambda s: s <> '') AS ps FROM crawl))) GROUP BY ord"""
+_SURL, _PHONE, _STREET = "'https://suppliers.example.com/' || s_suppkey", "'+' || s_nationkey || '-555'", "s_suppkey || ' Main Street'"
+ORACLES["jsonld_organization"] = f"""SELECT s_suppkey, {ld('Organization', prop('name', 's_name'), prop('url', _SURL), prop('description', q('In good standing'), 's_acctbal > 0'), prop('telephone', _PHONE),
+    prop('address', node('PostalAddress', prop('streetAddress', _STREET)), 's_suppkey % 2 = 0', raw=True), prop('sameAs', "['https://social.example.com/s']", 's_suppkey % 3 = 0'))} AS json FROM supplier"""
+_PLACE = node("PostalAddress", prop("streetAddress", _STREET), prop("addressLocality", "'Springfield'"), prop("postalCode", "CAST(10000 + s_suppkey AS VARCHAR)"), prop("addressCountry", "'US'"))
+_GEO = node("GeoCoordinates", prop("latitude", "s_nationkey"), prop("longitude", "s_suppkey"))
+ORACLES["jsonld_local_business"] = f"""SELECT s_suppkey, {ld('LocalBusiness', prop('name', 's_name'), prop('url', _SURL), prop('telephone', _PHONE), prop('priceRange', q('$$')), prop('address', _PLACE, 's_suppkey % 2 = 0', raw=True),
+    prop('geo', _GEO, 's_nationkey <> 0 AND s_suppkey <> 0', raw=True), prop('openingHours', q('Mo-Fr 09:00-17:00')))} AS json FROM supplier"""
+_OFFER = node("Offer", prop("price", "CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR)"), prop("priceCurrency", "'USD'"), prop("availability", "'https://schema.org/' || CASE WHEN p_size > 5 THEN 'InStock' ELSE 'OutOfStock' END"))
+ORACLES["jsonld_product"] = f"""SELECT p_partkey, {ld('Product', prop('name', 'p_name'), prop('url', "'https://shop.example.com/p/' || p_partkey"), prop('description', "p_type || ' size ' || p_size"),
+    prop('brand', node('Brand', prop('name', 'p_brand')), has('p_brand'), raw=True), prop('offers', _OFFER, raw=True))} AS json FROM part"""
+
+_RR = " ".join(f"WHEN {q(t)} THEN [{qs(p)}]::VARCHAR[]" for t, p in structured.RICH_RESULT_TYPES.items())
+_OBJ = "json_valid(data) AND data[1] = '{'"
+ORACLES["validate_rich_results"] = f"""SELECT ord, CAST(n AS INTEGER) AS n, len(errors) = 0 AS is_valid, array_to_string(errors, '|') AS errors, array_to_string(warnings, '|') AS warnings,
+    CASE WHEN t IN ({qs(structured.RICH_RESULT_TYPES)}) THEN t END AS rich_result_type, array_to_string(gone, '|') AS missing_required FROM (
+    SELECT *, CASE WHEN NOT valid THEN ['Invalid JSON'] ELSE list_filter(list_concat([CASE WHEN cx <> 'https://schema.org' THEN '@context must be ''https://schema.org''' END, CASE WHEN t = '' THEN 'Missing @type property' END,
+            CASE WHEN t = 'FAQPage' AND coalesce(len(ents), 0) = 0 THEN 'FAQPage must have mainEntity array' END, CASE WHEN t = 'BreadcrumbList' AND coalesce(len(items), 0) = 0 THEN 'BreadcrumbList must have itemListElement array' END],
+            CASE WHEN t = 'BreadcrumbList' THEN list_transform(items, lambda e, i: CASE WHEN json_extract(e, '$.name') IS NULL THEN 'ListItem ' || i || ' missing ''name''' END) ELSE [] END,
+            [CASE WHEN t = 'Organization' AND NOT list_contains(ks, 'name') THEN 'Organization must have ''name''' END]), lambda x: x IS NOT NULL) END AS errors,
+        CASE WHEN NOT valid THEN [] ELSE list_filter(list_concat(list_transform(gone, lambda m: 'Missing recommended property for ' || t || ': ' || m),
+            CASE WHEN t = 'FAQPage' THEN flatten(list_transform(ents, lambda e, i: [CASE WHEN coalesce(json_extract_string(e, '$."@type"'), '') <> 'Question' THEN 'Entity ' || i || ' should have @type Question' END,
+                CASE WHEN coalesce(json_extract_string(e, '$.acceptedAnswer."@type"'), '') <> 'Answer' THEN 'Entity ' || i || ' acceptedAnswer should have @type Answer' END])) ELSE [] END,
+            CASE WHEN t = 'BreadcrumbList' THEN list_transform(items, lambda e, i: CASE WHEN json_extract(e, '$.position') IS NULL THEN 'ListItem ' || i || ' missing ''position''' END) ELSE [] END,
+            [CASE WHEN t = 'Article' AND NOT list_contains(ks, 'datePublished') THEN 'Article should have datePublished' END, CASE WHEN t = 'Article' AND NOT list_contains(ks, 'author') THEN 'Article should have author' END,
+             CASE WHEN t = 'Organization' AND NOT list_contains(ks, 'url') THEN 'Organization should have ''url''' END]), lambda x: x IS NOT NULL) END AS warnings FROM (
+        SELECT *, coalesce(list_filter(CASE t {_RR} END, lambda p: NOT list_contains(ks, p)), []) AS gone FROM (
+            SELECT ord, n, valid, coalesce(ty, '') AS t, coalesce(context, '') AS cx, coalesce(keys, []) AS ks, CASE WHEN {_OBJ} THEN json_extract(data, '$.mainEntity[*]') END AS ents, CASE WHEN {_OBJ} THEN json_extract(data, '$.itemListElement[*]') END AS items FROM json_ld)))"""
+
+
+def suggestions(templates, slot: str, frm: str = "page") -> str:
+    return " UNION ALL ".join(f"SELECT ord, {i} AS n, {fill(t, slot)} AS suggestion FROM {frm}" for i, t in enumerate(templates, 1))
+
+
+_CLEAN = f"CASE WHEN {_T} THEN trim(replace(replace(title, '|', '-'), ':', '-')) ELSE 'This Page' END"
+
+
+def page_meta(frm: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT ord, {i} AS n, {fill(t, _CLEAN if slot == 'title' else f'string_split({_CLEAN}, {q(chr(32))})[1]')} AS suggestion FROM {frm}" for i, (slot, t) in enumerate(structured.PAGE_META_TEMPLATES, 1))
+
+
+_T30, _T35 = f"CASE WHEN {_T} THEN substr(title, 1, 30) ELSE 'This Page' END", f"CASE WHEN {_T} THEN substr(title, 1, 35) ELSE 'Our Platform' END"
+ORACLES["title_suggestions"] = suggestions(structured.TITLE_TEMPLATES, "title")
+ORACLES["page_title_suggestions"] = suggestions(structured.PAGE_TITLE_TEMPLATES, _T30)
+ORACLES["meta_suggestions"] = suggestions(structured.META_TEMPLATES, f"CASE WHEN {_T} THEN title ELSE 'this page' END")
+ORACLES["page_meta_suggestions"] = page_meta("page")
+ORACLES["h1_suggestions"] = suggestions(structured.H1_TEMPLATES, "coalesce(first_h1, nullif(title, ''), 'Our Platform')")
+ORACLES["page_h1_suggestions"] = suggestions(structured.PAGE_H1_TEMPLATES, _T35)
+ORACLES["issue_explanations"] = f"SELECT ord, seq, issue_type, {fill(structured.EXPLANATION, 'issue_type', 'description')} AS explanation FROM issue"
+
+
+def needing(word: str) -> str:
+    return f"(SELECT * FROM page WHERE ord IN (SELECT ord FROM issue WHERE ord >= 0 AND contains(issue_type, {q(word)})))"
+
+
+ORACLES["suggestions_for_issues"] = " UNION ALL ".join([
+    suggestions(structured.PAGE_TITLE_TEMPLATES, _T30, needing("Title")), page_meta(needing("Meta Description")), suggestions(structured.PAGE_H1_TEMPLATES, _T35, needing("H1"))])
+
+# --- streaming -----------------------------------------------------------------------------
+ORACLES["stream_page_audit"] = ORACLES["page_issues"]
+ORACLES["stream_visited"] = f"SELECT DISTINCT site, {normalized('url')} AS url_key FROM crawl"
+TABLES["minute"] = "SELECT make_timestamp((1704067200 + (ord // 60) * 60) * 1000000) AS window_start, count(*) AS pages FROM crawl GROUP BY 1"
+ORACLES["stream_progress"] = "SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, pages, pages / 60 AS pages_per_sec FROM minute WHERE window_start + INTERVAL 1 MINUTE <= (SELECT make_timestamp((1704067200 + max(ord)) * 1000000) FROM crawl)"
+ORACLES["stream_site_scores"] = f"""SELECT site, count(*) AS pages, round(avg(s), 4) AS avg_score, round(avg(ms), 4) AS avg_response_ms, round(avg(html_size_bytes), 4) AS avg_html_bytes, round(avg(j) * 100, 4) AS json_ld_pct, round(avg(o) * 100, 4) AS og_pct FROM (
+    SELECT site, greatest(0, least(100, 100 - ({_PENALTY}))) AS s, CAST(coalesce(total_ms, 0) AS DOUBLE) AS ms, html_size_bytes, CASE WHEN n_blocks > 0 THEN 1 ELSE 0 END AS j, CASE WHEN n_og > 0 THEN 1 ELSE 0 END AS o FROM pagex) GROUP BY site"""
