@@ -55,16 +55,15 @@ def strip_slashes(url: str) -> str:
     return f"rtrim('/', {url})"
 
 
-def remove_dots(p: str) -> str:
-    """Resolve `.` and `..` segments, and drop empty middle segments of a merged path."""
-    kept = "filter(sg, (s, i) -> i = 0 or i = size(sg) - 1 or s <> '')"
+def remove_dots(p: str, merged: str) -> str:
+    """Resolve `.` and `..` segments; empty middle segments go only where `merged` holds."""
+    kept = f"if({merged}, filter(sg, (s, i) -> i = 0 or i = size(sg) - 1 or s <> ''), sg)"
     walked = (
         f"aggregate({kept}, cast(array() as array<string>), (acc, s) -> case "
         "when s = '..' then slice(acc, 1, greatest(size(acc) - 1, 0)) when s = '.' then acc else concat(acc, array(s)) end)"
     )
-    closed = f"if(element_at(sg, -1) in ('.', '..'), concat({walked}, array('')), {walked})"
-    joined = f"array_join({closed}, '/')"
-    return f"get(transform(array(split({p}, '/', -1)), sg -> coalesce(nullif({joined}, ''), '/')), 0)"
+    joined = f"array_join(if(element_at(sg, -1) in ('.', '..'), concat({walked}, array('')), {walked}), '/')"
+    return f"get(transform(array(split({p}, '/', -1)), sg -> get(transform(array({joined}), o -> if(startswith(o, '/'), o, concat('/', o))), 0)), 0)"
 
 
 def split_url(url: str) -> str:
@@ -85,8 +84,9 @@ def resolve(base: str, r: str) -> str:
     root = f"{base}.scheme, '://', {base}.netloc"
     merged = f"concat(regexp_replace({base}.path, '[^/]*$', ''), {r}.path)"
     rooted = f"if(startswith({r}.path, '/'), {r}.path, if(startswith({merged}, '/'), {merged}, concat('/', {merged})))"
-    dotted = lit(r"(^|/)[.]{1,2}(/|$)|//")
-    resolved = f"if(startswith({r}.path, '/') and not {r}.path rlike {dotted}, {r}.path, {remove_dots(rooted)})"
+    absent = f"not startswith({r}.path, '/')"
+    dotted = lit(r"(^|/)[.]{1,2}(/|$)")
+    resolved = f"if(startswith({r}.path, '/') and not {r}.path rlike {dotted}, {r}.path, {remove_dots(rooted, absent)})"
     foreign = (
         f"(({r}.scheme <> '' and {r}.scheme <> {base}.scheme) or not {r}.scheme in "
         f"({', '.join(lit(s) for s in HIERARCHICAL_SCHEMES)}))"

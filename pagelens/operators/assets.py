@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.operators.rules import ISSUE_COLUMNS, finding
-from pagelens.operators.skew import salted_join
+from pagelens.operators.skew import sized_join
 
 
 def link_rows(page: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def asset_status(refs: DataFrame, url_status: DataFrame) -> DataFrame:
 
 
 def checked_references(refs: DataFrame, url_status: DataFrame) -> DataFrame:
-    """Every reference with the status of its target. A popular target is salted."""
+    """Every reference with the status of its target. Where statuses are many, a popular target is salted."""
     known = url_status.groupBy(F.col("url").alias("target")).agg(F.max("status_code").alias("status_code"))
-    joined = salted_join(refs, known, ["target"], ["site", "ord", "n"])
+    joined = sized_join(refs, known, ["target"], ["site", "ord", "n"], known)
     return joined.withColumn("is_broken", F.expr(BROKEN))
 
 
@@ -70,7 +70,7 @@ def hreflang_targets(page: DataFrame, url_status: DataFrame) -> DataFrame:
     back = edges.selectExpr("target_url as source_url", "source_url as target_url").distinct().withColumn("_back", F.lit(True))
     known = url_status.groupBy(F.col("url").alias("target_url")).agg(F.max("status_code").alias("status_code"))
     paired = edges.join(back, ["source_url", "target_url"], "left")
-    return salted_join(paired, known, ["target_url"], ["site", "ord", "n"]).selectExpr(
+    return sized_join(paired, known, ["target_url"], ["site", "ord", "n"], known).selectExpr(
         "site", "ord", "source_url", "n", "target_url", "language_code", "country_code", "is_x_default",
         "coalesce(_back, false) as has_return_link", "status_code", f"{BROKEN} as is_broken_target",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.arrays import STRINGS, any_word, lit, lits
 from pagelens.functions.text import tokenize
-from pagelens.operators.skew import hot_keys, salted_join
+from pagelens.operators.skew import sized_join
 
 # Fixed values.
 STOP_WORDS = """
@@ -102,25 +102,42 @@ def tokens(texts: DataFrame) -> DataFrame:
     return texts.withColumn("tokens", F.expr(tokenize("text")))
 
 
-def _terms() -> str:
-    """Keyword occurrences of one page as array<struct<n,pos,term>>, in counting order."""
-    def phrases(n: int) -> str:
-        words = ", ".join(f"get(tokens, i + {k})" for k in range(n))
-        keep = " and ".join(_NOT_STOP.format(f"get(tokens, i + {k})") for k in range(n))
-        starts = f"filter(sequence(0, greatest(size(tokens) - {n}, 0)), i -> i + {n} <= size(tokens) and {keep})"
-        return f"transform({starts}, i -> named_struct('n', {n}, 'pos', i, 'term', concat_ws(' ', {words})))"
-
-    return f"concat({phrases(1)}, {phrases(2)}, {phrases(3)})"
+# Keyword occurrences are ordered by (page order, phrase length, position). Page order and position
+# share one bigint, because a minimum over a number stays in the hash aggregate while one over a
+# struct sorts every row. Positions stay below 2^24 for any page under the fetch size limit.
+POSITION_BITS = 24
 
 
 def occurrences(tokenized: DataFrame) -> DataFrame:
-    """One row per keyword occurrence, with the page's placement flags for single words."""
-    exploded = tokenized.selectExpr("site", "ord", "url", "title", "description", "headings", f"inline({_terms()})")
+    """One row per keyword occurrence: `is_first` marks the first of its keyword on its page.
+
+    Stop words are looked up once per token. A page's occurrences are sorted inside its own row, so
+    pages per keyword can be counted without grouping by page first. Placement flags are set for
+    single words only.
+    """
+    words = tokenized.selectExpr(
+        "site", "ord", "url", "title", "description", "headings",
+        f"transform(tokens, t -> named_struct('w', t, 'ok', {_NOT_STOP.format('t')})) as words",
+    )
+
+    def grams(n: int) -> str:
+        at = ["x"] + [f"get(words, i + {k})" for k in range(1, n)]
+        keep = " and ".join(f"{a}.ok" for a in at)
+        text = f"concat_ws(' ', {', '.join(f'{a}.w' for a in at)})" if n > 1 else "x.w"
+        made = f"transform(words, (x, i) -> if({keep}, named_struct('term', {text}, 'n', {n}, 'pos', i), null))"
+        return f"filter({made}, g -> g is not null)"
+
+    sorted_terms = words.selectExpr(
+        "site", "ord", "url", "title", "description", "headings", f"sort_array(concat({grams(1)}, {grams(2)}, {grams(3)})) as terms"
+    )
+    marked = "transform(terms, (g, i) -> named_struct('term', g.term, 'n', g.n, 'pos', g.pos, 'is_first', i = 0 or get(terms, i - 1).term <> g.term))"
+    exploded = sorted_terms.selectExpr("site", "ord", "url", "title", "description", "headings", f"inline({marked})")
+
     def placed(cond: str) -> str:
-        return f"n = 1 and coalesce({cond}, false)"
+        return f"n = 1 and is_first and coalesce({cond}, false)"
 
     return exploded.selectExpr(
-        "site", "ord", "url", "n", "pos", "term",
+        "site", "ord", "url", "n", "pos", "term", "is_first",
         f"{placed('contains(title, term)')} as in_title",
         f"{placed('contains(description, term)')} as in_meta",
         f"{placed('exists(headings, h -> contains(h, term))')} as in_headings",
@@ -131,16 +148,9 @@ def occurrences(tokenized: DataFrame) -> DataFrame:
 FLAGS = ["in_title", "in_meta", "in_headings", "in_url"]
 
 
-def per_page_counts(tokenized: DataFrame) -> DataFrame:
-    """Occurrences per page and keyword; combined on the map side before any shuffle."""
-    return occurrences(tokenized).groupBy("site", "term", "n", "ord", "url").agg(
-        F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"), *[F.max(f).alias(f) for f in FLAGS]
-    )
-
-
 def keyword_pages(tokenized: DataFrame) -> DataFrame:
     """Every page of every keyword, as rows."""
-    return per_page_counts(tokenized).selectExpr("site", "term as keyword", "url", "c as count")
+    return occurrences(tokenized).groupBy("site", F.col("term").alias("keyword"), "ord", "url").agg(F.count(F.lit(1)).alias("count")).drop("ord")
 
 
 def vocabulary(tokenized: DataFrame) -> DataFrame:
@@ -156,20 +166,22 @@ def vocabulary(tokenized: DataFrame) -> DataFrame:
 def keyword_table(tokenized: DataFrame) -> DataFrame:
     """One row per site and keyword: count, pages, density, placement, first occurrence.
 
-    Counting is two partial aggregations, so no task holds one keyword's pages. Sites with a large
-    share of the pages are salted when the site total is joined.
+    One aggregation, combined on the map side, counts occurrences and pages together; no task holds
+    one keyword's pages. The site total is broadcast when the sites are few, else sites with a
+    large share of the pages are salted.
     """
-    counted = per_page_counts(tokenized).groupBy("site", "term", "n").agg(
-        F.sum("c").alias("count"),
-        F.count(F.lit(1)).alias("n_pages"),
-        F.min(F.struct("ord", "n", "pos")).alias("first_seen"),
+    counted = occurrences(tokenized).groupBy("site", "term", "n").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.expr("sum(if(is_first, 1L, 0L))").alias("n_pages"),
+        F.expr(f"min(shiftleft(ord, {POSITION_BITS}) + pos)").alias("seen"),
         *[F.max(f).alias(f) for f in FLAGS],
     )
     totals = tokenized.groupBy("site").agg(F.expr("sum(cast(size(tokens) as bigint))").alias("total_tokens"))
-    joined = salted_join(counted, totals, ["site"], ["term"], hot=hot_keys(tokenized, ["site"]))
+    joined = sized_join(counted, totals, ["site"], ["term"], tokenized)
     return joined.selectExpr(
         "site", "term as keyword", "n", "count", "n_pages",
-        "if(total_tokens = 0, 0.0D, round(count / total_tokens * 100, 2)) as density", *FLAGS, "first_seen",
+        "if(total_tokens = 0, 0.0D, round(count / total_tokens * 100, 2)) as density", *FLAGS,
+        f"named_struct('ord', shiftright(seen, {POSITION_BITS}), 'n', n, 'pos', seen % {1 << 24}) as first_seen",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.arrays import fill, lit
 from pagelens.operators.catalog import ISSUES, RULE_NUMBER, RULE_STRIDE
 from pagelens.operators.rules import ISSUE_COLUMNS, page_penalty
-from pagelens.operators.skew import salted_join
+from pagelens.operators.skew import salted_join, sized_join
 
 # A duplicate finding names this many of the other pages; the members table holds all of them.
 NAMED_MEMBERS = 20
@@ -113,12 +113,12 @@ def orphan_issues(orphans: DataFrame, probe: DataFrame) -> DataFrame:
 def page_scores(page: DataFrame, probe: DataFrame, checked_refs: DataFrame | None = None) -> DataFrame:
     """Per-page score before (`base_score`) and after (`score`) broken links and images.
 
-    The two robots and sitemap penalties are per site, so sites that hold a large share of the
-    pages are salted; broken counts are per page and join one to one.
+    The two robots and sitemap penalties are per site: broadcast when the sites are few, else
+    salted. Broken counts are per page and join one to one.
     """
     scored = page.selectExpr("site", "ord", "url", f"{page_penalty()} as penalty")
     flags = probe.selectExpr("site", "if(robots_txt_found, 0, 5) + if(sitemap_xml_found, 0, 5) as site_penalty")
-    joined = salted_join(scored, flags, ["site"], ["ord"])
+    joined = sized_join(scored, flags, ["site"], ["ord"], probe)
     base = joined.selectExpr(
         "site", "ord", "url", "cast(greatest(0, least(100, 100 - penalty - coalesce(site_penalty, 10))) as int) as base_score"
     )

@@ -37,3 +37,20 @@ def salted_join(
     last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(0)
     repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+# A dimension of at most this many narrow rows may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], key_source: DataFrame, how: str = "left") -> DataFrame:
+    """Join a dimension with one row per key: broadcast when counted to be small, else salted.
+
+    `key_source` is a table holding every key of `right` that is cheap to read (a stored column).
+    Its distinct keys are counted up to the limit, which proves the size of `right` before it is
+    broadcast.
+    """
+    keys = key_source.select(*on).distinct().limit(BROADCAST_ROWS + 1).count()
+    if keys <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    return salted_join(left, right, on, spread_by, how)

@@ -21,15 +21,15 @@ def _case(modulus: int, cases: dict[int, str]) -> str:
 
 DESCRIPTION = _case(5, {
     1: "'<meta name=\"description\" content=\"Short text ' || page_id || '\">'",
-    2: "'<META NAME=''Description'' CONTENT='' How to read the guide &amp; learn about page number ' || page_id % 40 || ' of this site today ''/>'",
+    2: "'<META NAME=''Description'' CONTENT='' How to read the guide &amp; learn about page number ' || page_id % 2 || ' of this site today ''/>'",
     3: "'<meta content=\"' || repeat('A long description that goes on. ', 6) || page_id % 3 || '\" name=description>'",
     4: "'<meta property=\"og:description\" content=\"Discover the page called ' || page_id || ' and what it has to offer to all readers\">'",
 })
 CANONICAL = _case(6, {
     1: "'<link rel=\"canonical\" href=\"' || url || '\">'",
     2: "'<link href=''/primary-page'' rel=''Canonical''>'",
-    3: "'<link rel=\"canonical\" href=\"' || url || '\"><link rel=\"canonical\" href=\"/other\">'",
-    4: "'<link rel=\"canonical\" href=\"' || replace(url, 'http://', 'https://') || '\">'",
+    3: "'<link rel=\"canonical\" href=\"' || replace(url, 'http://', 'https://') || '\">'",
+    4: "'<link rel=\"canonical\" href=\"' || url || '\"><link rel=\"canonical\" href=\"/other\">'",
     5: "'<link rel=\"canonical\" href=\"../up/' || page_id || '/\">'",
 })
 VIEWPORT = _case(4, {
@@ -71,7 +71,7 @@ JSON_LD = _case(8, {
     6: "'<script type=\"application/ld+json\">{\"@context\":\"http://example.org\",\"@type\":\"NewsArticle\",\"headline\":\"h\",\"image\":\"i\",\"author\":\"a\"}</script>'",
     7: "'<script type=\"application/ld+json\">{\"@context\":\"https://schema.org\",\"@type\":\"BreadcrumbList\",\"itemListElement\":[{\"name\":\"Home\",\"position\":1},{\"position\":2},{\"name\":\"x\"}]}</script>'",
 })
-SCRIPT_STATE = _case(50, {
+SCRIPT_STATE = _case(100, {
     9: "'<script>window.__NEXT_DATA__ = {\"props\":{\"pageProps\":{\"title\":\"State title ' || page_id || '\",\"description\":\"A description kept in page state only\"}}};</script>'",
     34: "'<script>window.__NUXT__ = {\"head\":{\"title\":\"Nuxt head ' || page_id || '\"}};</script>'",
 })
@@ -95,17 +95,21 @@ IMAGES = _case(3, {
 MIXED = _case(6, {
     5: "'<form action=\"http://forms.example.com/' || page_id || '\"></form><p style=\"background:url(http://css.example.com/a.png)\">x</p>'",
 })
-TITLE_START = _case(25, {
-    9: "'<notitle>'",
-    11: "'<title>A title that is made much longer than sixty five characters by this prefix '",
-})
+# What the opening title tag becomes: gone, long, or one title that many pages share.
+_COMMON = "'<title>Common page</title><span>'"
+TITLE_START = (
+    "(CASE page_id % 25 WHEN 9 THEN '<notitle>' WHEN 11 THEN '<title>A title that is made much longer than sixty five characters by this prefix ' "
+    f"WHEN 2 THEN {_COMMON} WHEN 7 THEN {_COMMON} WHEN 12 THEN {_COMMON} WHEN 17 THEN {_COMMON} WHEN 22 THEN {_COMMON} ELSE '<title>' END)"
+)
+HTML_START = "(CASE page_id % 31 WHEN 30 THEN '<html data-l=' ELSE '<html lang=' END)"
+H1_START = "(CASE page_id % 23 WHEN 22 THEN '<h5>' ELSE '<h1>' END)"
 
 DERIVED_COLUMNS = {
     "ord": "page_id",
     "site": "regexp_extract(url, '//([^/?#]*)', 1)",
     "url": "url",
     "html": (
-        "replace(replace(CASE WHEN page_id % 25 IN (9, 11) THEN replace(html, '<title>', " + TITLE_START + ") ELSE html END, '</head>', "
+        f"replace(replace(replace(replace(replace(html, '<title>', {TITLE_START}), '<html lang=', {HTML_START}), '<h1>', {H1_START}), '</head>', "
         + " || ".join([DESCRIPTION, CANONICAL, VIEWPORT, OPEN_GRAPH, TWITTER, ICON, ROBOTS_META, HREFLANG,
                        PAGING, AMP, HTTP_EQUIV, JSON_LD, SCRIPT_STATE, SOFT_404])
         + " || '</head>'), '<footer>', "

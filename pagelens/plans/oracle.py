@@ -375,7 +375,7 @@ ORACLES["url_join"] = f"SELECT page_id, CAST(i - 1 AS INTEGER) AS n, {absolute('
 # --- sources -------------------------------------------------------------------------------
 ORACLES["read_crawl"] = "SELECT ord, site, url, status_code, html_size_bytes, compressed_size, CAST(crawl_depth AS INTEGER) AS crawl_depth FROM doc WHERE status_code BETWEEN 200 AND 299"
 ORACLES["fetch_guard"] = """SELECT ord, CASE WHEN h_type NOT LIKE '%text/html%' THEN 'Non-HTML content: ' || h_type WHEN CAST(h_length AS BIGINT) > 10485760 THEN 'Content length exceeds maximum limit.' END AS error_message,
-    CASE WHEN h_type NOT LIKE '%text/html%' OR CAST(h_length AS BIGINT) > 10485760 THEN 0 ELSE length(html) END AS html_length FROM crawl"""
+    CASE WHEN h_type NOT LIKE '%text/html%' OR CAST(h_length AS BIGINT) > 10485760 THEN 0 ELSE CAST(length(html) AS INTEGER) END AS html_length FROM crawl"""
 TABLES["sitemap_document"] = f"SELECT page_id, {', '.join(derived.SITEMAP_DOCUMENT_COLUMNS)} FROM pages"
 ORACLES["sitemap_locs"] = r"SELECT url AS sitemap_url, unnest(regexp_extract_all(body, '(?i)<loc>\s*(https?://[^\s<]+)\s*</loc>', 1)) AS loc FROM sitemap_document"
 ORACLES["read_sitemap"] = f"""SELECT regexp_extract(d.url, '//([^/]*)', 1) AS site, d.url AS sitemap_url, replace(trim(loc), '&amp;', '&') AS loc, nullif(lastmod, '') AS lastmod,
@@ -722,7 +722,7 @@ ORACLES["page_text"] = "SELECT ord, text FROM ptext"
 ORACLES["page_text_labeled"] = """SELECT p.ord, array_to_string(list_filter(list_concat([CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN meta_description <> '' THEN 'Description: ' || meta_description END], labeled), lambda x: x IS NOT NULL), ' | ') AS labeled_text
     FROM page p LEFT JOIN heading_text USING (ord)"""
 ORACLES["tokenize"] = "SELECT ord, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM kp_toks"
-ORACLES["stop_filter"] = "SELECT ord, pos, term FROM kp_occ WHERE n = 1"
+ORACLES["stop_filter"] = "SELECT ord, CAST(pos AS INTEGER) AS pos, term FROM kp_occ WHERE n = 1"
 ORACLES["ngrams"] = """SELECT ord, CAST(row_number() OVER (PARTITION BY ord ORDER BY n, pos) - 1 AS INTEGER) AS pos, phrase FROM (
     SELECT ord, 2 AS n, pos, token || ' ' || t2 AS phrase FROM kp_gram WHERE t2 IS NOT NULL UNION ALL SELECT ord, 3, pos, token || ' ' || t2 || ' ' || t3 FROM kp_gram WHERE t3 IS NOT NULL)"""
 _KW = "site, keyword, count, n_pages, density, in_title, in_meta, in_headings, in_url"
@@ -731,9 +731,9 @@ ORACLES["keyword_pages"] = "SELECT site, term AS keyword, url, c AS count FROM k
 ORACLES["keyword_density"] = "SELECT site, keyword, density FROM kp_kw"
 ORACLES["keyword_placement"] = f"SELECT {_KW} FROM kp_kw"
 ORACLES["vocabulary_stats"] = "SELECT site, CAST(t.total AS BIGINT) AS total_tokens, coalesce(u.n, 0) AS unique_tokens FROM kp_total t LEFT JOIN (SELECT site, count(DISTINCT token) AS n FROM kp_tok GROUP BY site) u USING (site)"
-ORACLES["primary_keywords"] = f"SELECT rank, {_KW} FROM kp_one"
-ORACLES["secondary_keywords"] = f"SELECT rank, {_KW} FROM kp_two"
-ORACLES["lsi_keywords"] = "SELECT site, rank, keyword, count, density FROM kp_lsi"
+ORACLES["primary_keywords"] = f"SELECT CAST(rank AS INTEGER) AS rank, {_KW} FROM kp_one"
+ORACLES["secondary_keywords"] = f"SELECT CAST(rank AS INTEGER) AS rank, {_KW} FROM kp_two"
+ORACLES["lsi_keywords"] = "SELECT site, CAST(rank AS INTEGER) AS rank, keyword, count, density FROM kp_lsi"
 ORACLES["keyword_gaps"] = "SELECT site, rank, keyword FROM kp_gap"
 
 
@@ -790,7 +790,7 @@ ORACLES["keyword_labels"] = """SELECT site, n, keyword, kd, volume, CASE WHEN kd
 ORACLES["competitor_gap"] = """SELECT keyword, CAST(sum(count) AS BIGINT) AS competitor_count, count(*) AS competitor_sites FROM kp_kw WHERE site <> (SELECT min(site) FROM probe)
     AND keyword NOT IN (SELECT keyword FROM kp_kw WHERE site = (SELECT min(site) FROM probe)) GROUP BY keyword ORDER BY competitor_count DESC, keyword LIMIT 10"""
 ORACLES["document_keyword_count"] = "SELECT site, keyword, count, n_pages, density FROM kd_kw"
-ORACLES["document_primary_keywords"] = "SELECT site, rank, keyword, count, density FROM kd_one"
+ORACLES["document_primary_keywords"] = "SELECT site, CAST(rank AS INTEGER) AS rank, keyword, count, density FROM kd_one"
 ORACLES["keyword_csv"] = "SELECT site, CAST(position AS INTEGER) AS position, keyword, count, density FROM kp_top"
 
 # --- reports -------------------------------------------------------------------------------

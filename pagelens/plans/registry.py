@@ -18,6 +18,7 @@ from pagelens.operators.catalog import ISSUES
 from pagelens.plans import derived
 from pagelens.plans.snapshot import Snapshot, derived_snapshot, scratch
 from pagelens.sources import crawl as crawl_source
+from pagelens.session import spread
 from pagelens.sources import robots, sinks, sitemap
 from pagelens.streaming import audit as streaming
 
@@ -289,7 +290,7 @@ table("advanced_page", lambda s: s.advanced, "ord", "url", "word_count", "readab
 
 @query("document_readability")
 def _document_readability(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{content_metrics('text')} as m")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("doc_id", f"{content_metrics('text')} as m")
     ease = reading_ease("m.word_count", "m.sentence_count", "m.syllable_count")
     return docs.selectExpr("doc_id", "m.word_count as word_count", "m.sentence_count as sentence_count", "m.syllable_count as syllable_count",
                            f"{readability_band(ease)} as readability")
@@ -338,7 +339,7 @@ table("competitor_gap", lambda s: keywords.competitor_gap(s.keywords, s.probe.ag
 
 
 def _document_keywords(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return keywords.keyword_table(keywords.tokens(keywords.document_text(docs)))
 
 

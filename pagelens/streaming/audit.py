@@ -10,6 +10,7 @@ from pagelens.functions.urls import normalize_url
 from pagelens.operators.extract import page
 from pagelens.operators.rules import page_issues, page_penalty
 from pagelens.schemas import CRAWL
+from pagelens.session import spread
 
 WATERMARK = "10 minutes"
 
@@ -64,7 +65,7 @@ def stream_site_scores(crawl: DataFrame, table_path: str, checkpoint: str) -> St
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        site_partials(batch).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        site_partials(spread(batch)).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
     return crawl.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
