@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.functions.arrays import STRINGS, lit
+from pagelens.functions.arrays import STRINGS, contains_any, lit
 
 # Where page state is found, in the order it is looked up.
 STATE_MARKERS = ["__NEXT_DATA__", "__NUXT__", r"window\.__INITIAL_STATE__", r"window\.__APP_DATA__"]
@@ -25,7 +25,8 @@ def states(html: str) -> str:
     found = ", ".join(of(m) for m in STATE_MARKERS)
     valid = f"transform(array({found}), j -> if(try_parse_json(j) is not null, j, null))"
     none = ", ".join(["cast(null as string)"] * len(STATE_MARKERS))
-    return f"if({html} rlike {lit('|'.join(STATE_MARKERS))}, {valid}, array({none}))"
+    marked = contains_any(html, [m.replace("\\", "") for m in STATE_MARKERS])
+    return f"if({marked}, {valid}, array({none}))"
 
 
 def find_first(text: str, keys: list[str], min_length: int) -> str:

@@ -22,11 +22,14 @@ def visible_text(html: str) -> str:
 
 def content_metrics(text: str) -> str:
     """Counts over a visible text: words, characters, sentences, syllables."""
-    words = f"filter(split(tx, {lit(chr(92) + 's+')}), w -> w <> '')"
+    words = f"regexp_count(tx, {lit(chr(92) + 'S+')})"
     sentences = f"size(filter(split(tx, '[.!?]+'), s -> {strip('s')} <> ''))"
-    syllables = f"aggregate({words}, cast(0 as bigint), (acc, w) -> acc + greatest(1, regexp_count(lower(w), '[aeiouy]+')))"
+    # Vowel runs never cross a blank, so the sum over words of max(1, runs) is all runs of the text
+    # plus the words without one; a word with a vowel is one match from its first vowel on.
+    with_vowel = f"regexp_count(lower(tx), {lit('[aeiouy]' + chr(92) + 'S*')})"
+    syllables = f"cast(regexp_count(lower(tx), '[aeiouy]+') + {words} - {with_vowel} as bigint)"
     return (
-        f"get(transform(array({text}), tx -> named_struct('word_count', size({words}), 'character_count', length(tx), "
+        f"get(transform(array({text}), tx -> named_struct('word_count', {words}, 'character_count', length(tx), "
         f"'sentence_count', greatest(1, {sentences}), 'syllable_count', {syllables})), 0)"
     )
 

@@ -78,14 +78,21 @@ def outline(html: str, wanted: Iterable[str] = NODE_TAGS) -> list[tuple[str, int
     ]
 
 
+# Output rows per batch: bounds a worker's memory whatever the pages hold.
+BATCH_ROWS = 5000
+
+
 def _map_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            nodes = outline(row["html"])
-            if nodes:
-                yield pa.RecordBatch.from_pylist(
-                    [{"site": row["site"], "url": row["url"], "tag": t, "n": n, "ancestors": a} for t, n, a in nodes], schema=_NODE_TYPE
-                )
+        for i in range(batch.num_rows):
+            site, url, html = (batch.column(c)[i].as_py() for c in range(3))
+            rows += [{"site": site, "url": url, "tag": t, "n": n, "ancestors": a} for t, n, a in outline(html)]
+            if len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_NODE_TYPE)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_NODE_TYPE)
 
 
 CSS_SELECTOR = (

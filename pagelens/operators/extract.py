@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from pagelens.functions import urls as U
 from pagelens.functions.arrays import (
-    STRINGS, any_word, count_where, first_where, let, lit, lits, map_last_wins, nonempty, present, strip,
+    STRINGS, contains_any, count_where, first_where, let, lit, lits, map_last_wins, nonempty, present, strip,
 )
 from pagelens.functions.html import (
     COMMENT, OPAQUE, TAG_REST, attribute, inner_text, parse_attributes, tags, unescape,
@@ -34,6 +34,7 @@ SOFT_404_PATTERNS = [
     r"not\s+found", r"we\s+couldn.t\s+find", r"something\s+went\s+wrong",
     r"this\s+url\s+does\s+not\s+exist",
 ]
+SOFT_404_HINTS = ["found", "404", "exist", "available", "moved", "looking", "find", "wrong"]
 IMAGE_FORMATS = [
     (".webp", "webp"), (".avif", "avif"), (".png", "png"), (".jpg", "jpeg"), (".jpeg", "jpeg"),
     (".gif", "gif"), (".svg", "svg"), (".bmp", "bmp"), (".tiff", "tiff"), (".tif", "tiff"),
@@ -63,16 +64,19 @@ _SCRIPT = rf"(?is)<script(?=[\s>])({TAG_REST})>(.*?)</script\s*>"
 
 
 def is_js_rendered(html: str) -> str:
-    return f"lower(left({html}, {JS_WINDOW})) rlike {lit(any_word(JS_INDICATORS))}"
+    return let("sample", f"lower(left({html}, {JS_WINDOW}))", contains_any("sample", JS_INDICATORS))
 
 
 def is_spa_shell(html: str) -> str:
-    return f"(not {present(html)} or length({html}) < {SPA_MIN_LENGTH} or {html} rlike {lit(any_word(SPA_MARKERS))})"
+    return f"(not {present(html)} or length({html}) < {SPA_MIN_LENGTH} or {contains_any(html, SPA_MARKERS)})"
 
 
 def is_soft_404(status: str, html: str) -> str:
     pattern = lit("(?i)" + "|".join(SOFT_404_PATTERNS))
-    return f"coalesce({status} = 200 and left({html}, {SOFT_404_WINDOW}) rlike {pattern}, false)"
+    sample = f"left({html}, {SOFT_404_WINDOW})"
+    # Every pattern holds one of these words, so most pages never reach the expression.
+    hinted = let("sample", f"lower({sample})", contains_any("sample", SOFT_404_HINTS))
+    return f"coalesce({status} = 200 and {hinted} and {sample} rlike {pattern}, false)"
 
 
 def image_format(url: str) -> str:
@@ -147,16 +151,16 @@ def tag_arrays(crawl: DataFrame) -> DataFrame:
     )
     pieces = f"split(clean, {lit(r'(?i)<a(?=[\s/>])')})"
     anchors = (
-        f"transform(slice({pieces}, 2, size({pieces})), (p, i) -> named_struct('n', i + 1, "
+        f"transform(filter({pieces}, (p, i) -> i > 0), (p, i) -> named_struct('n', i + 1, "
         f"'at', {parse_attributes(f'regexp_extract(p, {lit(_ANCHOR)}, 1)')}, 'inner', regexp_extract(p, {lit(_ANCHOR)}, 2)))"
     )
     headings = (
-        f"filter(zip_with(regexp_extract_all(clean, {lit(_HEADING)}, 1), regexp_extract_all(clean, {lit(_HEADING)}, 2), "
-        f"(l, b) -> named_struct('level', cast(l as int), 'text', {inner_text('b')})), h -> h.text <> '')"
+        f"filter(transform(regexp_extract_all(clean, {lit(_HEADING)}, 0), m -> named_struct('level', cast(substring(m, 3, 1) as int), "
+        f"'text', {inner_text(f'regexp_extract(m, {lit(_HEADING)}, 2)')})), h -> h.text <> '')"
     )
     scripts = (
-        f"transform(zip_with(regexp_extract_all(uncommented, {lit(_SCRIPT)}, 1), "
-        f"regexp_extract_all(uncommented, {lit(_SCRIPT)}, 2), (a, b) -> named_struct('at', a, 'body', b)), "
+        f"transform(transform(regexp_extract_all(uncommented, {lit(_SCRIPT)}, 0), m -> named_struct("
+        f"'at', regexp_extract(m, {lit(_SCRIPT)}, 1), 'body', regexp_extract(m, {lit(_SCRIPT)}, 2))), "
         f"(s, i) -> named_struct('n', i + 1, 'at', {parse_attributes('s.at')}, 'body', {strip('s.body')}, "
         "'raw', concat('<script', s.at, '>', s.body, '</script>')))"
     )

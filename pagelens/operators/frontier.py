@@ -9,7 +9,7 @@ from pagelens.functions import urls as U
 from pagelens.functions.arrays import lit, present, strip
 from pagelens.functions.html import attribute
 from pagelens.operators.extract import tag_arrays
-from pagelens.operators.skew import salted_join
+from pagelens.operators.skew import hot_keys, salted_join
 from pagelens.session import ensure_checkpoint_dir
 
 # Fixed values.
@@ -64,11 +64,13 @@ def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataF
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     edges = edges.distinct().checkpoint()
+    # A hub page or a shared section has a large share of all edges: its edges are salted.
+    hot = hot_keys(edges, ["site", "source_key"]).checkpoint()
     reached = seeds.select("site", "url_key").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = reached
     for depth in range(1, max_depth + 1):
         step = (
-            frontier.selectExpr("site", "url_key as source_key").join(edges, ["site", "source_key"])
+            salted_join(edges, frontier.selectExpr("site", "url_key as source_key"), ["site", "source_key"], ["target_key"], "inner", hot)
             .selectExpr("site", "target_key as url_key").distinct()
             .join(reached.select("site", "url_key"), ["site", "url_key"], "left_anti")
             .withColumn("depth", F.lit(depth))

@@ -374,11 +374,9 @@ def keyword_labels(expanded: DataFrame) -> DataFrame:
 
 def competitor_gap(table: DataFrame, ours: DataFrame, k: int = 10) -> DataFrame:
     """Keywords other sites use and `ours` (one row: site) does not, most used first."""
-    flagged = table.crossJoin(F.broadcast(ours.selectExpr("site as our_site").limit(1)))
-    totals = flagged.groupBy("keyword").agg(
-        F.sum(F.expr("if(site = our_site, 0L, count)")).alias("competitor_count"),
-        F.expr("count_if(site <> our_site)").alias("competitor_sites"),
-        F.expr("max(site = our_site)").alias("used"),
+    own = F.col("site") == ours.agg(F.min("site")).scalar()
+    totals = table.withColumn("own", own).groupBy("keyword").agg(
+        F.sum(F.expr("if(own, 0L, count)")).alias("competitor_count"), F.expr("count_if(not own)").alias("competitor_sites"), F.max("own").alias("used")
     )
     return (
         totals.where("not used and competitor_sites > 0").drop("used").orderBy(F.desc("competitor_count"), "keyword").limit(k)

@@ -14,12 +14,8 @@ SALTS = 64
 def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
     """Keys holding at least 1/HOT_SHARE of the rows. Only the key columns are read."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .where(f"_n * {HOT_SHARE} >= _total and _n > 1")
-        .select(*on)
-    )
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where((F.col("_n") * HOT_SHARE >= total) & (F.col("_n") > 1)).select(*on)
 
 
 def salted_join(

@@ -986,8 +986,8 @@ def one_question(name: str, text: str) -> str:
 _FB_TEXT = f"CASE WHEN {_D} THEN substr(meta_description, 1, 200) ELSE 'Information about ' || title END"
 _FB = questions(node("Question", prop("name", "'What is ' || title || '?'", "title IS NOT NULL"), prop("acceptedAnswer", node("Answer", prop("text", _FB_TEXT, f"{_FB_TEXT} IS NOT NULL")), raw=True)))
 ORACLES["jsonld_faq_fallback"] = f"SELECT ord, {_FB} AS json FROM page"
-ORACLES["jsonld_faq"] = f"""SELECT conv_id, {questions("string_agg(" + one_question('a.text', 'b.text') + ", ',' ORDER BY a.turn)")} AS json
-    FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1 GROUP BY conv_id"""
+ORACLES["jsonld_faq"] = f"""SELECT conv_id, CAST(a.turn // 1000 AS INTEGER) AS part, {questions("string_agg(" + one_question('a.text', 'b.text') + ", ',' ORDER BY a.turn)")} AS json
+    FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1 GROUP BY conv_id, a.turn // 1000"""
 _SEARCH = node("SearchAction", prop("target", node("EntryPoint", prop("urlTemplate", "rtrim(start_url, '/') || '/search?q={search_term_string}'")), raw=True), prop("query-input", "'required name=search_term_string'"))
 ORACLES["jsonld_website_search"] = f"SELECT site, {ld('WebSite', prop('name', 'site'), prop('url', 'start_url'), prop('potentialAction', _SEARCH, raw=True))} AS json FROM probe"
 _CRUMB = node("ListItem", prop("position", "CAST(i AS INTEGER)"), prop("name", "name"), prop("item", "item", "item IS NOT NULL"))

@@ -30,6 +30,7 @@ RUN_DATE = "2024-06-01"
 AGENT = "PageLens/1.0"
 MAX_DEPTH = 3
 MAX_PAGES = 5
+FAQ_TURNS = 1000
 
 
 def query(name: str):
@@ -447,13 +448,15 @@ def _jsonld_product(spark, sf_dir):
 
 @query("jsonld_faq")
 def _jsonld_faq(spark, sf_dir):
-    """A user turn and the answer that follows it; the turns of a conversation are few."""
+    """A user turn and the answer that follows it. A long conversation becomes several documents."""
     turns = _read(spark, sf_dir, "conversations")
     asked = turns.where("role = 'user'").selectExpr("conv_id", "turn", "text as question")
     answered = turns.where("role = 'assistant'").selectExpr("conv_id", "turn - 1 as turn", "text as answer")
-    per_conv = asked.join(answered, ["conv_id", "turn"])
-    grouped = per_conv.groupBy("conv_id").agg(F.expr("transform(sort_array(collect_list(struct(turn, question, answer))), x -> named_struct('question', x.question, 'answer', x.answer)) as entries"))
-    return grouped.selectExpr("conv_id", f"{structured.faq('entries')} as json")
+    pairs = asked.join(answered, ["conv_id", "turn"]).selectExpr("*", f"cast(floor(turn / {FAQ_TURNS}) as int) as part")
+    grouped = pairs.groupBy("conv_id", "part").agg(
+        F.expr("transform(sort_array(collect_list(struct(turn, question, answer))), x -> named_struct('question', x.question, 'answer', x.answer)) as entries")
+    )
+    return grouped.selectExpr("conv_id", "part", f"{structured.faq('entries')} as json")
 
 
 SUGGESTION_OUT = ["ord", "n", "suggestion"]
