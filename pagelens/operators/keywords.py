@@ -224,9 +224,11 @@ def top_keywords(table: DataFrame) -> DataFrame:
     )
 
 
-def keyword_report(tokenized: DataFrame) -> DataFrame:
-    """One row per site with the ranked lists, the gaps and the vocabulary size."""
-    table = keyword_table(tokenized)
+def keyword_report(tokenized: DataFrame, table: DataFrame) -> DataFrame:
+    """One row per site with the ranked lists, the gaps and the vocabulary size.
+
+    `table` is the stored keyword table, which the four lists rank without counting again.
+    """
 
     def listed(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("site").agg(F.expr("array_join(transform(sort_array(collect_list(struct(rank, keyword))), r -> r.keyword), '|')").alias(name))

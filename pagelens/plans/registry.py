@@ -326,7 +326,7 @@ table("primary_keywords", lambda s: keywords.primary_keywords(s.keywords), "rank
 table("secondary_keywords", lambda s: keywords.secondary_keywords(s.keywords), "rank", *KEYWORD_OUT)
 table("lsi_keywords", lambda s: keywords.lsi_keywords(s.keywords), "site", "rank", "keyword", "count", "density")
 table("keyword_gaps", lambda s: s.gaps)
-table("keyword_report", lambda s: keywords.keyword_report(s.tokenized))
+table("keyword_report", lambda s: keywords.keyword_report(s.tokenized, s.keywords))
 table("keyword_overview", lambda s: keywords.keyword_overview(s.top_keywords))
 table("keyword_search", lambda s: keywords.keyword_search(keywords.keyword_overview(s.top_keywords), KEYWORD_NEEDLE), "site", "position", "keyword", "volume")
 table("keyword_recommendations", lambda s: keywords.keyword_recommendations(s.top_keywords))
