@@ -23,5 +23,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op5_token_files)}
+def op7_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_out=1, threshold=0.7)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op5_token_files, op7_toxicity_counterfactual)}
 ORACLES: dict[str, str] = {}
