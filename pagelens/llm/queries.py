@@ -29,5 +29,26 @@ def op7_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_out=1, threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op5_token_files, op7_toxicity_counterfactual)}
-ORACLES: dict[str, str] = {}
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=100)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op5_token_files, op7_toxicity_counterfactual, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {
+    "op2_warc_round_trip": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        d as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha256(body) as payload_digest from p),
+        f as (select payload_digest, min(page_id) as first_page from d where payload_bytes >= 100 group by 1)
+        select page_id, payload_bytes, d.payload_digest,
+               case when first_page is not null and first_page <> page_id then 'revisit' else 'response' end as record_type,
+               case when first_page <> page_id then first_page end as refers_to
+        from d left join f on d.payload_bytes >= 100 and f.payload_digest = d.payload_digest""",
+}
