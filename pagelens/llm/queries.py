@@ -23,6 +23,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op7_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.toxicity import toxicity_scores
 
@@ -47,7 +53,7 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op5_token_files, op7_toxicity_counterfactual, op9_repeated_substrings, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op9_repeated_substrings, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": """
         with p as (select page_id, coalesce(html, '') as body from pages),
