@@ -47,13 +47,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.substrings import repeat_report
 
     return repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op9_repeated_substrings, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op2_warc_round_trip": """
         with p as (select page_id, coalesce(html, '') as body from pages),
