@@ -48,7 +48,6 @@ from pagelens.llm.shared import partitions, stored, work_folder
 Q = 20
 KEY_BYTES = 5
 HOT = 4000
-_TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.iinfo(np.int64).max
@@ -64,12 +63,13 @@ def paired(ids: np.ndarray, distance: int) -> np.ndarray:
 
 
 def identifiers(raw: np.ndarray, depth: int) -> np.ndarray:
-    """Identifiers of all substrings of `depth` bytes."""
-    ids, n = _TABLE[raw], 1
+    """Identifiers of all substrings of `depth` bytes (8 at least); the first ones are the 8 bytes themselves, mixed."""
+    if len(raw) < depth:
+        return np.zeros(0, np.uint64)
+    ids, n = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,)) * _MIX, 8
+    ids ^= ids >> np.uint64(31)
     while n < depth:
         step = min(n, depth - n)
-        if len(ids) <= step:
-            return ids[:0]
         ids, n = paired(ids, step), n + step
     return ids
 
@@ -102,24 +102,20 @@ class Chunk:
 
     def runs(self) -> None:
         """Sets starts, ends (of string positions), key and doc (row number) of each run."""
-        width = self.length - Q + 1
-        smallest = least(identifiers(self.raw, Q), width)
+        smallest = least(identifiers(self.raw, Q), self.length - Q + 1)
         n = len(smallest)
-        sizes = np.diff(self.offsets)
-        row = np.repeat(np.arange(len(sizes)), sizes)[:n]
-        inside = (np.arange(n) + self.length <= self.offsets[1:][row]) & self.known[row] if n else np.zeros(0, bool)
-        at = np.flatnonzero(inside)
-        if not len(at):
-            self.starts = self.ends = self.doc = np.zeros(0, np.int64)
-            self.key = np.zeros(0, np.uint64)
-            return
-        head = np.ones(len(at), bool)
-        head[1:] = (np.diff(at) != 1) | (smallest[at[1:]] != smallest[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
-        first = np.flatnonzero(head)
-        self.starts = at[first]
-        self.ends = at[np.append(first[1:], len(at)) - 1] + 1
+        inside = np.ones(n, bool)
+        for a, e, known in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), self.known.tolist()):
+            inside[max(a, e - self.length + 1) if known else a : e] = False
+        head, tail = inside.copy(), inside.copy()
+        if n > 1:
+            cut = smallest[1:] != smallest[:-1]
+            head[1:] &= cut | ~inside[:-1]
+            tail[:-1] &= cut | ~inside[1:]
+        self.starts = np.flatnonzero(head)
+        self.ends = np.flatnonzero(tail) + 1
         self.key = smallest[self.starts]
-        self.doc = row[self.starts]
+        self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
 
 
 def place(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -276,23 +272,26 @@ def surroundings(c: Chunk, number: int, lists: list[dict], buckets: int) -> Iter
     is_shared = member(c.key, lists, "shared", buckets) & ~is_hot
     decided: list[tuple[int, int]] = []
     picked = np.flatnonzero(is_shared)
-    picked = picked[np.lexsort((c.starts[picked], c.ids[c.doc[picked]]))]
-    data = c.raw.tobytes()
-    first: dict[bytes, int] = {}
-    chosen = []
-    reach = c.length - 1
-    for k, a, e, d in zip(picked.tolist(), c.starts[picked].tolist(), (c.ends[picked] + reach).tolist(), c.ids[c.doc[picked]].tolist()):
-        smallest = first.setdefault(data[a:e], d)
-        if smallest == d:
-            chosen.append(k)  # repeats within the smallest document are sent, and lose or stay together with it
-        else:
-            decided.append((a, e))
-    chosen = np.array(chosen, np.int64)
-    for b, part in grouped_by(place(c.key[chosen], buckets)) if len(chosen) else []:
-        part = chosen[part]
-        part = part[np.argsort(c.key[part], kind="stable")]
-        spans = [data[a:e] for a, e in zip(c.starts[part].tolist(), (c.ends[part] + reach).tolist())]
-        yield {"chunk": number, "bucket": b, "kind": AROUND, "body": squeezed(c.ids[c.doc[part]], c.starts[part].astype("<i4"), (c.ends[part] + reach - c.starts[part]).astype("<i4"), np.frombuffer(b"".join(spans), np.uint8))}
+    if len(picked):
+        reach = c.length - 1
+        whole = identifiers(c.raw, c.length)
+        first, last, doc = c.starts[picked], c.ends[picked] - 1, c.ids[c.doc[picked]]
+        # a run of at most twice the length is told by its first string, its last string and their distance
+        same = paired(np.stack([whole[first], whole[last]], axis=1).ravel(), 1)[::2] + (last - first).astype(np.uint64) * _MUL
+        order = np.lexsort((doc, same))
+        picked, doc, same = picked[order], doc[order], same[order]
+        head = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+        smallest = np.repeat(doc[head], np.diff(np.append(head, len(doc))))
+        long_run = c.ends[picked] - c.starts[picked] > c.length
+        lost = (doc > smallest) & ~long_run  # what repeats within the smallest document is sent, and is lost or stays together
+        decided += merged(c.starts[picked[lost]], c.ends[picked[lost]] + reach).tolist()
+        chosen = picked[~lost]
+        for b, part in grouped_by(place(c.key[chosen], buckets)):
+            part = chosen[part]
+            part = part[np.argsort(c.key[part], kind="stable")]
+            size = c.ends[part] + reach - c.starts[part]
+            at = np.arange(size.sum()) + np.repeat(c.starts[part] - (np.cumsum(size) - size), size)
+            yield {"chunk": number, "bucket": b, "kind": AROUND, "body": squeezed(c.ids[c.doc[part]], c.starts[part].astype("<i4"), size.astype("<i4"), c.raw[at])}
     picked = np.flatnonzero(is_hot)
     if len(picked):
         at = np.concatenate([np.arange(a, e) for a, e in zip(c.starts[picked].tolist(), c.ends[picked].tolist())])
@@ -347,21 +346,17 @@ def refined(table: pa.Table, length: int) -> pa.Table:
     candidates = []
     if docs:
         chunk, doc, start, size, raw = map(np.concatenate, (chunks, docs, starts, sizes, raws))
-        base = np.cumsum(size) - size
         count = size - length + 1
         of = np.repeat(np.arange(len(size)), count)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        position = base[of] + at
+        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        position = np.arange(len(of)) + of * (length - 1)
         depth, ids = Q, identifiers(raw, Q)
         alive = np.arange(len(position))
-        while True:
-            here = ids[position[alive]]
-            _, inverse, number_of = np.unique(here, return_inverse=True, return_counts=True)
-            alive = alive[number_of[inverse] > 1]  # alone in its bucket: nothing to refine
-            if depth == length or not len(alive):
-                break
+        while depth < length:
             step = min(depth, length - depth)
             ids, depth = paired(ids, step), depth + step
+            slots = (ids[position[alive]] & np.uint64((1 << max(1, (4 * len(alive)).bit_length())) - 1)).astype(np.int64)
+            alive = alive[np.bincount(slots)[slots] > 1]  # alone in its bucket: nothing to refine
         if len(alive):
             candidates.append((ids[position[alive]], doc[of[alive]], chunk[of[alive]], start[of[alive]] + at[alive]))
     if whole_doc:
