@@ -190,7 +190,7 @@ def links(docs: DataFrame, feats: DataFrame, size: int, percent: int) -> DataFra
     clusters = components(ties, "minhash-ties")
     members = reps.select("doc_id", "n").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), "doc_id")
     plan = stored(block_plan(members, threshold), "minhash-plan")
-    texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(plan, "doc_id")
+    texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(plan.hint("merge"), "doc_id")  # one plan at every size
     sent = "cluster long, a int, i int, b int, j int, first boolean, doc_id long, body binary"
     shape = pa.schema([("cluster", pa.int64()), ("a", pa.int32()), ("i", pa.int32()), ("b", pa.int32()), ("j", pa.int32()), ("first", pa.bool_()), ("doc_id", pa.int64()), ("body", pa.binary())])
 
