@@ -62,9 +62,9 @@ ISSUES = {
     "Deep Page Depth": ("WARNING", "Page is {} clicks from homepage. Important pages should be within 3 clicks.", "Improve internal linking to flatten site architecture."),
     "Broken Link": ("CRITICAL", "Broken {} link: {} (Status: {})", "Update or remove the broken link."),
     "Broken Image": ("CRITICAL", "Broken image: {} (Status: {})", "Fix or remove the broken image source."),
-    "Duplicate Page Content": ("WARNING", "Shared duplicate content with URLs: {}.", "Set unique content or add canonical/301 redirect to master version."),
-    "Duplicate Page Title": ("WARNING", "Duplicate title '{}' shared with: {}.", "Assign distinct title tags to all pages."),
-    "Duplicate Meta Description": ("WARNING", "Duplicate description shared with: {}.", "Create unique meta descriptions for each page."),
+    "Duplicate Page Content": ("WARNING", "{} pages share this content (group {}).", "Set unique content or add canonical/301 redirect to master version."),
+    "Duplicate Page Title": ("WARNING", "Duplicate title '{}' shared by {} pages.", "Assign distinct title tags to all pages."),
+    "Duplicate Meta Description": ("WARNING", "{} pages share this description: '{}'.", "Create unique meta descriptions for each page."),
     "Orphan Pages": ("WARNING", "{} pages in sitemap have no internal links pointing to them.", "Link these pages internally or remove from sitemap."),
 }
 
@@ -73,5 +73,6 @@ RULE_NUMBER = {name: i for i, name in enumerate(ISSUES, 1)}
 
 SEVERITY_ORDER = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'INFO' THEN 2 ELSE 3 END"
 
-# Issues of one rule on one page are numbered inside this range.
-RULE_STRIDE = 10_000_000
+# Issues of one rule are numbered inside this range: on a page by position, on a site by page order.
+# Page orders stay below it (a crawl of a trillion pages).
+RULE_STRIDE = 1 << 40

@@ -1,8 +1,9 @@
 """The one Python-worker job: element paths that need document structure.
 
-`mapInArrow` over (site, url, html) with a small batch size; a page is parsed once with the
-standard library's tokenizer and only elements of the wanted kinds are returned. Selector and
-path texts are then plain expressions over the ancestor array.
+`mapInArrow` over (site, ord, url, html): a page is parsed once with the standard library's
+tokenizer and only elements of the wanted kinds are returned, keyed by page and number. Elements
+point to their parent while a page is read; ancestor chains are made when rows are written, in
+batches bounded by their length. Selector and path texts are plain expressions over the chains.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ CLOSED_BY_SIBLING = {
 NODE_TAGS = ("title", "meta", "link", "script", "img", "a")
 
 _NODE_TYPE = pa.schema([
-    ("site", pa.string()), ("url", pa.string()), ("tag", pa.string()), ("n", pa.int32()),
+    ("site", pa.string()), ("ord", pa.int64()), ("url", pa.string()), ("tag", pa.string()), ("n", pa.int32()),
     ("ancestors", pa.list_(pa.struct([
         ("tag", pa.string()), ("nth", pa.int32()), ("n_same", pa.int32()), ("id", pa.string()), ("class", pa.string()),
     ]))),
@@ -34,13 +35,13 @@ _NODE_TYPE = pa.schema([
 
 
 class _Outline(HTMLParser):
-    """Collects the ancestor chain of wanted elements; sibling totals are known at the end."""
+    """Collects the wanted elements; each knows its parent, and sibling totals are known at the end."""
 
     def __init__(self, wanted: Iterable[str]):
         super().__init__(convert_charrefs=True)
         self.wanted = set(wanted)
-        self.stack: list[dict] = [{"tag": "", "kids": {}}]
-        self.hits: list[tuple[str, int, list[dict]]] = []
+        self.stack: list[dict] = [{"tag": "", "kids": {}, "up": None}]
+        self.hits: list[tuple[str, int, dict]] = []
         self.seen: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
@@ -49,10 +50,10 @@ class _Outline(HTMLParser):
         parent = self.stack[-1]
         nth = parent["kids"][tag] = parent["kids"].get(tag, 0) + 1
         named = dict(reversed(attrs))
-        node = {"tag": tag, "nth": nth, "of": parent["kids"], "id": named.get("id"), "class": named.get("class"), "kids": {}}
+        node = {"tag": tag, "nth": nth, "up": parent, "id": named.get("id"), "class": named.get("class"), "kids": {}}
         if tag in self.wanted:
             self.seen[tag] = self.seen.get(tag, 0) + 1
-            self.hits.append((tag, self.seen[tag], [*self.stack[1:], node]))
+            self.hits.append((tag, self.seen[tag], node))
         if tag not in VOID_TAGS:
             self.stack.append(node)
 
@@ -68,29 +69,34 @@ class _Outline(HTMLParser):
                 return
 
 
-def outline(html: str, wanted: Iterable[str] = NODE_TAGS) -> list[tuple[str, int, list[dict]]]:
+def outline(html: str, wanted: Iterable[str] = NODE_TAGS) -> Iterator[tuple[str, int, list[dict]]]:
     parser = _Outline(wanted)
     parser.feed(html or "")
     parser.close()
-    return [
-        (tag, n, [{"tag": a["tag"], "nth": a["nth"], "n_same": a["of"][a["tag"]], "id": a["id"], "class": a["class"]} for a in chain])
-        for tag, n, chain in parser.hits
-    ]
+    for tag, n, node in parser.hits:
+        chain = []
+        while node["up"] is not None:
+            chain.append({"tag": node["tag"], "nth": node["nth"], "n_same": node["up"]["kids"][node["tag"]], "id": node["id"], "class": node["class"]})
+            node = node["up"]
+        yield tag, n, chain[::-1]
 
 
-# Output rows per batch: bounds a worker's memory whatever the pages hold.
-BATCH_ROWS = 5000
+# Ancestor entries per batch: bounds what a worker holds besides one page.
+BATCH_ENTRIES = 50_000
 
 
 def _map_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[dict] = []
+    held = 0
     for batch in batches:
         for i in range(batch.num_rows):
-            site, url, html = (batch.column(c)[i].as_py() for c in range(3))
-            rows += [{"site": site, "url": url, "tag": t, "n": n, "ancestors": a} for t, n, a in outline(html)]
-            if len(rows) >= BATCH_ROWS:
-                yield pa.RecordBatch.from_pylist(rows, schema=_NODE_TYPE)
-                rows = []
+            site, ord_, url, html = (batch.column(c)[i].as_py() for c in range(4))
+            for tag, n, ancestors in outline(html):
+                rows.append({"site": site, "ord": ord_, "url": url, "tag": tag, "n": n, "ancestors": ancestors})
+                held += len(ancestors)
+                if held >= BATCH_ENTRIES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_NODE_TYPE)
+                    rows, held = [], 0
     if rows:
         yield pa.RecordBatch.from_pylist(rows, schema=_NODE_TYPE)
 
@@ -113,28 +119,28 @@ LINK_POSITION = (
 
 def dom_nodes(crawl: DataFrame) -> DataFrame:
     """One row per title, meta, link, script, img and a element with its paths and position."""
-    schema = "site string, url string, tag string, n int, " + DOM_NODE[DOM_NODE.index("ancestors"):].strip()
-    pages = crawl.selectExpr("site", "coalesce(nullif(final_url, ''), url) as url", "html")
+    schema = "site string, ord bigint, url string, tag string, n int, " + DOM_NODE[DOM_NODE.index("ancestors"):].strip()
+    pages = crawl.selectExpr("site", "ord", "coalesce(nullif(final_url, ''), url) as url", "html")
     nodes = pages.mapInArrow(_map_nodes, schema)
     # Position of the last ancestor with an id: the selector starts there.
     id_at = "array_max(concat(array(0), transform(ancestors, (a, i) -> if(coalesce(a.id, '') <> '', i + 1, 0))))"
     return nodes.selectExpr("*", f"{id_at} as id_at").selectExpr(
-        "site", "url", "tag", "n", f"{CSS_SELECTOR} as css_selector", f"{XPATH} as xpath", f"{LINK_POSITION} as link_position", "ancestors"
+        "site", "ord", "url", "tag", "n", f"{CSS_SELECTOR} as css_selector", f"{XPATH} as xpath", f"{LINK_POSITION} as link_position", "ancestors"
     )
 
 
 def issue_locators(issues: DataFrame, nodes: DataFrame) -> DataFrame:
     """Findings with the selector and path of the element they are about."""
-    at = nodes.selectExpr("site", "url", "tag as loc_tag", "n as loc_n", "css_selector", "xpath")
+    at = nodes.selectExpr("site", "ord", "tag as loc_tag", "n as loc_n", "css_selector", "xpath")
     located = ["Title Too Short", "Title Too Long", "Meta Description Too Short", "Meta Description Too Long",
                "Canonical Mismatch", "Invalid JSON-LD", "Missing Alt Text"]
     wanted = issues.where(issues.issue_type.isin(located))
     rest = issues.where(~issues.issue_type.isin(located)).selectExpr("*", "cast(null as string) as css_selector", "cast(null as string) as xpath")
-    joined = wanted.join(at, ["site", "url", "loc_tag", "loc_n"], "left").select(*issues.columns, "css_selector", "xpath")
+    joined = wanted.join(at, ["site", "ord", "loc_tag", "loc_n"], "left").select(*issues.columns, "css_selector", "xpath")
     return joined.unionByName(rest)
 
 
 def link_positions(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The edge list with the position of each link on its page."""
-    at = nodes.where("tag = 'a'").selectExpr("site", "url as page_url", "n", "link_position")
-    return links.join(at, ["site", "page_url", "n"], "left").na.fill("content", ["link_position"])
+    """The edge list with the position of each link on its page; null where the parser met no such element."""
+    at = nodes.where("tag = 'a'").select("site", "ord", "n", "link_position")
+    return links.join(at, ["site", "ord", "n"], "left")

@@ -52,7 +52,6 @@ MIXED_PATTERNS = [
     (r"""action=["']http://([^"']+)["']""", "form"),
     (r"""url\(["']?http://([^"')]+)["']?""", "css"),
 ]
-MIXED_LIMIT = 20
 JS_WINDOW = 50000
 SOFT_404_WINDOW = 5000
 SPA_MIN_LENGTH = 2000
@@ -140,6 +139,17 @@ PASSED = [
 ]
 
 
+def quotes_neutral(html: str) -> str:
+    """`<` inside a quoted attribute value becomes `&lt;`, so that only real tags start with it.
+
+    Only pages that have such a value are cut into tags for this; attribute decoding undoes it.
+    """
+    piece = rf"(?s)[^<]+|<[a-zA-Z](?:{TAG_REST})>|<"
+    inner = "if(length(p) > 1 and left(p, 1) = '<', concat('<', replace(substring(p, 2), '<', '&lt;')), p)"
+    found = lit(r"""(?s)<[a-zA-Z][^<>]*=\s*(?:"[^"]*<|'[^']*<)""")
+    return f"if({html} rlike {found}, array_join(transform(regexp_extract_all({html}, {lit(piece)}, 0), p -> {inner}), ''), {html})"
+
+
 def tag_arrays(crawl: DataFrame) -> DataFrame:
     """The page body reduced to parsed tags of the kinds used later."""
     bodies = crawl.selectExpr(
@@ -147,8 +157,8 @@ def tag_arrays(crawl: DataFrame) -> DataFrame:
         "coalesce(nullif(final_url, ''), url) as url",
         "coalesce(html, '') as html",
         f"regexp_replace(coalesce(html, ''), {lit(COMMENT)}, '') as uncommented",
-        f"regexp_replace(coalesce(html, ''), {lit(OPAQUE)}, '') as clean",
-    )
+        f"regexp_replace(coalesce(html, ''), {lit(OPAQUE)}, '') as opened",
+    ).selectExpr(*PASSED, "url", "html", "uncommented", f"{quotes_neutral('opened')} as clean")
     pieces = f"split(clean, {lit(r'(?i)<a(?=[\s/>])')})"
     anchors = (
         f"transform(filter({pieces}, (p, i) -> i > 0), (p, i) -> named_struct('n', i + 1, "
@@ -268,13 +278,13 @@ def _indexability(directives: str) -> str:
 
 
 def mixed_resources(html: str) -> str:
-    """The first insecure resources named on a page, by kind and then by position."""
+    """All insecure resources named on a page, by kind and then by position."""
     found = ", ".join(
         f"transform(regexp_extract_all({html}, {lit(pattern)}, 1), "
         f"m -> named_struct('resource_url', concat('http://', m), 'resource_type', {lit(kind)}))"
         for pattern, kind in MIXED_PATTERNS
     )
-    return f"slice(concat({found}), 1, {MIXED_LIMIT})"
+    return f"concat({found})"
 
 
 def http_equiv_map() -> str:

@@ -102,12 +102,6 @@ def tokens(texts: DataFrame) -> DataFrame:
     return texts.withColumn("tokens", F.expr(tokenize("text")))
 
 
-# Keyword occurrences are ordered by (page order, phrase length, position). Page order and position
-# share one bigint, because a minimum over a number stays in the hash aggregate while one over a
-# struct sorts every row. Positions stay below 2^24 for any page under the fetch size limit.
-POSITION_BITS = 24
-
-
 def occurrences(tokenized: DataFrame) -> DataFrame:
     """One row per keyword occurrence: `is_first` marks the first of its keyword on its page.
 
@@ -130,21 +124,22 @@ def occurrences(tokenized: DataFrame) -> DataFrame:
     sorted_terms = words.selectExpr(
         "site", "ord", "url", "title", "description", "headings", f"sort_array(concat({grams(1)}, {grams(2)}, {grams(3)})) as terms"
     )
-    marked = "transform(terms, (g, i) -> named_struct('term', g.term, 'n', g.n, 'pos', g.pos, 'is_first', i = 0 or get(terms, i - 1).term <> g.term))"
-    exploded = sorted_terms.selectExpr("site", "ord", "url", "title", "description", "headings", f"inline({marked})")
 
     def placed(cond: str) -> str:
-        return f"n = 1 and is_first and coalesce({cond}, false)"
-
-    return exploded.selectExpr(
-        "site", "ord", "url", "n", "pos", "term", "is_first",
-        f"{placed('contains(title, term)')} as in_title",
-        f"{placed('contains(description, term)')} as in_meta",
-        f"{placed('exists(headings, h -> contains(h, term))')} as in_headings",
-        f"{placed('contains(lower(url), term)')} as in_url",
+        return f"g.n = 1 and (i = 0 or get(terms, i - 1).term <> g.term) and coalesce({cond}, false)"
+
+    marked = (
+        "transform(terms, (g, i) -> named_struct('term', g.term, 'n', g.n, 'pos', g.pos, 'is_first', i = 0 or get(terms, i - 1).term <> g.term, "
+        f"'in_title', {placed('contains(title, g.term)')}, 'in_meta', {placed('contains(description, g.term)')}, "
+        f"'in_headings', {placed('exists(headings, h -> contains(h, g.term))')}, 'in_url', {placed('contains(lower(url), g.term)')}))"
     )
+    return sorted_terms.selectExpr("site", "ord", "url", f"inline({marked})")
 
 
+# Page order and position as one decimal: a minimum over a number stays in the hash aggregate, while
+# one over a struct sorts every row. Ten digits hold any position in an array, 28 any page order, and
+# an overflow would fail the cast instead of passing unseen.
+FIRST_SEEN = "cast(ord as decimal(28, 10)) + cast(pos as decimal(10, 0)) / cast(10000000000 as decimal(11, 0))"
 FLAGS = ["in_title", "in_meta", "in_headings", "in_url"]
 
 
@@ -173,7 +168,7 @@ def keyword_table(tokenized: DataFrame) -> DataFrame:
     counted = occurrences(tokenized).groupBy("site", "term", "n").agg(
         F.count(F.lit(1)).alias("count"),
         F.expr("sum(if(is_first, 1L, 0L))").alias("n_pages"),
-        F.expr(f"min(shiftleft(ord, {POSITION_BITS}) + pos)").alias("seen"),
+        F.min(F.expr(FIRST_SEEN)).alias("seen"),
         *[F.max(f).alias(f) for f in FLAGS],
     )
     totals = tokenized.groupBy("site").agg(F.expr("sum(cast(size(tokens) as bigint))").alias("total_tokens"))
@@ -181,7 +176,7 @@ def keyword_table(tokenized: DataFrame) -> DataFrame:
     return joined.selectExpr(
         "site", "term as keyword", "n", "count", "n_pages",
         "if(total_tokens = 0, 0.0D, round(count / total_tokens * 100, 2)) as density", *FLAGS,
-        f"named_struct('ord', shiftright(seen, {POSITION_BITS}), 'n', n, 'pos', seen % {1 << 24}) as first_seen",
+        "named_struct('ord', cast(seen as bigint), 'n', n, 'pos', cast((seen - floor(seen)) * 10000000000 as int)) as first_seen",
     )
 
 
@@ -209,7 +204,7 @@ def keyword_gaps(table: DataFrame, sites: DataFrame) -> DataFrame:
     """Candidate terms a site does not use, first ten in listed order."""
     terms = ", ".join(lit(g) for g in GAP_CANDIDATES)
     wanted = sites.select("site").distinct().selectExpr("site", f"posexplode(array({terms})) as (pos, keyword)")
-    absent = wanted.join(table.select("site", "keyword"), ["site", "keyword"], "left_anti")
+    absent = wanted.join(table.where(F.col("keyword").isin(GAP_CANDIDATES)).select("site", "keyword"), ["site", "keyword"], "left_anti")
     order = Window.partitionBy("site").orderBy("pos")
     return absent.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_GAPS).select("site", "rank", "keyword")
 

@@ -349,9 +349,10 @@ def schema_summary(page: DataFrame) -> DataFrame:
     return per_type.groupBy("site").agg(*[F.sum(c).alias(c) for c in ("blocks", "valid", "errors")], F.count("schema_type").alias("types"))
 
 
-def mixed_content_table(mixed: DataFrame) -> DataFrame:
+def mixed_content_table(mixed: DataFrame, rows: int = MIXED_ROWS) -> DataFrame:
+    """The first `rows` insecure resources of each site, for display; `mixed` is the whole list."""
     order = Window.partitionBy("site").orderBy("ord", "n")
-    return mixed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MIXED_ROWS)
+    return mixed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
 
 
 def redirect_table(chains: DataFrame) -> DataFrame:

@@ -10,9 +10,6 @@ from pagelens.operators.catalog import ISSUES, RULE_NUMBER, RULE_STRIDE
 from pagelens.operators.rules import ISSUE_COLUMNS, page_penalty
 from pagelens.operators.skew import salted_join, sized_join
 
-# A duplicate finding names this many of the other pages; the members table holds all of them.
-NAMED_MEMBERS = 20
-
 DUPLICATE_KEYS = {
     "content": ("md5(btrim(concat(title, coalesce(meta_description, ''))))", "coalesce(title, '') <> ''"),
     "title": ("btrim(title)", "coalesce(title, '') <> ''"),
@@ -50,25 +47,14 @@ DUPLICATE_ISSUES = {
 
 
 def duplicate_issues(page: DataFrame, kind: str) -> DataFrame:
-    """One finding per group on its first page, naming the next pages in crawl order.
+    """One finding per group on its first page: how many pages share the key, and the key.
 
-    The ranked prefix is cut before the shuffle (a window group limit), so a group of any size
-    sends at most NAMED_MEMBERS + 1 rows per task.
+    The pages themselves are rows of `duplicate_members`, which carries the same key.
     """
     issue = DUPLICATE_ISSUES[kind]
     level, text, advice = ISSUES[issue]
-    keys = duplicate_keys(page, kind)
-    order = Window.partitionBy("site", "dup_key").orderBy("ord")
-    heads = (
-        keys.withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= NAMED_MEMBERS + 1)
-        .groupBy("site", "dup_key")
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "url"))).alias("head"))
-    )
-    named = "array_join(transform(slice(head, 2, 20), h -> h.url), ', ')"
-    others = f"concat({named}, if(n_pages > {NAMED_MEMBERS + 1}, concat(' … and ', n_pages - {NAMED_MEMBERS + 1}, ' more'), ''))"
-    slots = ("dup_key", others) if kind == "title" else (others,)
-    groups = duplicate_groups(page, kind).join(heads, ["site", "dup_key"])
+    slots = ("dup_key", "n_pages") if kind == "title" else ("n_pages", "dup_key")
+    groups = duplicate_groups(page, kind)
     return groups.selectExpr(
         "site", "cast(-1 as bigint) as ord",
         f"cast({RULE_NUMBER[issue] * RULE_STRIDE} as bigint) + first_ord as seq",

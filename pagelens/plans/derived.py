@@ -74,6 +74,9 @@ JSON_LD = _case(8, {
 SCRIPT_STATE = _case(100, {
     9: "'<script>window.__NEXT_DATA__ = {\"props\":{\"pageProps\":{\"title\":\"State title ' || page_id || '\",\"description\":\"A description kept in page state only\"}}};</script>'",
     34: "'<script>window.__NUXT__ = {\"head\":{\"title\":\"Nuxt head ' || page_id || '\"}};</script>'",
+    51: "'<script>window.__INITIAL_STATE__ = {\"app\":[{\"id\":1},{\"view\":{\"title\":\"Initial title ' || page_id || '\",\"desc\":\"An initial description kept in state\"}}]};</script>'",
+    72: "'<script>window.__APP_DATA__ = {\"a\":{\"b\":{\"c\":{\"d\":{\"e\":{\"title\":\"Deep title ' || page_id || '\",\"description\":\"A description that is five levels down\"}}}}}};</script>'",
+    88: "'<script>window.__APP_DATA__ = {\"a\":{\"b\":{\"c\":{\"d\":{\"e\":{\"f\":{\"title\":\"Too deep ' || page_id || '\"}}}}}}};</script>'",
 })
 SOFT_404 = _case(29, {13: "'<meta name=\"keywords\" content=\"Page  Not Found\">'"})
 

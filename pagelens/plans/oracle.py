@@ -17,6 +17,7 @@ from pagelens.operators.extract import (
     GENERIC_ANCHORS, IMAGE_FORMATS, JS_INDICATORS, MIXED_PATTERNS, NEXT_GEN_FORMATS, SOFT_404_PATTERNS, SPA_MARKERS,
 )
 from pagelens.plans import derived
+from pagelens.plans.dom_sql import DOM_ORACLES, DOM_TABLES
 from pagelens.plans.snapshot import TARGET_STATUS
 
 TAG_REST = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
@@ -241,7 +242,7 @@ _MIXED = " || ".join(
 )
 TABLES["mixed"] = f"""
     SELECT ord, site, url AS page_url, CAST(generate_subscripts(ms, 1) AS INTEGER) AS n, unnest(ms).u AS resource_url, unnest(ms).t AS resource_type
-    FROM (SELECT ord, site, url, ({_MIXED})[1:20] AS ms FROM doc WHERE starts_with(url, 'https://'))"""
+    FROM (SELECT ord, site, url, ({_MIXED}) AS ms FROM doc WHERE starts_with(url, 'https://'))"""
 _REL = {"icon": "contains(rel, 'icon')", "next": "contains(rel, 'next')", "prev": "contains(rel, 'prev')", "amp": "contains(rel, 'amphtml')"}
 TABLES["page"] = f"""
     SELECT d.ord, d.site, d.url, d.status_code, d.crawl_depth, d.total_ms, d.ttfb_ms, d.html_size_bytes, d.compressed_size, d.h_hsts, d.h_csp, d.h_nosniff,
@@ -352,8 +353,11 @@ ORACLES["json_ld_requirements"] = """SELECT ord, CAST(n AS INTEGER) AS n, array_
         ELSE array_to_string(list_transform(recommended, lambda m: 'Missing recommended property: ' || m), '|') END AS warnings FROM json_ld"""
 _NEXT = r"json_extract_string(nullif(regexp_extract(html, '(?s)__NEXT_DATA__\s*=\s*(\{.*?\})\s*(?:;|</script>)', 1), ''), '$.props.pageProps.{}')"
 _NUXT = r"json_extract_string(nullif(regexp_extract(html, '(?s)__NUXT__\s*=\s*(\{.*?\})\s*(?:;|</script>)', 1), ''), '$.head.title')"
-ORACLES["extract_js_title"] = f"SELECT ord, coalesce({_NEXT.replace('{}', 'title')}, {_NUXT}) AS js_title FROM crawl WHERE contains(html, '__N')"
-ORACLES["extract_js_description"] = f"SELECT ord, {_NEXT.replace('{}', 'description')} AS js_description FROM crawl WHERE contains(html, '__N')"
+_STATE = r"nullif(regexp_extract(html, '(?s)window\.{}\s*=\s*(\{{.*?\}})\s*(?:;|</script>)', 1), '')"
+_INITIAL, _APP = (f"CASE WHEN contains(html, {q(m)}) THEN {_STATE.format(m)} END" for m in ("__INITIAL_STATE__", "__APP_DATA__"))
+ORACLES["extract_js_title"] = f"""SELECT ord, coalesce({_NEXT.replace('{}', 'title')}, {_NUXT}, json_extract_string({_INITIAL}, '$.app[1].view.title'),
+    json_extract_string({_APP}, '$.a.b.c.d.e.title')) AS js_title FROM crawl"""
+ORACLES["extract_js_description"] = f"SELECT ord, coalesce({_NEXT.replace('{}', 'description')}, json_extract_string({_INITIAL}, '$.app[1].view.desc')) AS js_description FROM crawl"
 
 # --- URL functions -------------------------------------------------------------------------
 _VALID = "({} IN ('http', 'https') AND {} <> '')"
@@ -528,11 +532,10 @@ _DUP = {
 }
 for _kind, (_id, _key, _cond, _issue) in _DUP.items():
     TABLES[f"{_id}_k"] = f"SELECT site, ord, url, {_key} AS dup_key FROM page WHERE {_cond}"
-    TABLES[f"{_id}_g"] = f"SELECT site, dup_key, count(*) AS n_pages, min(ord) AS first_ord, arg_min(url, ord) AS first_url, list(url ORDER BY ord) AS urls FROM {_id}_k GROUP BY site, dup_key HAVING count(*) > 1"
+    TABLES[f"{_id}_g"] = f"SELECT site, dup_key, count(*) AS n_pages, min(ord) AS first_ord, arg_min(url, ord) AS first_url FROM {_id}_k GROUP BY site, dup_key HAVING count(*) > 1"
     ORACLES[_id] = f"SELECT site, dup_key, n_pages, first_ord, first_url FROM {_id}_g"
     ORACLES[f"{_id}_members"] = f"SELECT k.site, k.dup_key, k.ord, k.url, n_pages, k.ord = first_ord AS is_first FROM {_id}_k k JOIN {_id}_g g USING (site, dup_key)"
-    _others = "array_to_string(urls[2:21], ', ') || CASE WHEN n_pages > 21 THEN ' … and ' || (n_pages - 21) || ' more' ELSE '' END"
-    _slots = ("dup_key", _others) if _kind == "title" else (_others,)
+    _slots = ("dup_key", "n_pages") if _kind == "title" else ("n_pages", "dup_key")
     rule(_issue, "true", *_slots, frm=f"(SELECT *, -1 AS ord, first_url AS url FROM {_id}_g)", k="first_ord")
     ORACLES[f"{_id}_issues"] = f"SELECT site, seq, url, severity, issue_type, description, recommendation FROM ({RULE_SQL[_issue]})"
 ORACLES["redirect_pages"] = f"SELECT site, ord, url, {_RTYPE} AS redirect_type FROM page WHERE len(history) > 0 AND {_RTYPE} IS NOT NULL"
@@ -799,7 +802,7 @@ _AT = "(ord, seq)"
 _COUNTS = "count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info"
 ORACLES["all_issues"] = f"SELECT site, {_ISSUE} FROM issue"
 ORACLES["html_snippet"] = "SELECT ord, seq, issue_type, html_snippet FROM issue WHERE html_snippet IS NOT NULL"
-ORACLES["write_issues_csv"] = "SELECT severity, issue_type, count(*) AS n_rows FROM issue GROUP BY ALL"
+ORACLES["write_issues_csv"] = "SELECT url, severity, issue_type, description, coalesce(html_snippet, '') AS html_snippet, recommendation FROM issue"
 ORACLES["write_issues_csv_compact"] = "SELECT url, severity, issue_type, description, '' AS css_selector, '' AS xpath, recommendation FROM issue"
 TABLES["sev_count"] = f"SELECT site, {_COUNTS} FROM issue GROUP BY site"
 ORACLES["severity_counts"] = "SELECT * FROM sev_count"
@@ -907,7 +910,7 @@ ORACLES["sitemap_export"] = f"""SELECT ord, {_ESC} AS loc, '2024-06-01' AS lastm
     WHEN regexp_matches(lower(url), 'about|contact|team|company') THEN 'monthly' ELSE 'weekly' END AS changefreq,
     CASE WHEN rtrim(url, '/') = rtrim(start_url, '/') THEN '1.0' WHEN score >= 80 THEN '0.8' WHEN score >= 60 THEN '0.6' ELSE '0.4' END AS priority FROM score JOIN probe USING (site)"""
 TABLES["listed_page"] = "SELECT site, ord, url, coalesce(nullif(title, ''), url) AS title, coalesce(meta_description, '') AS description FROM page QUALIFY row_number() OVER (PARTITION BY site ORDER BY ord) <= 20"
-TABLES["llms_site"] = "SELECT site, start_url AS site_url, 'AI SEO Audit Report for ' || start_url || '. Score: ' || site_score || '/100.' AS about FROM report"
+TABLES["llms_site"] = "SELECT site, start_url AS site_url, 'Page audit report for ' || start_url || '. Score: ' || site_score || '/100.' AS about FROM report"
 NL = "chr(10)"
 ORACLES["llms_txt"] = f"""SELECT s.site, '# ' || s.site || {NL} || '> ' || about || {NL} || {NL} || '## Details' || {NL} || {NL} || 'The website provides tools and resources for website management, SEO optimization, and content strategy.' || {NL} || {NL}
     || 'For more information, visit ' || site_url || {NL} || {NL} || '## Contact' || {NL} || {NL} || 'Email: team@' || s.site || {NL} || {NL} || '## Features' || {NL} || {NL} || '- Audit' || {NL} || '- Keywords' || {NL} || {NL}
@@ -918,7 +921,7 @@ ORACLES["llms_txt"] = f"""SELECT s.site, '# ' || s.site || {NL} || '> ' || about
 ORACLES["llms_full_txt"] = f"""SELECT s.site, '# ' || s.site || {NL} || '> ' || about || {NL} || {NL} || '## About ' || s.site || {NL} || {NL} || s.site || ' is available at ' || site_url || {NL} || {NL} || about || {NL} || {NL}
     || '## Key Features' || {NL} || {NL} || '1. Audit' || {NL} || '2. Keywords' || {NL} || {NL} || '## Pages' || {NL} || {NL}
     || string_agg('### ' || title || {NL} || 'URL: ' || url || {NL} || CASE WHEN description <> '' THEN description || {NL} ELSE '' END, {NL} ORDER BY ord) || {NL}
-    || '## Contact' || {NL} || {NL} || 'Email: team@' || s.site || {NL} || {NL} || '---' || {NL} || 'Generated by ' || s.site || ' SEO Audit Tool' AS content
+    || '## Contact' || {NL} || {NL} || 'Email: team@' || s.site || {NL} || {NL} || '---' || {NL} || 'Generated by ' || s.site || ' page audit' AS content
     FROM llms_site s JOIN listed_page p ON p.site = s.site GROUP BY s.site, about, site_url"""
 
 # --- frontier ------------------------------------------------------------------------------
@@ -986,13 +989,17 @@ def one_question(name: str, text: str) -> str:
 _FB_TEXT = f"CASE WHEN {_D} THEN substr(meta_description, 1, 200) ELSE 'Information about ' || title END"
 _FB = questions(node("Question", prop("name", "'What is ' || title || '?'", "title IS NOT NULL"), prop("acceptedAnswer", node("Answer", prop("text", _FB_TEXT, f"{_FB_TEXT} IS NOT NULL")), raw=True)))
 ORACLES["jsonld_faq_fallback"] = f"SELECT ord, {_FB} AS json FROM page"
-ORACLES["jsonld_faq"] = f"""SELECT conv_id, CAST(a.turn // 1000 AS INTEGER) AS part, {questions("string_agg(" + one_question('a.text', 'b.text') + ", ',' ORDER BY a.turn)")} AS json
-    FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1 GROUP BY conv_id, a.turn // 1000"""
+ORACLES["jsonld_faq"] = f"""SELECT a.conv_id, a.turn, CAST(row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS INTEGER) AS position, {one_question('a.text', 'b.text')} AS json
+    FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1"""
+ORACLES["jsonld_faq_document"] = f"""SELECT conv_id, {questions("string_agg(" + one_question('a.text', 'b.text') + ", ',' ORDER BY a.turn)")} AS json
+    FROM conversations a JOIN conversations b USING (conv_id) WHERE a.role = 'user' AND b.role = 'assistant' AND b.turn = a.turn + 1 GROUP BY conv_id"""
 _SEARCH = node("SearchAction", prop("target", node("EntryPoint", prop("urlTemplate", "rtrim(start_url, '/') || '/search?q={search_term_string}'")), raw=True), prop("query-input", "'required name=search_term_string'"))
 ORACLES["jsonld_website_search"] = f"SELECT site, {ld('WebSite', prop('name', 'site'), prop('url', 'start_url'), prop('potentialAction', _SEARCH, raw=True))} AS json FROM probe"
 _CRUMB = node("ListItem", prop("position", "CAST(i AS INTEGER)"), prop("name", "name"), prop("item", "item", "item IS NOT NULL"))
 _CRUMBS = f"'{{\"@context\":\"https://schema.org\",\"@type\":\"BreadcrumbList\",\"itemListElement\":[' || string_agg({_CRUMB}, ',' ORDER BY i) || ']}}'"
-ORACLES["jsonld_breadcrumb"] = f"SELECT ord, {_CRUMBS} AS json FROM (SELECT h.ord, h.n AS i, h.text AS name, CASE WHEN level = 1 THEN url END AS item FROM heading h JOIN crawl USING (ord)) GROUP BY ord"
+_NO_CRUMBS = q('{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[]}')
+ORACLES["jsonld_breadcrumb"] = f"""SELECT ord, {_CRUMBS} AS json FROM (SELECT h.ord, h.n AS i, h.text AS name, CASE WHEN level = 1 THEN url END AS item FROM heading h JOIN crawl USING (ord)) GROUP BY ord
+    UNION ALL SELECT ord, {_NO_CRUMBS} FROM crawl WHERE ord NOT IN (SELECT ord FROM heading)"""
 _ROOT = f"{url_part('url', 2)} || '://' || {url_part('url', 4)} || '/'"
 ORACLES["jsonld_breadcrumb_from_url"] = f"""SELECT ord, {_CRUMBS} AS json FROM (
     SELECT ord, 1 AS i, site AS name, {_ROOT} AS item FROM crawl
@@ -1056,10 +1063,14 @@ def needing(word: str) -> str:
 ORACLES["suggestions_for_issues"] = " UNION ALL ".join([
     suggestions(structured.PAGE_TITLE_TEMPLATES, _T30, needing("Title")), page_meta(needing("Meta Description")), suggestions(structured.PAGE_H1_TEMPLATES, _T35, needing("H1"))])
 
+# --- document structure --------------------------------------------------------------------
+TABLES.update(DOM_TABLES)
+ORACLES.update(DOM_ORACLES)
+
 # --- streaming -----------------------------------------------------------------------------
 ORACLES["stream_page_audit"] = ORACLES["page_issues"]
 ORACLES["stream_visited"] = f"SELECT DISTINCT site, {normalized('url')} AS url_key FROM crawl"
 TABLES["minute"] = "SELECT make_timestamp((1704067200 + (ord // 60) * 60) * 1000000) AS window_start, count(*) AS pages FROM crawl GROUP BY 1"
-ORACLES["stream_progress"] = "SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, pages, pages / 60 AS pages_per_sec FROM minute WHERE window_start + INTERVAL 1 MINUTE <= (SELECT make_timestamp((1704067200 + max(ord)) * 1000000) FROM crawl)"
+ORACLES["stream_progress"] = "SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, pages, pages / 60 AS pages_per_sec FROM minute"
 ORACLES["stream_site_scores"] = f"""SELECT site, count(*) AS pages, round(avg(s), 4) AS avg_score, round(avg(ms), 4) AS avg_response_ms, round(avg(html_size_bytes), 4) AS avg_html_bytes, round(avg(j) * 100, 4) AS json_ld_pct, round(avg(o) * 100, 4) AS og_pct FROM (
     SELECT site, greatest(0, least(100, 100 - ({_PENALTY}))) AS s, CAST(coalesce(total_ms, 0) AS DOUBLE) AS ms, html_size_bytes, CASE WHEN n_blocks > 0 THEN 1 ELSE 0 END AS j, CASE WHEN n_og > 0 THEN 1 ELSE 0 END AS o FROM pagex) GROUP BY site"""

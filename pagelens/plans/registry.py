@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls as U
@@ -30,7 +30,6 @@ RUN_DATE = "2024-06-01"
 AGENT = "PageLens/1.0"
 MAX_DEPTH = 3
 MAX_PAGES = 5
-FAQ_TURNS = 1000
 
 
 def query(name: str):
@@ -99,14 +98,14 @@ table("html_snippet", lambda s: s.issues.where("html_snippet is not null"), "ord
 @query("extract_js_title")
 def _js_title(spark, sf_dir):
     from pagelens.functions.jsstate import js_title, states
-    html = derived.derived_crawl(spark, sf_dir).select("ord", "html").where("html like '%\\\\_\\\\_N%'")
+    html = derived.derived_crawl(spark, sf_dir).select("ord", "html")
     return html.selectExpr("ord", f"{states('html')} as st").selectExpr("ord", f"{js_title('st')} as js_title")
 
 
 @query("extract_js_description")
 def _js_description(spark, sf_dir):
     from pagelens.functions.jsstate import js_description, states
-    html = derived.derived_crawl(spark, sf_dir).select("ord", "html").where("html like '%\\\\_\\\\_N%'")
+    html = derived.derived_crawl(spark, sf_dir).select("ord", "html")
     return html.selectExpr("ord", f"{states('html')} as st").selectExpr("ord", f"{js_description('st')} as js_description")
 
 
@@ -114,9 +113,9 @@ def _nodes(s: Snapshot) -> DataFrame:
     return dom.dom_nodes(s.crawl)
 
 
-table("dom_nodes", _nodes, "url", "tag", "n", "size(ancestors) as depth", "css_selector", "xpath", "link_position")
-table("css_selector", _nodes, "url", "tag", "n", "css_selector")
-table("xpath", _nodes, "url", "tag", "n", "xpath")
+table("dom_nodes", _nodes, "ord", "url", "tag", "n", "size(ancestors) as depth", "css_selector", "xpath", "link_position")
+table("css_selector", _nodes, "ord", "url", "tag", "n", "css_selector")
+table("xpath", _nodes, "ord", "url", "tag", "n", "xpath")
 table("link_position", lambda s: dom.link_positions(_nodes(s), assets.link_rows(s.page)), "ord", "n", "link_url", "link_position")
 table("issue_locators", lambda s: dom.issue_locators(rules.page_issues(s.page), _nodes(s)), "ord", "seq", "issue_type", "css_selector", "xpath")
 
@@ -181,7 +180,7 @@ def _write_issues_csv(spark, sf_dir):
     located = dom.issue_locators(s.issues, _nodes(s))
     sinks.write_issues_csv(located, path)
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    return back.groupBy(F.col("Severity").alias("severity"), F.col("Issue Type").alias("issue_type")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return back.select(*[F.coalesce(F.col(n), F.lit("")).alias(c) for c, n in sinks.CSV_COLUMNS.items() if c not in ("css_selector", "xpath")])
 
 
 @query("write_issues_csv_compact")
@@ -409,7 +408,7 @@ table("fix_plan", lambda s: reporting.fix_plan(s.issues))
 table("validate_rich_results", lambda s: structured.rich_results(s.page.selectExpr("ord", "inline(json_ld)").select("ord", "n", "data")),
       "ord", "n", "is_valid", f"{joined('errors')} as errors", f"{joined('warnings')} as warnings", "rich_result_type", f"{joined('missing_required')} as missing_required")
 table("jsonld_breadcrumb_from_url", lambda s: s.page.selectExpr("ord", f"{structured.breadcrumb(structured.crumbs_from_url('url', 'site'))} as json"))
-table("jsonld_breadcrumb", lambda s: s.page.where("size(headings) > 0").selectExpr(
+table("jsonld_breadcrumb", lambda s: s.page.selectExpr(
     "ord", f"{structured.breadcrumb('transform(headings, h -> named_struct(' + lit('name') + ', h.text, ' + lit('url') + ', if(h.level = 1, url, cast(null as string))))')} as json"))
 pages("jsonld_webpage", f"{structured.webpage('title', 'url', 'meta_description', 'coalesce(lang, ' + lit('en') + ')')} as json")
 pages("jsonld_generic", f"{structured.generic(lit('AboutPage'), 'title', 'url')} as json")
@@ -446,17 +445,28 @@ def _jsonld_product(spark, sf_dir):
         price="cast(cast(p_retailprice as decimal(12,2)) as string)", availability="if(p_size > 5, 'InStock', 'OutOfStock')", brand="p_brand") + " as json")
 
 
-@query("jsonld_faq")
-def _jsonld_faq(spark, sf_dir):
-    """A user turn and the answer that follows it. A long conversation becomes several documents."""
+def _faq_pairs(spark, sf_dir) -> DataFrame:
+    """A user turn and the answer that follows it."""
     turns = _read(spark, sf_dir, "conversations")
     asked = turns.where("role = 'user'").selectExpr("conv_id", "turn", "text as question")
     answered = turns.where("role = 'assistant'").selectExpr("conv_id", "turn - 1 as turn", "text as answer")
-    pairs = asked.join(answered, ["conv_id", "turn"]).selectExpr("*", f"cast(floor(turn / {FAQ_TURNS}) as int) as part")
-    grouped = pairs.groupBy("conv_id", "part").agg(
+    return asked.join(answered, ["conv_id", "turn"])
+
+
+@query("jsonld_faq")
+def _jsonld_faq(spark, sf_dir):
+    """One Question entity per turn pair: a conversation of any length is as many rows."""
+    place = Window.partitionBy("conv_id").orderBy("turn")
+    return _faq_pairs(spark, sf_dir).withColumn("position", F.row_number().over(place)).selectExpr("conv_id", "turn", "position", f"{structured.question('question', 'answer')} as json")
+
+
+@query("jsonld_faq_document")
+def _jsonld_faq_document(spark, sf_dir):
+    """One document per conversation, whatever its length; the document is as large as the conversation."""
+    grouped = _faq_pairs(spark, sf_dir).groupBy("conv_id").agg(
         F.expr("transform(sort_array(collect_list(struct(turn, question, answer))), x -> named_struct('question', x.question, 'answer', x.answer)) as entries")
     )
-    return grouped.selectExpr("conv_id", "part", f"{structured.faq('entries')} as json")
+    return grouped.selectExpr("conv_id", f"{structured.faq('entries')} as json")
 
 
 SUGGESTION_OUT = ["ord", "n", "suggestion"]
@@ -494,13 +504,17 @@ def _stream_page_audit(spark, sf_dir):
 
 @query("stream_visited")
 def _stream_visited(spark, sf_dir):
-    return _run(spark, streaming.stream_visited(_stream(spark, sf_dir)), "stream-visited").select("site", "url_key")
+    path = scratch(spark, "stream-visited")
+    streaming.stream_visited(_stream(spark, sf_dir), path, scratch(spark, "stream-visited-ckpt")).awaitTermination()
+    return streaming.visited(spark, path).select("site", "url_key")
 
 
 @query("stream_progress")
 def _stream_progress(spark, sf_dir):
-    """Windows still open at the end of the stored pages are not final, so they are not appended."""
-    return _run(spark, streaming.stream_progress(_stream(spark, sf_dir), watermark="0 seconds"), "stream-progress")
+    """Every window, those still open at the end of the stored pages too."""
+    path = scratch(spark, "stream-progress")
+    streaming.stream_progress(_stream(spark, sf_dir), path, scratch(spark, "stream-progress-ckpt")).awaitTermination()
+    return streaming.running_progress(spark, path)
 
 
 @query("stream_site_scores")

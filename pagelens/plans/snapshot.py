@@ -131,7 +131,7 @@ class Snapshot:
         """Inputs of the llms.txt texts: the first pages of each site and a line about its score."""
         described = self.report.selectExpr(
             "site", "start_url as site_url",
-            f"concat({lit('AI SEO Audit Report for ')}, start_url, {lit('. Score: ')}, site_score, {lit('/100.')}) as site_description",
+            f"concat({lit('Page audit report for ')}, start_url, {lit('. Score: ')}, site_score, {lit('/100.')}) as site_description",
         )
         return described.join(structured.first_pages(self.page), "site")
 

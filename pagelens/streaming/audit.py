@@ -12,8 +12,6 @@ from pagelens.operators.rules import page_issues, page_penalty
 from pagelens.schemas import CRAWL
 from pagelens.session import spread
 
-WATERMARK = "10 minutes"
-
 
 def crawl_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(CRAWL).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
@@ -24,19 +22,53 @@ def stream_page_audit(crawl: DataFrame) -> DataFrame:
     return page_issues(page(crawl))
 
 
-def stream_visited(crawl: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Each URL once. State older than the watermark is dropped."""
+def _stored_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What earlier micro-batches stored under `path`, one folder each; an empty table before the first."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
+    return spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(path)
+
+
+VISITED = "site string, ord bigint, url string, url_key string, fetched_at timestamp"
+
+
+def stream_visited(crawl: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """Each URL once for the whole crawl, however far apart its copies arrive.
+
+    A micro-batch keeps the keys that no earlier batch has stored (an anti-join on the key) and
+    replaces its own folder, so a replayed batch stores the same rows again and counts nothing twice.
+    """
+    spark = crawl.sparkSession
     keyed = crawl.selectExpr("site", "ord", "url", f"{normalize_url('url')} as url_key", "fetched_at")
-    return keyed.withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["site", "url_key"])
 
+    def store(batch: DataFrame, batch_id: int) -> None:
+        earlier = _stored_batches(spark, table_path, VISITED).where(F.col("batch_id") < batch_id)
+        fresh = batch.join(earlier.select("site", "url_key"), ["site", "url_key"], "left_anti").dropDuplicates(["site", "url_key"])
+        fresh.select("site", "ord", "url", "url_key", "fetched_at").write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
-def stream_progress(crawl: DataFrame, window: str = "1 minute", watermark: str = WATERMARK) -> DataFrame:
-    """Pages done per time window, and pages per second."""
-    done = crawl.withWatermark("fetched_at", watermark).groupBy(F.window("fetched_at", window)).agg(F.count(F.lit(1)).alias("pages"))
-    seconds = F.col("window.end").cast("long") - F.col("window.start").cast("long")
-    return done.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "pages", (F.col("pages") / seconds).alias("pages_per_sec")
-    )
+    return keyed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def visited(spark: SparkSession, table_path: str) -> DataFrame:
+    return _stored_batches(spark, table_path, VISITED).drop("batch_id")
+
+
+PROGRESS = "window_start timestamp, window_end timestamp, pages bigint"
+
+
+def stream_progress(crawl: DataFrame, table_path: str, checkpoint: str, window: str = "1 minute") -> StreamingQuery:
+    """Pages done per time window, as partial counts of each micro-batch: no window waits for a watermark."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.window("fetched_at", window)).agg(F.count(F.lit(1)).alias("pages"))
+        counts.selectExpr("window.start as window_start", "window.end as window_end", "pages").write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+
+    return crawl.select("fetched_at").writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_progress(spark: SparkSession, table_path: str) -> DataFrame:
+    """Every window so far, the open ones too, with pages per second."""
+    sums = _stored_batches(spark, table_path, PROGRESS).groupBy("window_start", "window_end").agg(F.sum("pages").alias("pages"))
+    return sums.selectExpr("*", "pages / (cast(window_end as bigint) - cast(window_start as bigint)) as pages_per_sec")
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -3,7 +3,7 @@ from urllib.robotparser import RobotFileParser
 from pyspark.sql import functions as F
 
 from pagelens.functions.urls import normalize_url
-from pagelens.operators import dom, frontier
+from pagelens.operators import assets, dom, frontier
 from pagelens.operators.extract import page
 from pagelens.operators.rules import page_issues
 from pagelens.sources import robots
@@ -34,6 +34,22 @@ def test_findings_get_their_element(spark):
     assert at["Missing Favicon"] == (None, None)
 
 
+def test_findings_are_not_multiplied(spark):
+    html = head("<title>Short</title>", body="<img src=/a>")
+    c = crawl(spark, {"url": "https://example.com/1", "final_url": "https://example.com/x", "html": html}, {"url": "https://example.com/2", "final_url": "https://example.com/x", "html": html})
+    issues = page_issues(page(c))
+    assert dom.issue_locators(issues, dom.dom_nodes(c)).count() == issues.count()
+
+
+def test_links_inside_attribute_values_are_no_links(spark):
+    html = head(body='<p title="<a b">x</p><nav><a href="/1">one</a></nav><img alt="1 < 2" src=/i><footer><a href="/2">two</a></footer>')
+    c = crawl(spark, {"html": html})
+    p = page(c)
+    got = {r.link_url.rsplit("/", 1)[1]: r.link_position for r in dom.link_positions(dom.dom_nodes(c), assets.link_rows(p)).collect()}
+    assert got == {"1": "navigation", "2": "footer"}
+    assert assets.image_rows(p).first().alt == "1 < 2"
+
+
 def test_depth_over_links(spark):
     def links(*hrefs):
         return head(body="".join(f'<a href="{h}">l</a>' for h in hrefs))
