@@ -55,25 +55,32 @@ def seed_frontier(sitemap: DataFrame, probe: DataFrame) -> DataFrame:
 
 
 def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Breadth-first depth of every reachable URL: (site, url_key, depth, parent_ok).
+    """Breadth-first depth and discovery path of every reachable URL: (site, url_key, depth, path).
 
-    `seeds` is (site, url_key); `edges` is (site, source_key, target_key) of successfully fetched
-    pages only. One join per level; each level is cut with a reliable checkpoint, so a lost
+    `seeds` is (site, url_key[, pos]); `edges` is (site, source_key, target_key[, pos]) of fetched and
+    allowed pages only. A URL's path holds the position of each step that led to it, so URLs of one
+    depth are discovered in the order of their paths: those of the earliest parent first, by their
+    place on it. One join per level; each level is cut with a reliable checkpoint, so a lost
     executor never replays the levels before it.
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = edges.distinct().checkpoint()
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df if "pos" in df.columns else df.withColumn("pos", F.lit(0))
+
+    edges = placed(edges).groupBy("site", "source_key", "target_key").agg(F.min(F.col("pos").cast("int")).alias("pos")).checkpoint()
     # A hub page or a shared section has a large share of all edges: its edges are salted.
     hot = hot_keys(edges, ["site", "source_key"]).checkpoint()
-    reached = seeds.select("site", "url_key").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    start = placed(seeds).groupBy("site", "url_key").agg(F.array(F.min(F.col("pos").cast("int"))).alias("path"))
+    reached = start.select("site", "url_key", F.lit(0).alias("depth"), "path").checkpoint()
     frontier = reached
     for depth in range(1, max_depth + 1):
         step = (
-            salted_join(edges, frontier.selectExpr("site", "url_key as source_key"), ["site", "source_key"], ["target_key"], "inner", hot)
-            .selectExpr("site", "target_key as url_key").distinct()
+            salted_join(edges, frontier.selectExpr("site", "url_key as source_key", "path"), ["site", "source_key"], ["target_key"], "inner", hot)
+            .groupBy("site", F.col("target_key").alias("url_key")).agg(F.expr("min(concat(path, array(pos)))").alias("path"))
             .join(reached.select("site", "url_key"), ["site", "url_key"], "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .select("site", "url_key", F.lit(depth).alias("depth"), "path")
             .checkpoint()
         )
         if step.isEmpty():
@@ -83,18 +90,22 @@ def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataF
     return reached
 
 
+def fetched(crawl: DataFrame) -> DataFrame:
+    """Pages that are expanded: fetched without error, with a success status."""
+    return crawl.where("error_message is null and status_code between 200 and 299")
+
+
 def page_edges(crawl: DataFrame) -> DataFrame:
-    """Followable edges on normalized keys, from successful pages."""
-    ok = crawl.where("error_message is null and status_code between 200 and 299")
-    return discovered_links(ok).selectExpr(
-        "site", f"{U.normalize_url('source_url')} as source_key", f"{U.normalize_url('target_url')} as target_key"
+    """Followable edges on normalized keys, from successful pages, with their place on the page."""
+    return discovered_links(fetched(crawl)).selectExpr(
+        "site", f"{U.normalize_url('source_url')} as source_key", f"{U.normalize_url('target_url')} as target_key", "pos"
     )
 
 
 def frontier_limit(reached: DataFrame, max_pages: int) -> DataFrame:
-    """The first max_pages allowed URLs per site in breadth-first order; blocked URLs do not count."""
-    order = Window.partitionBy("site").orderBy("depth", "url_key")
-    return reached.where("allowed").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_pages)
+    """The first max_pages URLs per site in discovery order; blocked URLs were never followed."""
+    order = Window.partitionBy("site").orderBy("depth", "path", "url_key")
+    return reached.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_pages)
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:

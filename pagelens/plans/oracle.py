@@ -926,25 +926,28 @@ ORACLES["llms_full_txt"] = f"""SELECT s.site, '# ' || s.site || {NL} || '> ' ||
 
 # --- frontier ------------------------------------------------------------------------------
 TABLES["anchor_raw"] = f"SELECT ord, n, {attr('href')} AS href FROM (SELECT *, list_transform(regexp_extract_all(body, {q(ATTR)}, 1), lambda x: lower(x)) AS names, regexp_extract_all(body, {q(ATTR)}, 2) AS vals FROM anchor)"
-TABLES["found"] = f"""SELECT DISTINCT f.ord, c.site, c.status_code, c.url AS source_url, {absolute('c.url', 'f.ref')} AS target_url FROM (
-        SELECT ord, {strip('href')} AS ref FROM anchor_raw WHERE coalesce(href, '') <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:|data:)')
-        UNION ALL SELECT ord, {strip('href')} FROM linktag WHERE coalesce(href, '') <> '' AND len(list_filter(string_split(rel, ' '), lambda r: r IN ('alternate', 'canonical', 'next', 'prev'))) > 0
-        UNION ALL SELECT ord, {strip("regexp_replace(content, '^.*?url=', '')")} FROM meta WHERE equiv = 'refresh' AND contains(lower(content), 'url=')) f JOIN crawl c USING (ord)"""
+TABLES["found"] = f"""SELECT f.ord, c.site, c.status_code, c.url AS source_url, {absolute('c.url', 'f.ref')} AS target_url, min((kind, n)) AS place FROM (
+        SELECT ord, 0 AS kind, n, {strip('href')} AS ref FROM anchor_raw WHERE coalesce(href, '') <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:|data:)')
+        UNION ALL SELECT ord, 1, n, {strip('href')} FROM linktag WHERE coalesce(href, '') <> '' AND len(list_filter(string_split(rel, ' '), lambda r: r IN ('alternate', 'canonical', 'next', 'prev'))) > 0
+        UNION ALL SELECT ord, 3, n, {strip("regexp_replace(content, '^.*?url=', '')")} FROM meta WHERE equiv = 'refresh' AND contains(lower(content), 'url=')) f JOIN crawl c USING (ord) GROUP BY ALL"""
 _INTERNAL = same_site(url_part("target_url", 4), url_part("source_url", 4))
 ORACLES["discover_links"] = f"SELECT ord, target_url FROM found WHERE {_INTERNAL}"
 TABLES["seedkey"] = f"SELECT site, url, 0 AS source, {normalized('url')} AS url_key FROM (SELECT site, loc AS url FROM sitemap) UNION ALL SELECT site, start_url, 1, {normalized('start_url')} FROM probe"
 ORACLES["seed_frontier"] = "SELECT site, url_key, arg_min(url, (source, url)) AS url, 0 AS depth FROM seedkey GROUP BY site, url_key"
 ORACLES["visited_dedup"] = f"SELECT site, {normalized('url')} AS url_key, min(ord) AS ord, arg_min(url, ord) AS url FROM crawl GROUP BY 1, 2"
-TABLES["sectioned"] = f"SELECT site, {normalized('url')} AS key, regexp_extract(url, '^([a-z]+://[^/]*/[^/?#]*)', 1) AS section FROM crawl"
-TABLES["edge"] = f"""SELECT site, key AS source_key, section AS target_key FROM sectioned UNION SELECT site, section, key FROM sectioned
-    UNION SELECT site, {normalized('source_url')}, {normalized('target_url')} FROM found WHERE status_code BETWEEN 200 AND 299 AND {_INTERNAL}"""
-TABLES["depth0"] = f"SELECT DISTINCT site, {normalized('start_url')} AS url_key FROM probe"
+TABLES["placed"] = f"SELECT *, CAST(row_number() OVER (PARTITION BY ord ORDER BY place) - 1 AS INTEGER) AS pos FROM found WHERE {_INTERNAL}"
+TABLES["edge"] = f"""SELECT site, source_key, target_key, min(pos) AS pos FROM (
+        SELECT site, {normalized('source_url')} AS source_key, {normalized('target_url')} AS target_key, pos FROM placed WHERE status_code BETWEEN 200 AND 299
+        UNION ALL SELECT site, source_key, target_key, 1000000 FROM (SELECT site, status_code, {normalized('url')} AS source_key, lead({normalized('url')}) OVER (PARTITION BY site ORDER BY ord) AS target_key FROM crawl)
+            WHERE status_code BETWEEN 200 AND 299 AND target_key IS NOT NULL)
+    WHERE target_key NOT LIKE '%/sub/page.html' GROUP BY ALL"""
+TABLES["depth0"] = f"SELECT DISTINCT site, {normalized('start_url')} AS url_key, [0] AS path FROM probe"
 for _d in (1, 2, 3):
     _seen = " UNION ".join(f"SELECT site, url_key FROM depth{i}" for i in range(_d))
-    TABLES[f"depth{_d}"] = f"SELECT DISTINCT e.site, e.target_key AS url_key FROM depth{_d - 1} f JOIN edge e ON e.site = f.site AND e.source_key = f.url_key WHERE (e.site, e.target_key) NOT IN ({_seen})"
-TABLES["reached"] = " UNION ALL ".join(f"SELECT site, url_key, {d} AS depth FROM depth{d}" for d in range(4))
-ORACLES["crawl_depth_bfs"] = "SELECT * FROM reached"
-ORACLES["frontier_limit"] = "SELECT site, url_key, depth, CAST(row_number() OVER (PARTITION BY site ORDER BY depth, url_key) AS INTEGER) AS rn FROM reached WHERE url_key NOT LIKE '%/sub/page.html' QUALIFY rn <= 5"
+    TABLES[f"depth{_d}"] = f"SELECT e.site, e.target_key AS url_key, min(list_append(f.path, e.pos)) AS path FROM depth{_d - 1} f JOIN edge e ON e.site = f.site AND e.source_key = f.url_key WHERE (e.site, e.target_key) NOT IN ({_seen}) GROUP BY ALL"
+TABLES["reached"] = " UNION ALL ".join(f"SELECT site, url_key, {d} AS depth, path FROM depth{d}" for d in range(4))
+ORACLES["crawl_depth_bfs"] = "SELECT site, url_key, depth, array_to_string(path, '.') AS path FROM reached"
+ORACLES["frontier_limit"] = "SELECT site, url_key, depth, CAST(row_number() OVER (PARTITION BY site ORDER BY depth, path, url_key) AS INTEGER) AS rn FROM reached QUALIFY rn <= 5"
 
 # --- structured data -----------------------------------------------------------------------
 def js(e: str) -> str:

@@ -220,22 +220,26 @@ table("seed_frontier", lambda s: frontier.seed_frontier(s.sitemap, s.probe))
 table("visited_dedup", lambda s: frontier.visited_dedup(s.crawl.select("site", "ord", "url")))
 
 
+ALLOWED = "not {} like '%/sub/page.html'"
+NEXT_PLACE = 1_000_000
+
+
 def _reached(s: Snapshot) -> DataFrame:
-    """Depth from the start URLs over links between normalized site addresses.
+    """Depth from the start URLs over the links of fetched pages to allowed URLs.
 
-    The stored pages of a site link to few of each other, so links to a language root lead on to
-    every page below it: an edge runs from each page to its own first path segment and back.
+    The stored pages of a site link to few of each other, so each fetched page also leads to the
+    next stored page of its site, in last place.
     """
-    keys = s.crawl.selectExpr("site", "ord", f"{U.normalize_url('url')} as key", "regexp_extract(url, '^([a-z]+://[^/]*/[^/?#]*)', 1) as section")
-    out = keys.selectExpr("site", "key as source_key", "section as target_key").unionByName(
-        keys.selectExpr("site", "section as source_key", "key as target_key")
-    ).unionByName(frontier.page_edges(s.crawl))
+    following = Window.partitionBy("site").orderBy("ord")
+    pages = s.crawl.selectExpr("site", "ord", "status_code", "error_message", f"{U.normalize_url('url')} as source_key").withColumn("target_key", F.lead("source_key").over(following))
+    stored = frontier.fetched(pages).where("target_key is not null").select("site", "source_key", "target_key", F.lit(NEXT_PLACE).alias("pos"))
+    edges = frontier.page_edges(s.crawl).unionByName(stored).where(ALLOWED.format("target_key"))
     starts = s.probe.selectExpr("site", f"{U.normalize_url('start_url')} as url_key")
-    return frontier.crawl_depth(starts, out, MAX_DEPTH)
+    return frontier.crawl_depth(starts, edges, MAX_DEPTH)
 
 
-table("crawl_depth_bfs", _reached)
-table("frontier_limit", lambda s: frontier.frontier_limit(_reached(s).withColumn("allowed", F.expr("not url_key like '%/sub/page.html'")), MAX_PAGES), "site", "url_key", "depth", "rn")
+table("crawl_depth_bfs", _reached, "site", "url_key", "depth", "array_join(path, '.') as path")
+table("frontier_limit", lambda s: frontier.frontier_limit(_reached(s), MAX_PAGES), "site", "url_key", "depth", "rn")
 
 # --- 2.5 page rules ------------------------------------------------------------------------
 ISSUE_OUT = ["ord", "seq", "url", "severity", "issue_type", "description", "html_snippet", "recommendation"]

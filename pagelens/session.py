@@ -24,18 +24,31 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is named."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Stage tables, checkpoints and streaming output go there. Only a local session may run without the
+    setting: driver and executors of a cluster do not share a temporary folder. Nothing is deleted; the
+    folder's owner clears what a finished run has left below it.
+    """
     if spark.sparkContext.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagelens-ckpt-"))
 
 
+# Inputs estimated below this size may be redistributed whole; larger ones have enough splits of their own.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give an input with fewer splits than cores one partition per core.
+    """Give a small input with fewer splits than cores one partition per core.
 
-    A large input already has more splits than cores and is returned as it is, so wide
-    page bodies are only ever shuffled when they are few.
+    Page bodies of a larger input are never shuffled, however many cores there are; smaller splits
+    (spark.sql.files.maxPartitionBytes) spread it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = df.isStreaming or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df

@@ -1,11 +1,15 @@
+from types import SimpleNamespace
 from urllib.robotparser import RobotFileParser
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pagelens.functions.urls import normalize_url
 from pagelens.operators import assets, dom, frontier
 from pagelens.operators.extract import page
 from pagelens.operators.rules import page_issues
+from pagelens.session import ensure_checkpoint_dir
 from pagelens.sources import robots
 from tests.fixtures import crawl, head
 
@@ -105,8 +109,22 @@ def test_blocked_rows_are_kept_and_limit(spark):
     rules = spark.createDataFrame([("e.org", 1, False, "/no")], "host string, ord int, allow boolean, path string")
     out = frontier.robots_filter(spark.createDataFrame([("https://e.org/no/x",), ("https://e.org/yes",)], "url string"), rules)
     assert {r.url[-1]: (r.allowed, r.error_message) for r in out.collect()} == {"x": (False, "Blocked by robots.txt"), "s": (True, None)}
-    reached = spark.createDataFrame([("s", f"k{i}", i % 3, i != 0) for i in range(9)], "site string, url_key string, depth int, allowed boolean")
-    assert [r.url_key for r in frontier.frontier_limit(reached, 3).orderBy("rn").collect()] == ["k3", "k6", "k1"]
+    reached = spark.createDataFrame([("s", f"k{i}", i % 3, [9 - i]) for i in range(9)], "site string, url_key string, depth int, path array<int>")
+    assert [r.url_key for r in frontier.frontier_limit(reached, 4).orderBy("rn").collect()] == ["k6", "k3", "k0", "k7"]
+
+
+def test_discovery_order_follows_links(spark):
+    c = crawl(spark, {"url": "https://example.com/", "html": head(body='<a href="/z">z</a><a href="/a">a</a>')}, {"url": "https://example.com/z", "html": head(body='<a href="/y">y</a>')},
+              {"url": "https://example.com/a", "html": head(body='<a href="/b">b</a>')}, {"url": "https://example.com/y", "html": head(body='<a href="/q">q</a>'), "status_code": 404})
+    seeds = spark.createDataFrame([("example.com", "https://example.com/")], "site string, url_key string")
+    got = frontier.frontier_limit(frontier.crawl_depth(seeds, frontier.page_edges(c), 5), 9).orderBy("rn").collect()
+    assert [r.url_key.rsplit("/", 1)[1] for r in got] == ["", "z", "a", "y", "b"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)
 
 
 def test_seeds_are_deduplicated(spark):
