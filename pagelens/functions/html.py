@@ -7,6 +7,8 @@ stack on a multi-megabyte page.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pagelens.functions.arrays import lit, strip
 
 TAG_REST = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*+"""
@@ -15,31 +17,49 @@ COMMENT = r"(?s)<!--.*?-->"
 # The leading `<` is factored out: the search then skips to it instead of trying every branch.
 OPAQUE = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
 
-# Named character references decoded here. `&amp;` comes last so that a
-# doubly escaped reference is decoded once only.
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"),
-    ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"),
-    ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"),
-    ("&ntilde;", "ñ"), ("&amp;", "&"),
-]
+# The standard table of named character references, with and without the closing semicolon.
+NAMED = {f"&{name}": char for name, char in html5.items()}
+# Numeric references to C1 controls mean the Windows-1252 character of that byte, if there is one.
+_WINDOWS = {c: bytes([c]).decode("cp1252", "ignore") for c in range(0x80, 0xA0)}
+# The five characters that matter to markup keep one written form until a value is read.
+MARKUP = {"<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;", "&": "&amp;"}
 
-_NUMERIC_REFS = lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")
-_ENTITY_TABLE = "array(" + ", ".join(f"named_struct('k', {lit(k)}, 'v', {lit(v)})" for k, v in NAMED_ENTITIES) + ")"
+_REFERENCE = r"(?s)[^&]+|&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))|&"
 
 
-def unescape(e: str) -> str:
-    """Decode numeric and common named character references."""
-    char = (
-        "decode(unhex(lpad(if(lower(left(ref, 1)) = 'x', substring(ref, 2), conv(ref, 10, 16)), 8, '0')), 'UTF-32')"
+def _map(entries: dict) -> str:
+    return "map(" + ", ".join(f"{lit(k) if isinstance(k, str) else k}, {lit(v)}" for k, v in entries.items()) + ")"
+
+
+def canonical_references(html: str) -> str:
+    """`html` with every character reference read once, from left to right.
+
+    Text characters are put in directly; markup characters become one of the forms in MARKUP, so that a
+    tag scan still sees text as text. A reference without its semicolon counts only if it is a whole
+    name of the standard table and no `=` follows. The table stands in the plan once for each call.
+    """
+    digits = "regexp_extract(p, '^&#[xX]?([0-9a-fA-F]+)', 1)"
+    number = f"try_cast(conv(right({digits}, 12), if(lower(substring(p, 3, 1)) = 'x', 16, 10), 10) as bigint)"
+    known = f"element_at({_map(_WINDOWS)}, cast({number} as int))"
+    numeric = (
+        f"case when {number} is null or length(ltrim('0', {digits})) > 8 or {number} = 0 or {number} > 1114111 or {number} between 55296 and 57343 then '\ufffd' "
+        f"when {number} between 128 and 159 then {known} "
+        f"else decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32') end"
     )
-    refs = f"concat(transform(array_distinct(regexp_extract_all({e}, {_NUMERIC_REFS}, 1)), " \
-           f"ref -> named_struct('k', concat('&#', ref, ';'), 'v', {char})), {_ENTITY_TABLE})"
-    return f"if(contains({e}, '&'), aggregate({refs}, {e}, (acc, p) -> replace(acc, p.k, p.v)), {e})"
+    named = f"coalesce(try_element_at({_map(NAMED)}, p), p)"
+    common = "case p when '&amp;' then '&' when '&lt;' then '<' when '&gt;' then '>' when '&quot;' then '\"' when '&nbsp;' then '\u00a0' else null end"
+    char = f"if(left(p, 2) = '&#', {numeric}, coalesce({common}, {named}))"
+    kept = " ".join(f"when {lit(c)} then {lit(ref)}" for c, ref in MARKUP.items())
+    read = f"if(left(p, 1) <> '&', p, get(transform(array({char}), c -> if(c = p, p, case c {kept} else c end)), 0))"
+    return f"if(contains({html}, '&'), array_join(transform(regexp_extract_all({html}, {lit(_REFERENCE)}, 0), p -> {read}), ''), {html})"
+
+
+def unescape(e: str) -> str:
+    """The value of text or an attribute whose references are canonical; `&amp;` comes last, so nothing is read twice."""
+    out = e
+    for char, ref in MARKUP.items():
+        out = f"replace({out}, {lit(ref)}, {lit(char)})"
+    return f"if(contains({e}, '&'), {out}, {e})"
 
 
 def parse_attributes(body: str) -> str:

@@ -13,7 +13,7 @@ from pagelens.functions.arrays import (
     STRINGS, contains_any, count_where, first_where, let, lit, lits, map_last_wins, nonempty, present, strip,
 )
 from pagelens.functions.html import (
-    COMMENT, OPAQUE, TAG_REST, attribute, inner_text, parse_attributes, tags, unescape,
+    COMMENT, OPAQUE, TAG_REST, attribute, canonical_references, inner_text, parse_attributes, tags, unescape,
 )
 from pagelens.functions.jsonld import blocks
 from pagelens.functions.jsstate import js_description, js_title, states
@@ -158,7 +158,9 @@ def tag_arrays(crawl: DataFrame) -> DataFrame:
         "coalesce(html, '') as html",
         f"regexp_replace(coalesce(html, ''), {lit(COMMENT)}, '') as uncommented",
         f"regexp_replace(coalesce(html, ''), {lit(OPAQUE)}, '') as opened",
-    ).selectExpr(*PASSED, "url", "html", "uncommented", f"{quotes_neutral('opened')} as clean")
+    ).selectExpr(*PASSED, "url", "html", "uncommented", f"{quotes_neutral('opened')} as neutral").selectExpr(
+        *PASSED, "url", "html", "uncommented", f"{canonical_references('neutral')} as clean"
+    )
     pieces = f"split(clean, {lit(r'(?i)<a(?=[\s/>])')})"
     anchors = (
         f"transform(filter({pieces}, (p, i) -> i > 0), (p, i) -> named_struct('n', i + 1, "

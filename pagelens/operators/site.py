@@ -147,32 +147,43 @@ def page_report(page: DataFrame, scores: DataFrame) -> DataFrame:
     return facts.join(scores.select("site", "ord", "score"), ["site", "ord"])
 
 
-def site_facts(page: DataFrame) -> DataFrame:
-    """One pass over `page`: every per-site count and mean the site scores and reports use."""
-    def share(cond: str) -> F.Column:
-        return F.avg(F.expr(f"if({cond}, 1.0D, 0.0D)")) * 100
+# What is counted per site as a share of its pages, and what is summed.
+SHARES = {
+    "https_pct": "is_https", "title_pct": "coalesce(title, '') <> ''", "description_pct": "coalesce(meta_description, '') <> ''", "h1_pct": "h1_count > 0",
+    "canonical_pct": "coalesce(canonical_url, '') <> ''", "json_ld_pct": "size(json_ld) > 0", "og_pct": "size(open_graph) > 0", "twitter_pct": "size(twitter_cards) > 0",
+    "lazy_pct": "exists(images, x -> coalesce(contains(x.loading, 'lazy'), false))",
+}
+COUNTS = {
+    "pages_with_lang": "lang is not null", "pages_with_viewport": "viewport is not null", "pages_with_favicon": "favicon_url is not null",
+    "redirect_chains": f"size(redirect_history) > 0 and {REDIRECT_TYPE} is not null",
+}
+HAS_ANSWERS = "coalesce(max(exists(json_ld, x -> coalesce(contains(x.schema_type, 'FAQPage') or contains(x.schema_type, 'HowTo'), false))), false)"
 
+
+def fact_sums(page: DataFrame) -> DataFrame:
+    """Per site the counts and sums from which its facts follow; sums of parts of a crawl add up."""
     return page.groupBy("site").agg(
         F.count(F.lit(1)).alias("pages"),
-        share("is_https").alias("https_pct"),
-        share("coalesce(title, '') <> ''").alias("title_pct"),
-        share("coalesce(meta_description, '') <> ''").alias("description_pct"),
-        share("h1_count > 0").alias("h1_pct"),
-        share("coalesce(canonical_url, '') <> ''").alias("canonical_pct"),
-        share("size(json_ld) > 0").alias("json_ld_pct"),
-        share("size(open_graph) > 0").alias("og_pct"),
-        share("size(twitter_cards) > 0").alias("twitter_pct"),
-        share("exists(images, x -> coalesce(contains(x.loading, 'lazy'), false))").alias("lazy_pct"),
-        F.expr("coalesce(max(exists(json_ld, x -> coalesce(contains(x.schema_type, 'FAQPage') or contains(x.schema_type, 'HowTo'), false))), false)").alias("has_answers"),
-        F.expr("avg(coalesce(total_ms, 0.0D))").alias("avg_response_ms"),
-        F.expr("avg(coalesce(html_size_bytes, 0L))").alias("avg_html_bytes"),
-        F.expr("sum(if(lang is not null, 1L, 0L))").alias("pages_with_lang"),
-        F.expr("sum(if(viewport is not null, 1L, 0L))").alias("pages_with_viewport"),
-        F.expr("sum(if(favicon_url is not null, 1L, 0L))").alias("pages_with_favicon"),
-        F.expr(f"sum(if(size(redirect_history) > 0 and {REDIRECT_TYPE} is not null, 1L, 0L))").alias("redirect_chains"),
+        *[F.expr(f"count_if({cond})").alias(name) for name, cond in {**SHARES, **COUNTS}.items()],
+        F.expr(HAS_ANSWERS).alias("has_answers"),
+        F.expr("sum(coalesce(total_ms, 0.0D))").alias("ms_sum"),
+        F.expr("sum(coalesce(html_size_bytes, 0L))").alias("bytes_sum"),
+    )
+
+
+def facts_of(sums: DataFrame) -> DataFrame:
+    """Shares and means from sums."""
+    return sums.selectExpr(
+        "site", "pages", *[f"{name} / pages * 100 as {name}" for name in SHARES], "has_answers", "ms_sum / pages as avg_response_ms",
+        "bytes_sum / pages as avg_html_bytes", *COUNTS,
     )
 
 
+def site_facts(page: DataFrame) -> DataFrame:
+    """One pass over `page`: every per-site count and mean the site scores and reports use."""
+    return facts_of(fact_sums(page))
+
+
 AI_SCORE = (
     "greatest(0, 100 - case when json_ld_pct < 50 then 20 when json_ld_pct < 80 then 10 else 0 end"
     " - case when og_pct < 50 then 15 when og_pct < 80 then 5 else 0 end - if(twitter_pct < 30, 10, 0) - if(has_answers, 0, 5))"
@@ -184,25 +195,29 @@ SPEED_SCORE = (
 )
 
 
-def site_duplicate_counts(page: DataFrame) -> DataFrame:
-    """Duplicate group counts of all three kinds in one aggregation per kind, unioned once."""
+def site_duplicate_counts(groups: DataFrame) -> DataFrame:
+    """Duplicate group counts of all three kinds, from rows (site, kind) of groups with two or more pages."""
+    return groups.groupBy("site").agg(*[F.expr(f"count_if(kind = '{k}')").alias(f"duplicate_{k}s") for k in DUPLICATE_KEYS])
+
+
+def all_duplicate_groups(page: DataFrame) -> DataFrame:
     parts = [duplicate_groups(page, kind).selectExpr("site", f"'{kind}' as kind") for kind in DUPLICATE_KEYS]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.groupBy("site").agg(*[
-        F.expr(f"count_if(kind = '{k}')").alias(f"duplicate_{k}s") for k in DUPLICATE_KEYS
-    ])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def website_report(
-    page: DataFrame, scores: DataFrame, orphans: DataFrame, probe: DataFrame
-) -> DataFrame:
+def website_report(page: DataFrame, scores: DataFrame, orphans: DataFrame, probe: DataFrame) -> DataFrame:
     """One row per site: counts, shares and the four scores. Every join here is one row per site."""
     mean_score = scores.groupBy("site").agg(F.avg("score").alias("avg_page_score"))
+    return site_scores(probe, site_facts(page), mean_score, site_duplicate_counts(all_duplicate_groups(page)), orphans)
+
+
+def site_scores(probe: DataFrame, facts: DataFrame, mean_score: DataFrame, duplicates: DataFrame, orphans: DataFrame) -> DataFrame:
+    """The report row of each site from its facts, however they were gathered."""
     n_orphans = orphans.groupBy("site").agg(F.count(F.lit(1)).alias("orphans"))
     joined = (
-        probe.join(site_facts(page), "site", "left")
+        probe.join(facts, "site", "left")
         .join(mean_score, "site", "left")
-        .join(site_duplicate_counts(page), "site", "left")
+        .join(duplicates, "site", "left")
         .join(n_orphans, "site", "left")
         .na.fill(0, ["pages", "duplicate_contents", "duplicate_titles", "duplicate_descriptions", "orphans", "redirect_chains"])
     )

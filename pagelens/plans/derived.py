@@ -82,7 +82,7 @@ SOFT_404 = _case(29, {13: "'<meta name=\"keywords\" content=\"Page  Not Found\">
 
 HEADINGS = _case(5, {
     1: "'<h2>What is page ' || page_id || '?</h2><h3>Details <b>here</b></h3>'",
-    2: "'<h3>Skipped &amp; level</h3>'",
+    2: "'<h3>Skipped &amp; level, caf&eacute; &times; &#38;lt; &#xE9;&#233; &iacute;&copy &unknown; a&b</h3>'",
     3: "'<h1>Second main heading</h1><h2> </h2>'",
     4: "'<h2>How to start</h2><h3>Where to go</h3><h4>Which one</h4>'",
 })

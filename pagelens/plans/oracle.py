@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from pagelens.functions.html import NAMED_ENTITIES
 from pagelens.functions.jsonld import REQUIREMENTS
 from pagelens.functions.text import HARDEST_BAND, READABILITY_BANDS
 from pagelens.operators import advanced, guides, keywords, reporting, structured, visibility
@@ -37,10 +36,15 @@ def strip(e: str) -> str:
     return f"trim({e}, {BLANKS})"
 
 
+# The character references that the derived pages hold; an ampersand is put in last.
+_REFERENCES = [("&amp;", "\x01"), ("&#38;", "\x01"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&eacute;", "é"), ("&times;", "×"),
+               ("&#xE9;", "é"), ("&#233;", "é"), ("&iacute;", "í"), ("&copy ", "© "), ("\x01", "&")]
+
+
 def unescape(e: str) -> str:
     out = e
-    for name, char in NAMED_ENTITIES:
-        out = f"replace({out}, {q(name)}, {q(char)})"
+    for reference, char in _REFERENCES:
+        out = f"replace({out}, {q(reference)}, {q(char)})"
     return f"CASE WHEN contains({e}, '&') THEN {out} ELSE {e} END"
 
 
@@ -840,7 +844,26 @@ ORACLES["health_table"] = stack(
     "report", "")
 TABLES["page_count"] = f"SELECT ord, {_COUNTS} FROM issue WHERE ord >= 0 GROUP BY ord"
 ORACLES["page_rows"] = "SELECT p.site, p.ord, p.url, status_code, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, score FROM page p JOIN score USING (ord) LEFT JOIN page_count USING (ord)"
-ORACLES["write_report_json"] = "SELECT p.ord, p.url, score, CAST(coalesce((SELECT count(*) FROM link l WHERE l.ord = p.ord), 0) AS INTEGER) AS n_links, CAST((SELECT count(*) FROM image i WHERE i.ord = p.ord) AS INTEGER) AS n_images, CAST(coalesce(total, 0) AS INTEGER) AS n_issues FROM page p JOIN score USING (ord) LEFT JOIN page_count USING (ord)"
+def part(name: str, frm: str, key: str, *values: str) -> str:
+    shown = ", ".join(f"coalesce(CAST({v} AS VARCHAR), '')" for v in values)
+    return f"SELECT {q(name)} AS part, site, CAST({key} AS VARCHAR) AS name, concat_ws('|', {shown or q('')}) AS value FROM {frm}"
+
+
+_FINDING = ("severity", "issue_type", "description", "html_snippet", "recommendation")
+ORACLES["write_report_json"] = " UNION ALL ".join([
+    part("site", "report", "start_url", "site_score", "ai_visibility_score", "site_speed_score", "site_health_score", "pages", "orphans"),
+    part("page", "(SELECT p.*, score, coalesce(total, 0) AS total FROM page p JOIN (SELECT ord, score FROM score) USING (ord) LEFT JOIN (SELECT ord, total FROM page_count) USING (ord))", "ord", "url", "score", "title", "total"),
+    part("finding", "issue WHERE ord >= 0", "ord || ':' || seq", *_FINDING),
+    part("link", "checked WHERE kind = 'link'", "ord || ':' || n", "target", "is_internal", "status_code", "is_broken"),
+    part("image", "checked WHERE kind = 'image'", "ord || ':' || n", "target", "status_code", "is_broken"),
+    part("site finding", "issue WHERE ord < 0", "seq", *_FINDING),
+    *[part(f"duplicate {_kind}", f"({ORACLES[f'{_id}_members']})", "ord", "dup_key", "url", "n_pages", "is_first") for _kind, (_id, *_) in _DUP.items()],
+    part("orphan", "orphan", "loc"),
+    part("redirect", f"({ORACLES['redirect_pages']})", "ord", "url", "redirect_type"),
+    part("status", f"({ORACLES['status_distribution']})", "status_code", "pages"),
+    part("keyword", "kp_top", "CAST(position AS INTEGER)", "keyword", "count"),
+    part("advanced", f"({ORACLES['advanced_site']})", "'counts'", "security_issues", "mixed_content", "thin_pages"),
+])
 _CH = " ".join(f"WHEN issue_type IN ({qs(v)}) THEN {q(k)}" for k, v in reporting.CHAPTERS.items() if k[0] != "1")
 TABLES["chaptered"] = f"SELECT *, CASE WHEN severity = 'CRITICAL' OR issue_type IN ({qs(reporting.CHAPTERS['1. Critical Errors'])}) THEN '1. Critical Errors' {_CH} ELSE {q(reporting.FALLBACK_CHAPTER)} END AS chapter FROM issue"
 ORACLES["report_chapters"] = "SELECT site, chapter, issue_type AS section, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(DISTINCT url) AS pages FROM chaptered GROUP BY GROUPING SETS ((site, chapter, issue_type), (site, chapter))"
@@ -1075,5 +1098,5 @@ ORACLES["stream_page_audit"] = ORACLES["page_issues"]
 ORACLES["stream_visited"] = f"SELECT DISTINCT site, {normalized('url')} AS url_key FROM crawl"
 TABLES["minute"] = "SELECT make_timestamp((1704067200 + (ord // 60) * 60) * 1000000) AS window_start, count(*) AS pages FROM crawl GROUP BY 1"
 ORACLES["stream_progress"] = "SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, pages, pages / 60 AS pages_per_sec FROM minute"
-ORACLES["stream_site_scores"] = f"""SELECT site, count(*) AS pages, round(avg(s), 4) AS avg_score, round(avg(ms), 4) AS avg_response_ms, round(avg(html_size_bytes), 4) AS avg_html_bytes, round(avg(j) * 100, 4) AS json_ld_pct, round(avg(o) * 100, 4) AS og_pct FROM (
-    SELECT site, greatest(0, least(100, 100 - ({_PENALTY}))) AS s, CAST(coalesce(total_ms, 0) AS DOUBLE) AS ms, html_size_bytes, CASE WHEN n_blocks > 0 THEN 1 ELSE 0 END AS j, CASE WHEN n_og > 0 THEN 1 ELSE 0 END AS o FROM pagex) GROUP BY site"""
+TABLES["running_report"] = TABLES["report"].replace("avg(score) FROM score s", "avg(base_score) FROM base_score s")
+ORACLES["stream_site_scores"] = "SELECT site, pages, site_score, ai_visibility_score, site_speed_score, site_health_score FROM running_report"

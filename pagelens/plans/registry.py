@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelens.functions import urls as U
 from pagelens.functions.arrays import lit
@@ -191,14 +193,53 @@ def _issues_csv_compact(spark, sf_dir):
                                                                             "CSS Selector": "css_selector", "XPath": "xpath", "Recommendation": "recommendation"})
 
 
+def _report_parts(s: Snapshot) -> dict[str, DataFrame]:
+    located = dom.issue_locators(s.issues, _nodes(s))
+    return {
+        "sites": s.report,
+        "pages": sinks.page_documents(s.page, located, s.scores, s.checked),
+        "site_issues": s.issues.where("ord < 0"),
+        **{f"duplicate_{k}": site.duplicate_members(s.page, k) for k in site.DUPLICATE_KEYS},
+        "orphans": s.orphans,
+        "redirects": site.redirect_pages(s.page),
+        "statuses": reporting.status_distribution(s.page),
+        "keywords": s.top_keywords.select("site", "position", "keyword", "count", "density"),
+        "advanced": s.advanced_site,
+    }
+
+
 @query("write_report_json")
 def _write_report_json(spark, sf_dir):
-    s = derived_snapshot(spark, sf_dir)
+    """Every part of the written report, read back as (part, site, name, value)."""
     path = scratch(spark, "report-json")
-    sinks.write_report_json(s.report, sinks.page_documents(s.page, s.issues, s.scores), path)
-    schema = "ord bigint, url string, score int, links array<struct<url:string>>, images array<struct<src:string>>, issues array<struct<issue_type:string>>"
-    docs = spark.read.schema(schema).json(f"{path}/pages")
-    return docs.selectExpr("ord", "url", "score", "size(links) as n_links", "size(images) as n_images", "coalesce(size(issues), 0) as n_issues")
+    parts = _report_parts(derived_snapshot(spark, sf_dir))
+    sinks.write_report_json(parts, path)
+
+    def back(name: str) -> DataFrame:
+        schema = StructType([f for f in parts[name].schema.fields])
+        return spark.read.schema(schema).json(f"{path}/{name}")
+
+    def part(name: str, df: DataFrame, key: str, *values: str) -> DataFrame:
+        shown = ", ".join(f"coalesce(cast({v} as string), '')" for v in values)
+        return df.selectExpr(f"{lit(name)} as part", "site", f"cast({key} as string) as name", f"concat_ws('|', {shown or lit('')}) as value")
+
+    finding = ("severity", "issue_type", "description", "html_snippet", "recommendation")
+    pages = back("pages")
+    out = [
+        part("site", back("sites"), "start_url", "site_score", "ai_visibility_score", "site_speed_score", "site_health_score", "pages", "orphans"),
+        part("page", pages, "ord", "url", "score", "title", "coalesce(size(issues), 0)"),
+        part("finding", pages.selectExpr("site", "ord", "inline(issues)"), "concat(ord, ':', seq)", *finding),
+        part("link", pages.selectExpr("site", "ord", "inline(checked_links)"), "concat(ord, ':', n)", "target", "is_internal", "status_code", "is_broken"),
+        part("image", pages.selectExpr("site", "ord", "inline(checked_images)"), "concat(ord, ':', n)", "target", "status_code", "is_broken"),
+        part("site finding", back("site_issues"), "seq", *finding),
+        *[part(f"duplicate {k}", back(f"duplicate_{k}"), "ord", "dup_key", "url", "n_pages", "is_first") for k in site.DUPLICATE_KEYS],
+        part("orphan", back("orphans"), "loc"),
+        part("redirect", back("redirects"), "ord", "url", "redirect_type"),
+        part("status", back("statuses"), "status_code", "pages"),
+        part("keyword", back("keywords"), "position", "keyword", "count"),
+        part("advanced", back("advanced"), "'counts'", "security_issues", "mixed_content", "thin_pages"),
+    ]
+    return reduce(DataFrame.unionByName, out)
 
 
 table("sitemap_export", lambda s: structured.sitemap_export(s.scores, s.probe, RUN_DATE), "ord", "loc", "lastmod", "changefreq", "priority")
@@ -523,6 +564,9 @@ def _stream_progress(spark, sf_dir):
 
 @query("stream_site_scores")
 def _stream_site_scores(spark, sf_dir):
+    s = derived_snapshot(spark, sf_dir)
     path = scratch(spark, "stream-scores")
-    streaming.stream_site_scores(_stream(spark, sf_dir), path, scratch(spark, "stream-scores-ckpt")).awaitTermination()
-    return streaming.running_site_scores(spark, path)
+    streaming.stream_site_scores(_stream(spark, sf_dir), s.probe, path, scratch(spark, "stream-scores-ckpt")).awaitTermination()
+    return streaming.running_site_scores(spark, path, s.probe, s.sitemap).select(
+        "site", "pages", "site_score", "ai_visibility_score", "site_speed_score", "site_health_score"
+    )

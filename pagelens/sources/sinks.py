@@ -22,24 +22,44 @@ def write_issues_csv(located_issues: DataFrame, path: str, compact: bool = False
     issues_csv_table(located_issues, compact).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def page_documents(page: DataFrame, issues: DataFrame, scores: DataFrame) -> DataFrame:
-    """One nested document per page: its fields, links, images, findings and score.
+FINDING = ["seq", "severity", "issue_type", "description", "html_snippet", "css_selector", "xpath", "recommendation"]
+REFERENCE = ["n", "target", "is_internal", "status_code", "is_broken"]
 
-    Findings are grouped per page, so a group is as large as one page's findings.
+
+def page_documents(page: DataFrame, located_issues: DataFrame, scores: DataFrame, checked: DataFrame) -> DataFrame:
+    """One nested document per page: its fields, links and images with their status, findings and score.
+
+    Findings and references are grouped per page, so a group is as large as one page's own.
     """
-    grouped = issues.where("ord >= 0").groupBy("site", "ord").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "severity", "issue_type", "description", "recommendation"))).alias("issues")
+    found = located_issues.where("ord >= 0").groupBy("site", "ord").agg(F.sort_array(F.collect_list(F.struct(*FINDING))).alias("issues"))
+    targets = checked.groupBy("site", "ord").agg(
+        *[F.expr(f"sort_array(collect_list(struct({', '.join(REFERENCE)})) filter (where kind = '{k}'))").alias(f"checked_{k}s") for k in ("link", "image")]
     )
-    return page.drop("headers").join(grouped, ["site", "ord"], "left").join(scores.select("site", "ord", "score"), ["site", "ord"])
+    docs = page.drop("headers").join(found, ["site", "ord"], "left").join(targets, ["site", "ord"], "left")
+    return docs.join(scores.select("site", "ord", "score"), ["site", "ord"])
+
+
+# Rows of one site in one file; a larger site is several files, and no site has one per task.
+ROWS_PER_FILE = 50_000
 
 
-def write_report_json(report: DataFrame, page_docs: DataFrame, path: str) -> None:
-    """The site rows and the page documents as JSON lines, the pages in one folder per site.
+def write_report_json(parts: dict[str, DataFrame], path: str) -> None:
+    """Every part of the site report as JSON lines below `path`, one folder per part and site.
 
-    A site's pages are never gathered into one value: a large site is many files.
+    Parts: `sites` (one row per site), `pages` (documents), and the member tables that a report holds as
+    lists: site findings, duplicate groups and members, orphans, redirect chains, statuses, keywords, the
+    advanced audit. A site's rows are never gathered into one value; they are clustered by site and by
+    blocks of rows before writing, so the number of files follows the rows.
     """
-    report.write.mode("overwrite").json(f"{path}/sites")
-    page_docs.write.mode("overwrite").partitionBy("site").json(f"{path}/pages")
+    for name, df in parts.items():
+        if name == "sites":
+            df.write.mode("overwrite").json(f"{path}/{name}")
+            continue
+        blocks = df.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_blocks"))
+        others = [c for c in ("ord", "url", "loc", "keyword", "dup_key", "seq", "status_code") if c in df.columns]
+        placed = df.join(blocks, "site").withColumn("_block", F.pmod(F.xxhash64(F.lit(0), *others), F.col("_blocks")))
+        clustered = placed.repartition("site", "_block").drop("_blocks", "_block")
+        clustered.write.mode("overwrite").partitionBy("site").json(f"{path}/{name}")
 
 
 def write_sitemap_xml(export: DataFrame, path: str) -> None:

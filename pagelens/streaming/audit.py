@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagelens.functions.urls import normalize_url
 from pagelens.operators.extract import page
-from pagelens.operators.rules import page_issues, page_penalty
+from pagelens.operators import site
+from pagelens.operators.rules import page_issues
 from pagelens.schemas import CRAWL
 from pagelens.session import spread
 
@@ -77,37 +78,33 @@ def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def site_partials(crawl_batch: DataFrame) -> DataFrame:
-    """Sums per site from which running scores are read."""
-    scored = page(crawl_batch).selectExpr(
-        "site", f"greatest(0, least(100, 100 - {page_penalty()})) as score", "coalesce(total_ms, 0.0D) as ms",
-        "coalesce(html_size_bytes, 0L) as bytes", "size(json_ld) > 0 as json_ld", "size(open_graph) > 0 as og",
-    )
-    return scored.groupBy("site").agg(
-        F.count(F.lit(1)).alias("pages"), F.expr("sum(cast(score as bigint))").alias("score_sum"), F.sum("ms").alias("ms_sum"),
-        F.sum("bytes").alias("bytes_sum"), F.expr("count_if(json_ld)").alias("json_ld_pages"), F.expr("count_if(og)").alias("og_pages"),
-    )
+def stream_site_scores(crawl: DataFrame, probe: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
+    """What the running site scores need, as partial tables of each micro-batch.
 
-
-def stream_site_scores(crawl: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Running site sums: every micro-batch replaces its own partition of partial sums.
-
-    A replayed batch overwrites the partition it wrote before, so a restart counts nothing twice,
-    and no batch reads or rewrites what earlier ones stored.
+    `facts` holds sums per site, `keys` page counts per duplicate key, `urls` the crawled addresses. A
+    replayed batch overwrites the folders it wrote before, so a restart counts nothing twice, and no
+    batch reads or rewrites what earlier ones stored.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        site_partials(spread(batch)).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        pages = page(spread(batch)).persist()
+        scores = site.page_scores(pages, probe).groupBy("site").agg(F.expr("sum(cast(score as bigint))").alias("score_sum"))
+        keys = [site.duplicate_keys(pages, k).groupBy("site", "dup_key").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k)) for k in site.DUPLICATE_KEYS]
+        parts = {"facts": site.fact_sums(pages).join(scores, "site"), "keys": keys[0].unionByName(keys[1]).unionByName(keys[2]), "urls": pages.select("site", "url").distinct()}
+        for name, df in parts.items():
+            df.write.mode("overwrite").parquet(f"{table_path}/{name}/batch_id={batch_id}")
+        pages.unpersist()
 
     return crawl.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_site_scores(spark: SparkSession, table_path: str) -> DataFrame:
-    """Current site means over all stored partial sums."""
-    sums = spark.read.parquet(table_path).groupBy("site").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "score_sum", "ms_sum", "bytes_sum", "json_ld_pages", "og_pages")]
-    )
-    return sums.selectExpr(
-        "site", "pages", "round(score_sum / pages, 4) as avg_score", "round(ms_sum / pages, 4) as avg_response_ms",
-        "round(bytes_sum / pages, 4) as avg_html_bytes", "round(json_ld_pages / pages * 100, 4) as json_ld_pct", "round(og_pages / pages * 100, 4) as og_pct",
-    )
+def running_site_scores(spark: SparkSession, table_path: str, probe: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """The four scores of every site over all stored batches; broken targets are checked after the crawl."""
+    counted = ["pages", *site.SHARES, *site.COUNTS, "bytes_sum", "score_sum"]
+    schema = "site string, " + ", ".join(f"{c} bigint" for c in counted) + ", ms_sum double, has_answers boolean, batch_id bigint"
+    sums = spark.read.schema(schema).parquet(f"{table_path}/facts").groupBy("site").agg(*[F.sum(c).alias(c) for c in (*counted, "ms_sum")], F.max("has_answers").alias("has_answers"))
+    keys = spark.read.schema("site string, dup_key string, n bigint, kind string, batch_id bigint").parquet(f"{table_path}/keys")
+    groups = keys.groupBy("site", "kind", "dup_key").agg(F.sum("n").alias("n")).where("n > 1")
+    urls = spark.read.schema("site string, url string, batch_id bigint").parquet(f"{table_path}/urls").select("site", "url")
+    mean = sums.selectExpr("site", "score_sum / pages as avg_page_score")
+    return site.site_scores(probe, site.facts_of(sums), mean, site.site_duplicate_counts(groups), site.orphan_pages(sitemap, urls))

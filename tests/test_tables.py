@@ -96,7 +96,10 @@ def test_exports(spark, snap, tmp_path):
     sinks.write_issues_csv(located, str(tmp_path / "csv"))
     rows = [r for f in sorted(glob.glob(str(tmp_path / "csv/*.csv"))) for r in list(csv.reader(open(f)))[1:]]
     assert len(rows) == snap.issues.count() and rows[0][2] == "Orphan Pages" and len(rows[0]) == 8
-    sinks.write_report_json(snap.report, sinks.page_documents(snap.page, snap.issues, snap.scores), str(tmp_path / "json"))
+    parts = {"sites": snap.report, "pages": sinks.page_documents(snap.page, located, snap.scores, snap.checked), "site_issues": snap.issues.where("ord < 0"), "orphans": snap.orphans}
+    sinks.write_report_json(parts, str(tmp_path / "json"))
+    assert {d["issue_type"] for f in glob.glob(str(tmp_path / "json/site_issues/*/*.json")) for d in map(json.loads, open(f))} == {r.issue_type for r in snap.issues.where("ord < 0").collect()}
+    assert len(glob.glob(str(tmp_path / "json/pages/site=*/*.json"))) == 1
     docs = [json.loads(line) for f in glob.glob(str(tmp_path / "json/pages/*/*.json")) for line in open(f)]
     assert {d["url"] for d in docs} == {"https://example.com/0", "https://example.com/1"} and all(d["issues"] for d in docs)
     sinks.write_sitemap_xml(structured.sitemap_export(snap.scores, snap.probe, "2024-06-01"), str(tmp_path / "xml"))
@@ -150,9 +153,15 @@ def test_streams(spark, tmp_path):
     audit.stream_progress(stream, str(tmp_path / "progress"), str(tmp_path / "ck4")).awaitTermination()
     assert audit.running_progress(spark, str(tmp_path / "progress")).agg(F.sum("pages")).first()[0] == pages.count()
     table = str(tmp_path / "scores")
-    audit.stream_site_scores(stream, table, str(tmp_path / "ck3")).awaitTermination()
-    total = audit.running_site_scores(spark, table).agg(F.sum("pages")).first()[0]
-    assert total == pages.count() and len(glob.glob(f"{table}/batch_id=*")) == 3
+    probe = pages.groupBy(F.expr(derived.SITE_OF).alias("site")).agg(F.min_by("url", "page_id").alias("start_url")).selectExpr("*", "true as robots_txt_found", "false as sitemap_xml_found")
+    sitemap = pages.selectExpr(*derived.SITEMAP_COLUMNS)
+    audit.stream_site_scores(stream, probe, table, str(tmp_path / "ck3")).awaitTermination()
+    assert len(glob.glob(f"{table}/facts/batch_id=*")) == 3
+    columns = ["site", "pages", "site_score", "ai_visibility_score", "site_speed_score", "site_health_score"]
+    whole = page(spark.read.parquet(src))
+    want = site.website_report(whole, site.page_scores(whole, probe), site.orphan_pages(sitemap, whole), probe)
+    got = audit.running_site_scores(spark, table, probe, sitemap)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
 
 
 def test_asset_status_counts(spark):
