@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.arrays import any_word, lit, lits
-from pagelens.operators.catalog import SEVERITY_ORDER
+from pagelens.operators.catalog import ISSUES, SEVERITY_ORDER
 from pagelens.operators.site import redirect_display
 
 # Fixed values.
@@ -63,7 +63,28 @@ TOP_ISSUES = 15
 TOP_CLUSTERS = 20
 MIXED_ROWS = 50
 
-FIRST_SEEN = "struct(ord, seq)"
+# The order of findings as one number, (ord, seq) packed: a minimum over it stays in the hash aggregate, while
+# one over a struct sorts every row. Sequence numbers stay below the base (catalog.RULE_STRIDE).
+SEQ_BASE = 10**15
+FIRST_SEEN = f"(cast(ord as decimal(22,0)) * cast({SEQ_BASE} as decimal(16,0)) + cast(seq as decimal(16,0)))"
+# What stands before the order in some reports: a severity or site findings after page findings.
+LEAD_BASE = 10**36
+
+
+def led_by(lead: str) -> str:
+    return f"cast(cast({lead} as decimal(1,0)) * cast({LEAD_BASE} as decimal(37,0)) + {FIRST_SEEN} as decimal(38,0))"
+
+
+SEVERITIES = ("CRITICAL", "WARNING", "INFO")
+_FIXED_ADVICE = " ".join(f"when {lit(name)} then {lit(advice)}" for name, (_, _, advice) in ISSUES.items() if "{}" not in advice)
+_VARYING_ADVICE = [name for name, (_, _, advice) in ISSUES.items() if "{}" in advice]
+
+
+def with_advice(groups: DataFrame, issues: DataFrame) -> DataFrame:
+    """Adds the recommendation of each group's first finding (`first_seen`): a fixed text by type, else read from that finding."""
+    varying = issues.where(F.col("issue_type").isin(_VARYING_ADVICE)).selectExpr("site", f"{FIRST_SEEN} as first_seen", "recommendation as own")
+    joined = groups.join(varying, ["site", "first_seen"], "left")
+    return joined.withColumn("recommendation", F.expr(f"coalesce(own, case issue_type {_FIXED_ADVICE} end)")).drop("own")
 
 
 def _count(cond: str, name: str) -> F.Column:
@@ -81,11 +102,8 @@ def severity_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("site").agg(*severity_aggs())
 
 
-def _first_urls(issues: DataFrame, keys: list[str], k: int, distinct: bool, order: str = "ord, seq") -> DataFrame:
-    """First k (distinct) URLs per group; ranks are cut on the map side before the shuffle."""
-    rows = issues.selectExpr(*keys, "url", f"struct({order}) as at")
-    if distinct:
-        rows = rows.groupBy(*keys, "url").agg(F.min("at").alias("at"))
+def _first_urls(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """First k URLs per group of rows (keys, url, at); ranks are cut on the map side before the shuffle."""
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).where(F.col("rn") <= k)
     return ranked.groupBy(*keys).agg(
         F.expr("array_join(transform(sort_array(collect_list(struct(rn, url))), r -> r.url), '|')").alias("urls")
@@ -95,16 +113,17 @@ def _first_urls(issues: DataFrame, keys: list[str], k: int, distinct: bool, orde
 def issue_clusters_html(issues: DataFrame) -> DataFrame:
     """Per type: severity and advice of the first finding, count, first five affected pages."""
     keys = ["site", "issue_type"]
-    per_url = issues.groupBy(*keys, "url").agg(
-        F.count(F.lit(1)).alias("c"), F.expr(f"min({FIRST_SEEN})").alias("first_seen"),
-        F.expr(f"min_by(severity, {FIRST_SEEN})").alias("severity"), F.expr(f"min_by(recommendation, {FIRST_SEEN})").alias("recommendation"),
-    )
-    clusters = per_url.groupBy(*keys).agg(
-        F.min_by("severity", "first_seen").alias("severity"), F.min_by("recommendation", "first_seen").alias("recommendation"),
-        F.sum("c").alias("n_issues"), F.count(F.lit(1)).alias("n_urls"), F.min("first_seen").alias("first_seen"),
+    # Severity rides in the last digit of the order, so the minimum brings the first finding's own.
+    seen = f"({FIRST_SEEN} * 10 + case severity when 'CRITICAL' then 0 when 'WARNING' then 1 else 2 end)"
+    per_url = issues.groupBy(*keys, "url").agg(F.count(F.lit(1)).alias("c"), F.expr(f"min(cast({seen} as decimal(38,0)))").alias("at"))
+    clusters = per_url.groupBy(*keys).agg(F.sum("c").alias("n_issues"), F.count(F.lit(1)).alias("n_urls"), F.min("at").alias("at"))
+    clusters = clusters.selectExpr(
+        *keys, "n_issues", "n_urls", "cast(floor(at / 10) as decimal(38,0)) as first_seen",
+        f"element_at(array({lits(list(SEVERITIES))}), cast(at - floor(at / 10) * 10 as int) + 1) as severity",
     )
     order = Window.partitionBy("site").orderBy(F.expr(SEVERITY_ORDER), F.desc("n_issues"), "first_seen")
-    return clusters.join(_first_urls(issues, keys, 5, True), keys).withColumn("rank", F.row_number().over(order)).drop("first_seen")
+    urls = _first_urls(per_url.select(*keys, "url", "at"), keys, 5)
+    return with_advice(clusters, issues).join(urls, keys).withColumn("rank", F.row_number().over(order)).drop("first_seen")
 
 
 def issue_clusters_pdf(issues: DataFrame) -> DataFrame:
@@ -113,11 +132,12 @@ def issue_clusters_pdf(issues: DataFrame) -> DataFrame:
     clusters = issues.groupBy(*keys).agg(
         F.expr("if(max(severity = 'CRITICAL'), 'CRITICAL', 'WARNING')").alias("severity"),
         F.count(F.lit(1)).alias("n_issues"), F.expr(f"min({FIRST_SEEN})").alias("first_seen"),
-        F.expr(f"min_by(description, {FIRST_SEEN})").alias("sample_description"),
     )
+    first = issues.selectExpr("site", f"{FIRST_SEEN} as first_seen", "description as sample_description")
     order = Window.partitionBy("site").orderBy(F.expr("severity <> 'CRITICAL'"), F.desc("n_issues"), "first_seen")
     ranked = clusters.withColumn("rank", F.row_number().over(order)).withColumn("listed", F.col("rank") <= TOP_CLUSTERS)
-    return ranked.join(_first_urls(issues, keys, 10, False), keys).drop("first_seen")
+    ranked = ranked.join(first, ["site", "first_seen"])
+    return ranked.join(_first_urls(issues.selectExpr(*keys, "url", f"{FIRST_SEEN} as at"), keys, 10), keys).drop("first_seen")
 
 
 def issue_distribution(issues: DataFrame) -> DataFrame:
@@ -143,14 +163,11 @@ def executive_findings(issues: DataFrame, report: DataFrame) -> DataFrame:
 
 def top_issues(issues: DataFrame) -> DataFrame:
     """Fifteen (severity, type) groups per site; page findings count as seen before site findings."""
-    seen = "struct(if(ord < 0, 1, 0), ord, seq)"
-    per_url = issues.groupBy("site", "severity", "issue_type", "url").agg(
-        F.count(F.lit(1)).alias("c"), F.expr(f"min({seen})").alias("first_seen"), F.expr(f"min_by(recommendation, {seen})").alias("recommendation")
-    )
-    groups = per_url.groupBy("site", "severity", "issue_type").agg(
-        F.sum("c").alias("n_issues"), F.count(F.lit(1)).alias("n_pages"), F.min("first_seen").alias("first_seen"),
-        F.min_by("recommendation", "first_seen").alias("recommendation"),
-    )
+    keys = ["site", "severity", "issue_type"]
+    per_url = issues.groupBy(*keys, "url").agg(F.count(F.lit(1)).alias("c"), F.expr(f"min({led_by('if(ord < 0, 1, 0)')})").alias("at"))
+    groups = per_url.groupBy(*keys).agg(F.sum("c").alias("n_issues"), F.count(F.lit(1)).alias("n_pages"), F.min("at").alias("at"))
+    plain = f"if(at > cast({LEAD_BASE // 2} as decimal(38,0)), at - cast({LEAD_BASE} as decimal(38,0)), at)"
+    groups = with_advice(groups.withColumn("first_seen", F.expr(f"cast({plain} as decimal(38,0))")), issues).drop("first_seen").withColumnRenamed("at", "first_seen")
     order = Window.partitionBy("site").orderBy(F.expr(SEVERITY_ORDER), F.desc("n_issues"), "first_seen")
     return (
         groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_ISSUES)
@@ -291,8 +308,8 @@ def http_error_summary(page: DataFrame, issues: DataFrame) -> DataFrame:
         f"case cast(floor(status_code / 100) as int) {classes} end as severity",
     )
     found = issues.where(f"ord >= 0 and severity in ('CRITICAL', 'WARNING') and issue_type in ({lits(HTTP_ISSUES)})").groupBy("site", "issue_type").agg(
-        F.count(F.lit(1)).alias("amount"), F.expr(f"min_by(severity, {FIRST_SEEN})").alias("severity")
-    ).withColumnRenamed("issue_type", "http_status")
+        F.count(F.lit(1)).alias("amount"), F.expr(f"min(cast({FIRST_SEEN} * 10 + if(severity = 'CRITICAL', 0, 1) as decimal(38,0)))").alias("at")
+    ).selectExpr("site", "issue_type as http_status", "amount", "if(at - floor(at / 10) * 10 = 0, 'CRITICAL', 'WARNING') as severity")
     return statuses.unionByName(found)
 
 
@@ -366,8 +383,8 @@ def technical_summary(report: DataFrame) -> DataFrame:
 def issue_summary(issues: DataFrame) -> DataFrame:
     grouped = issues.groupBy("site", "issue_type").agg(
         F.count(F.lit(1)).alias("n_issues"), F.expr("if(max(severity = 'CRITICAL'), 'CRITICAL', 'WARNING')").alias("severity"),
-        F.expr(f"min_by(severity, {SEVERITY_ORDER})").alias("max_severity"),
-    )
+        F.expr(f"min({SEVERITY_ORDER})").alias("worst"),
+    ).selectExpr("site", "issue_type", "n_issues", "severity", f"element_at(array({lits(list(SEVERITIES))}), worst + 1) as max_severity")
     order = Window.partitionBy("site").orderBy(F.expr("severity <> 'CRITICAL'"), "issue_type")
     return grouped.withColumn("rank", F.row_number().over(order))
 
@@ -393,11 +410,12 @@ def priority_actions(issues: DataFrame, report: DataFrame) -> DataFrame:
 def fix_plan(issues: DataFrame) -> DataFrame:
     """Types by worst severity, then first occurrence; first five pages of each."""
     keys = ["site", "issue_type"]
-    ranked = f"struct({SEVERITY_ORDER} as sev, ord, seq)"
-    groups = issues.groupBy(*keys).agg(
-        F.expr(f"min({ranked})").alias("first_seen"), F.expr(f"min_by(severity, {ranked})").alias("severity"), F.count(F.lit(1)).alias("n_issues")
-    )
+    at = led_by(SEVERITY_ORDER)
+    groups = issues.groupBy(*keys).agg(F.expr(f"min({at})").alias("first_seen"), F.count(F.lit(1)).alias("n_issues"))
+    # The severity leads the order; the half keeps site findings, whose order is below zero, in their place.
+    worst = f"cast(floor((first_seen + cast({LEAD_BASE // 2} as decimal(38,0))) / cast({LEAD_BASE} as decimal(38,0))) as int)"
+    groups = groups.withColumn("severity", F.expr(f"element_at(array({lits(list(SEVERITIES))}), {worst} + 1)"))
     order = Window.partitionBy("site").orderBy("first_seen")
     plan = groups.withColumn("priority", F.row_number().over(order)).drop("first_seen")
-    urls = _first_urls(issues, keys, 5, False, order=f"{SEVERITY_ORDER} as sev, ord, seq")
+    urls = _first_urls(issues.selectExpr(*keys, "url", f"{at} as at"), keys, 5)
     return plan.join(urls, keys)
