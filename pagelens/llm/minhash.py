@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.graph import components, local_roots
-from pagelens.llm.shared import stored
-from pagelens.llm.shingles import digest, mixed, sets
+from pagelens.llm.shared import stored, text_batches
+from pagelens.llm.shingles import digest, mixed, sets, text_parts
 
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 200_000
@@ -84,9 +84,11 @@ def features(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            for at in range(0, rb.num_rows, 500):
-                part = rb.slice(at, 500)
-                shingles = sets(part.column(1), size)
+            at = 0
+            for texts in text_parts(rb.column(1), most=500):
+                part = rb.slice(at, len(texts))
+                at += len(texts)
+                shingles = sets(texts, size)
                 full = [s for s in shingles if len(s)]
                 keys = band_keys(sketches(full, rows * bands), rows, bands) if full else np.zeros((0, bands), np.int64)
                 lengths = np.array([bands if len(s) else 0 for s in shingles])
@@ -196,10 +198,12 @@ def links(docs: DataFrame, feats: DataFrame, size: int, percent: int) -> DataFra
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            for at in range(0, rb.num_rows, 200):
-                part = rb.slice(at, 200)
+            at = 0
+            for texts in text_parts(rb.column(1), most=200):
+                part = rb.slice(at, len(texts))
+                at += len(texts)
                 rows, held = [], 0
-                for number, cluster, visits, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), sets(part.column(1), size)):
+                for number, cluster, visits, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), sets(texts, size)):
                     body = s.tobytes()
                     for v in visits:
                         rows.append({**v, "cluster": cluster, "doc_id": number, "body": body})
@@ -215,6 +219,7 @@ def links(docs: DataFrame, feats: DataFrame, size: int, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(docs["doc_id"].cast("long"), "text")
     rows = rows_for(percent / 100.0)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import is_remainder, stored, text_of
+from pagelens.llm.shared import is_remainder, stored, text_batches, text_of
 
 _FLOOR = 1e-3
 FEATURES = [
@@ -67,6 +67,7 @@ def statistics(text: str) -> np.ndarray:
 
 def document_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, x): the statistics vector of every document."""
+    text_batches(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

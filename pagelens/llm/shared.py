@@ -30,6 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = "1000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_ROWS rows: with whole texts in them, the session's default of 10,000 is tens of megabytes
+    on both sides of every task. A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= int(BATCH_ROWS):
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text as a string; null is the empty text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(11)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,6 +45,16 @@ class _Powers:
 _UP, _DOWN = _Powers(_POWER), _Powers(_INVERSE)
 
 
+def text_parts(texts: pa.Array, limit: int = 2 << 20, most: int = 1000) -> Iterator[pa.Array]:
+    """The column in slices of about `limit` bytes (one text at least), so that work arrays stay small for long texts too."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(texts):
+        end = at + max(1, min(most, int(np.searchsorted(np.cumsum(sizes[at : at + most]), limit, "right"))))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")

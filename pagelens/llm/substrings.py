@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import partitions, stored, work_folder
+from pagelens.llm.shared import partitions, stored, text_batches, work_folder
 
 Q = 20
 KEY_BYTES = 5
@@ -396,6 +396,7 @@ def with_spans(docs: DataFrame, finish: Callable[[Chunk, list[np.ndarray]], pa.R
         raise ValueError(f"length must be over {Q} and at most {4 * Q}")
     spark = docs.sparkSession
     docs = docs.withColumn("text", docs["text"].cast("string"))
+    text_batches(spark)
     chunks = packed_chunks(docs, chunk_bytes)
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import is_remainder, stored, text_of
+from pagelens.llm.shared import is_remainder, stored, text_batches, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -177,6 +177,7 @@ def fit(
     counterfactual: float = 1.0, terms: tuple[str, ...] = IDENTITY_TERMS,
 ) -> Lexicon:
     """`known`: rows (id, y) that may train."""
+    text_batches(docs.sparkSession)
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n.values())
     if not n.get(0) or not n.get(1):
@@ -194,6 +195,7 @@ def fit(
 
 def with_scores(docs: DataFrame, model: Lexicon, text_column: str = "text", score: str = "score") -> DataFrame:
     """(doc_id, score) of every whole text."""
+    text_batches(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

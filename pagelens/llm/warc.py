@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import filesystem, partitions, publish, stored, work_folder
+from pagelens.llm.shared import filesystem, partitions, publish, stored, text_batches, work_folder
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, n_records long, n_bytes long, first_page long, last_page long, sha256 string"
@@ -70,6 +70,7 @@ def write_warc(
 ) -> DataFrame:
     """Write all rows of pages(page_id, url, html) below `folder`; returns the manifest, one row per file."""
     spark = pages.sparkSession
+    text_batches(spark)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     refs = stored(references(rows, least_bytes), "warc-references")
     if shards is None:
