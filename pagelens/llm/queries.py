@@ -73,6 +73,15 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op3_kd_tree_shards, op4_latent_decontamination, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
+    "op8_metric_range_join": """
+        with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where label is not null and embedding is not null),
+        links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where isfinite(list_cosine_similarity(a.e, b.e)) and list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(x, y) as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y)
+        select vec_id, cast((select count(*) from links l where l.x = e.vec_id) as bigint) as n_links,
+               least(vec_id, coalesce((select min(y) from reach r where r.x = e.vec_id), vec_id)) as component_id,
+               least(vec_id, coalesce((select min(y) from reach r where r.x = e.vec_id), vec_id)) = vec_id as kept
+        from embeddings e""",
     "op2_warc_round_trip": """
         with p as (select page_id, coalesce(html, '') as body from pages),
         d as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha256(body) as payload_digest from p),
