@@ -141,7 +141,16 @@ QUERIES["url_join"] = lambda spark, sf_dir: derived.load_pages(spark, sf_dir).se
 
 
 # --- 2.1 sources and sinks -----------------------------------------------------------------
-table("read_crawl", lambda s: crawl_source.successful(s.crawl), "ord", "site", "url", "status_code", "html_size_bytes", "compressed_size", "crawl_depth")
+@query("read_crawl")
+def _read_crawl(spark, sf_dir):
+    """The derived crawl, stored and read through the source's reader."""
+    path = scratch(spark, "crawl")
+    derived.derived_crawl(spark, sf_dir).write.parquet(path)
+    return crawl_source.successful(crawl_source.read_crawl(spark, path)).select(
+        "ord", "site", "url", "status_code", "html_size_bytes", "compressed_size", "crawl_depth"
+    )
+
+
 table("fetch_guard", lambda s: crawl_source.fetch_guard(s.crawl), "ord", "error_message", "length(html) as html_length")
 
 
@@ -151,7 +160,10 @@ def _documents(spark, sf_dir, columns):
 
 @query("read_sitemap")
 def _read_sitemap(spark, sf_dir):
-    return sitemap.expand_index(_documents(spark, sf_dir, derived.SITEMAP_DOCUMENT_COLUMNS))
+    """Stored sitemap documents, read through the source's reader."""
+    path = scratch(spark, "sitemaps")
+    _documents(spark, sf_dir, derived.SITEMAP_DOCUMENT_COLUMNS).select("url", "body").write.parquet(path)
+    return sitemap.expand_index(crawl_source.read_documents(spark, path))
 
 
 @query("sitemap_locs")

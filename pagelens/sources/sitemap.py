@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelens.functions.arrays import lit, nonempty, strip
 from pagelens.functions.urls import netloc
@@ -29,12 +30,13 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
 
 
 def expand_index(documents: DataFrame) -> DataFrame:
-    """Entries of sitemaps named by an index (one level) and of those no index names."""
-    named = documents.selectExpr(f"inline(from_xml(body, '{_INDEX}').sitemap)").selectExpr(f"{strip('loc')} as url").distinct()
-    roots = documents.where("not body rlike '<sitemapindex'")
-    inner = sitemap_entries(roots.join(named, "url", "left_semi")).selectExpr("*", "true as from_index")
-    outer = sitemap_entries(roots.join(named, "url", "left_anti")).selectExpr("*", "false as from_index")
-    return inner.unionByName(outer)
+    """Entries of all sitemaps, marked where an index names the sitemap (one level).
+
+    Each body is parsed once, in its own row; only the narrow entries meet the names of the indexes.
+    """
+    named = documents.selectExpr(f"inline(from_xml(body, '{_INDEX}').sitemap)").selectExpr(f"{strip('loc')} as sitemap_url", "true as from_index").distinct()
+    entries = sitemap_entries(documents.where("not body rlike '<sitemapindex'"))
+    return entries.join(named, "sitemap_url", "left").select("site", "sitemap_url", "loc", "lastmod", F.coalesce("from_index", F.lit(False)).alias("from_index"))
 
 
 def sitemap_locs(documents: DataFrame) -> DataFrame:
