@@ -1093,6 +1093,22 @@ ORACLES["suggestions_for_issues"] = " UNION ALL ".join([
 TABLES.update(DOM_TABLES)
 ORACLES.update(DOM_ORACLES)
 
+
+def numbered(issue: str, tag: str, frm: str) -> str:
+    """Findings of a rule with many per page, by their place in it."""
+    return f"""SELECT i.ord, seq, {q(tag)} AS tag, l.n FROM page_issue i JOIN (SELECT ord, n, row_number() OVER (PARTITION BY ord ORDER BY n) - 1 AS k FROM {frm}) l
+        ON l.ord = i.ord AND seq = {RULE_NUMBER[issue] * RULE_STRIDE} + k WHERE issue_type = {q(issue)}"""
+
+
+TABLES["located"] = " UNION ALL ".join([
+    "SELECT ord, seq, 'title' AS tag, 1 AS n FROM page_issue WHERE issue_type IN ('Title Too Short', 'Title Too Long')",
+    f"SELECT ord, seq, 'meta', n FROM page_issue JOIN {first_meta('description')} USING (ord) WHERE issue_type IN ('Meta Description Too Short', 'Meta Description Too Long')",
+    "SELECT ord, seq, 'link', n FROM page_issue JOIN (SELECT ord, min(n) AS n FROM linktag WHERE rel = 'canonical' GROUP BY ord) USING (ord) WHERE issue_type = 'Canonical Mismatch'",
+    numbered("Invalid JSON-LD", "script", "ld_page WHERE NOT valid"), numbered("Missing Alt Text", "img", "image WHERE is_missing_alt"),
+])
+ORACLES["issue_locators"] = """SELECT i.ord, i.seq, issue_type, css_selector, xpath FROM page_issue i LEFT JOIN located l ON l.ord = i.ord AND l.seq = i.seq
+    LEFT JOIN dom_node d ON d.ord = l.ord AND d.tag = l.tag AND d.n = l.n"""
+
 # --- streaming -----------------------------------------------------------------------------
 ORACLES["stream_page_audit"] = ORACLES["page_issues"]
 ORACLES["stream_visited"] = f"SELECT DISTINCT site, {normalized('url')} AS url_key FROM crawl"
