@@ -165,7 +165,7 @@ def joined_cells(visiting: DataFrame, cosine: float, block: int) -> DataFrame:
     return left.unionByName(right).groupBy(*cell, "i", "j").applyInArrow(meet, "u long, v long, n long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", per_pivot: int = 1000, block: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", per_pivot: int = 8000, block: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     kind = vectors.schema[id_column].dataType.simpleString()
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).alias("vector"))
