@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import filesystem, partitions, publish, stored, text_of, work_folder
+from pagelens.llm.shared import filesystem, partitions, publish, stored, text_batches, text_of, work_folder
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+# Stands for a piece with white space at an edge, whose text is encoded whole (no ids are of odd length).
+ODD = b"\0"
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -56,7 +58,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.pieces: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.odd = False
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,7 +70,7 @@ class Encoder:
         plain = []
         for p in new:
             if not p or p[0].isspace() or p[-1].isspace():
-                self.pieces[p] = None
+                self.odd, self.pieces[p] = True, ODD
             else:
                 plain.append(p)
         size = self.dtype.itemsize
@@ -84,27 +87,25 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian bytes of `dtype`."""
         out: list[bytes | None] = [None] * len(texts)
-        slow, heads, split = [], [], []
+        slow, split, new = [], [], set()
         for k, t in enumerate(texts):
             if not self.by_piece or any(s in t for s in self.special):
                 slow.append(k)
-            else:
-                head, *rest = t.split(" ")
-                heads.append(head)
-                split.append((k, rest))
-        new = set().union(*(rest for _, rest in split)) - self.pieces.keys() if split else set()
+                continue
+            head, *rest = t.split(" ")
+            found = list(map(self.pieces.get, rest))
+            gaps = [i for i, ids in enumerate(found) if ids is None] if None in found else ()
+            new.update(map(rest.__getitem__, gaps))
+            split.append((k, head, rest, found, gaps))
         if new:
             self.learn(list(new))
-            if missing := set().union(*(rest for _, rest in split)) - self.pieces.keys():
-                self.learn(list(missing))
-        for (k, rest), head, first in zip(split, heads, self.whole(heads)):
-            if head[-1:].isspace():
-                slow.append(k)
-                continue
-            try:
-                out[k] = b"".join([first, *map(self.pieces.__getitem__, rest), self.end])
-            except (TypeError, KeyError):
+        for (k, head, rest, found, gaps), first in zip(split, self.whole([s[1] for s in split])):
+            for i in gaps:
+                found[i] = self.pieces[rest[i]]
+            if head[-1:].isspace() or self.odd and ODD in found:
                 slow.append(k)
+            else:
+                out[k] = b"".join([first, *found, self.end])
         for k, ids in zip(slow, self.whole([texts[k] for k in slow])):
             out[k] = ids + self.end
         return out
@@ -132,6 +133,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     """Write the files and return the manifest, one row per file: (file, path, index_path, n_documents, n_tokens)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
+    text_batches(spark)
     rows = docs.select("doc_id", text_of(docs).alias("t"))
     if files is None:
         total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
