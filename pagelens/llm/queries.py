@@ -71,7 +71,13 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op3_kd_tree_shards, op4_latent_decontamination, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=10, inside_percent=50, most=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op3_kd_tree_shards, op4_latent_decontamination, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing, op13_phrase_collocations)}
 ORACLES: dict[str, str] = {
     "op8_metric_range_join": """
         with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where label is not null and embedding is not null),
@@ -90,4 +96,23 @@ ORACLES: dict[str, str] = {
                case when first_page is not null and first_page <> page_id then 'revisit' else 'response' end as record_type,
                case when first_page <> page_id then first_page end as refers_to
         from d left join f on d.payload_bytes >= 100 and f.payload_digest = d.payload_digest""",
+    "op13_phrase_collocations": r"""
+        with p as (select lang, row_number() over () as piece, regexp_extract_all(s, '[^\x20\x09]+') as ws from
+            (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as s from documents)),
+        w as (select lang, piece, unnest(ws) as a, generate_subscripts(ws, 1) as i from p),
+        t as (select lang, a, lead(a) over o as b, lead(a, 2) over o as c from w window o as (partition by piece order by i)),
+        f1 as (select lang, a, count(*) as f from t group by all),
+        f2 as (select lang, a, b, count(*) as f from t where b is not null group by all having count(*) >= 10),
+        f3 as (select lang, a, b, c, count(*) as f from t where c is not null group by all having count(*) >= 10),
+        cuts as (
+            select lang, a || ' ' || b as phrase, 2 as k, a, b, f2.f as f, 1 as cut, x.f as l, y.f as r from f2 join f1 x using (lang, a) join (select lang, a as b, f from f1) y using (lang, b)
+            union all
+            select lang, a || ' ' || b || ' ' || c, 3, a, b, f3.f, 1, x.f, y.f from f3 join f1 x using (lang, a) join (select lang, a as b, b as c, f from f2) y using (lang, b, c)
+            union all
+            select lang, a || ' ' || b || ' ' || c, 3, a, b, f3.f, 2, x.f, y.f from f3 join f2 x using (lang, a, b) join (select lang, a as c, f from f1) y using (lang, c)),
+        worst as (select *, cast((1000000::hugeint * f * f) // (l::hugeint * r) as bigint) as score from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+        inside as (select lang, a, b, max(f) as longer from (select lang, a, b, f from f3 union all select lang, b, c, f from f3) group by all),
+        best as (select lang, row_number() over (partition by lang order by score desc, f desc, encode(phrase)) as rank, phrase, f as a, l, r, score
+            from worst left join inside using (lang, a, b) where k = 3 or longer is null or 100 * longer < 50 * f)
+        select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from best join (select lang, sum(f) as n from f1 group by lang) using (lang) where rank <= 2000""",
 }
