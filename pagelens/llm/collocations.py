@@ -22,9 +22,9 @@ from pagelens.llm import quotient
 from pagelens.llm.shared import stored, text_batches, text_of
 from pagelens.operators.skew import hot_keys, salted_join
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Phrase occurrences that a task sorts at once, and entries that a range may hold.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _KIND = np.zeros(256, np.uint8)
@@ -129,6 +129,7 @@ def filters(bits: int, prefix: int):
                 table = np.zeros(int(place.max()) + 1, np.int64)
                 table[at.values.to_numpy()] = ids.values.to_numpy()
                 held.append(quotient.permuted(phrases(table[place], codes >= _FIRST), bits))
+                del codes, place, table
                 if sum(len(x) for _, x in held) >= BLOCK:
                     yield from flush()
         yield from flush()
