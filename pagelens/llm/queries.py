@@ -71,13 +71,19 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
+def op12_prefix_target_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.chat import chat_report, with_probe
+
+    return chat_report(with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents"), least=10, inside_percent=50, most=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op3_kd_tree_shards, op4_latent_decontamination, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing, op13_phrase_collocations)}
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op3_kd_tree_shards, op4_latent_decontamination, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing, op12_prefix_target_examples, op13_phrase_collocations)}
 ORACLES: dict[str, str] = {
     "op8_metric_range_join": """
         with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where label is not null and embedding is not null),
@@ -96,6 +102,17 @@ ORACLES: dict[str, str] = {
                case when first_page is not null and first_page <> page_id then 'revisit' else 'response' end as record_type,
                case when first_page <> page_id then first_page end as refers_to
         from d left join f on d.payload_bytes >= 100 and f.payload_digest = d.payload_digest""",
+    "op12_prefix_target_examples": r"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select conv_id, turn, role, text from conversations
+                union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        l as (select *, 14 + length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c'))
+            + length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')) as size from c),
+        s as (select *, sum(size) over (partition by conv_id order by turn nulls first, role, text rows unbounded preceding) as upto from l)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+            cast(coalesce(sum(upto) filter (role = 'assistant'), 0) as bigint) as formatted_chars
+        from s group by conv_id""",
     "op13_phrase_collocations": r"""
         with p as (select lang, row_number() over () as piece, regexp_extract_all(s, '[^\x20\x09]+') as ws from
             (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as s from documents)),
