@@ -71,6 +71,12 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"), length=50)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_prefix_target_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.chat import chat_report, with_probe
 
@@ -83,7 +89,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=10, inside_percent=50, most=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op3_kd_tree_shards, op4_latent_decontamination, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing, op12_prefix_target_examples, op13_phrase_collocations)}
+QUERIES = {f.__name__: f for f in (op1_quality_discriminant, op2_warc_round_trip, op3_kd_tree_shards, op4_latent_decontamination, op5_token_files, op6_minhash_near_duplicates, op7_toxicity_counterfactual, op8_metric_range_join, op9_repeated_substrings, op10_best_fit_packing, op11_conversation_trie, op12_prefix_target_examples, op13_phrase_collocations)}
 ORACLES: dict[str, str] = {
     "op8_metric_range_join": """
         with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where label is not null and embedding is not null),
@@ -102,6 +108,26 @@ ORACLES: dict[str, str] = {
                case when first_page is not null and first_page <> page_id then 'revisit' else 'response' end as record_type,
                case when first_page <> page_id then first_page end as refers_to
         from d left join f on d.payload_bytes >= 100 and f.payload_digest = d.payload_digest""",
+    "op11_conversation_trie": r"""
+        with recursive bits(b, v, k) as (select b, b, 0 from range(256) t(b) union all select b, xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end), k + 1 from bits where k < 8),
+        crc(c, rest, v) as (select distinct conv_id, cast(conv_id as varchar), 4294967295 from conversations where conv_id is not null
+            union all select c, rest[2:], xor(crc.v >> 8, bits.v) from crc join bits on bits.k = 8 and bits.b = xor(crc.v, ascii(rest)) & 255 where rest <> ''),
+        heads as (select c, xor(v, 4294967295) % 6 as h, c - c % 100 as base from crc where rest = ''),
+        own as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, role, text
+            from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+        built as (select h.c, o.i as d, role, text from heads h join own o on o.c = h.base and o.i <= h.h
+            union all select h.c, least(h.h, (select count(*) from own b where b.c = h.base)) + o.i - h.h, role, text from heads h join own o on o.c = h.c and o.i > h.h),
+        path as (select c, d, text, string_agg(md5(length(role) || ':' || role || text), '' order by d) over (partition by c order by d rows unbounded preceding) as key from built
+            union all select c, 0, '', '' from heads),
+        last as (select c, max(d) as size from path group by c),
+        node as (select d, key, min(p.c) as conv_id, count(*) as n, any_value(length(text)) as chars, string_agg(cast(p.c as varchar), ',' order by p.c) filter (d = size) as ends from path p join last using (c) group by d, key),
+        up as (select n.*, p.conv_id as parent, p.key as parent_key from node n left join node p on p.d = n.d - 1 and p.key = left(n.key, cast(32 * p.d as bigint))),
+        kids as (select d - 1 as d, parent_key as key, count(*) as children from up where d > 0 group by all),
+        below as (select distinct a.d, a.key, b.d as bd, b.key as bkey from path a join path b on a.c = b.c and b.d >= a.d),
+        sums as (select s.d, s.key, count(*) filter (k.children is null) as leaves, sum((n.n - 1) * n.chars) as saved
+            from below s join node n on n.d = s.bd and n.key = s.bkey left join kids k on k.d = s.bd and k.key = s.bkey group by s.d, s.key)
+        select conv_id, cast(u.d as bigint) as depth, parent as parent_conv_id, n as n_convs, coalesce(children, 0) as n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+        from up u join sums s on s.d = u.d and s.key = u.key left join kids k on k.d = u.d and k.key = u.key""",
     "op12_prefix_target_examples": r"""
         with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select conv_id, turn, role, text from conversations
                 union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')),
