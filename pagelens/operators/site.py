@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.arrays import fill, lit
@@ -157,7 +157,8 @@ COUNTS = {
     "pages_with_lang": "lang is not null", "pages_with_viewport": "viewport is not null", "pages_with_favicon": "favicon_url is not null",
     "redirect_chains": f"size(redirect_history) > 0 and {REDIRECT_TYPE} is not null",
 }
-HAS_ANSWERS = "coalesce(max(exists(json_ld, x -> coalesce(contains(x.schema_type, 'FAQPage') or contains(x.schema_type, 'HowTo'), false))), false)"
+HAS_ANSWERS_PAGE = "exists(json_ld, x -> coalesce(contains(x.schema_type, 'FAQPage') or contains(x.schema_type, 'HowTo'), false))"
+HAS_ANSWERS = f"coalesce(max({HAS_ANSWERS_PAGE}), false)"
 
 
 def fact_sums(page: DataFrame) -> DataFrame:
@@ -171,6 +172,26 @@ def fact_sums(page: DataFrame) -> DataFrame:
     )
 
 
+def page_facts(page: DataFrame, probe: DataFrame) -> DataFrame:
+    """One narrow row per page: what its site's facts, score and duplicate groups need of it."""
+    facts = page.selectExpr(
+        "site", "url", *[f"{cond} as {name}" for name, cond in {**SHARES, **COUNTS}.items()], f"{HAS_ANSWERS_PAGE} as has_answers",
+        "coalesce(total_ms, 0.0D) as ms", "coalesce(html_size_bytes, 0L) as bytes", f"{page_penalty()} as penalty",
+        *[f"if({cond}, {key}, null) as {kind}_key" for kind, (key, cond) in DUPLICATE_KEYS.items()],
+    )
+    flags = probe.selectExpr("site", "if(robots_txt_found, 0, 5) + if(sitemap_xml_found, 0, 5) as site_penalty")
+    joined = sized_join(facts, flags, ["site"], ["url"], probe)
+    return joined.withColumn("score", F.expr("cast(greatest(0, least(100, 100 - penalty - coalesce(site_penalty, 10))) as int)")).drop("penalty", "site_penalty")
+
+
+def summed_facts(rows: DataFrame, *more: Column) -> DataFrame:
+    """The sums of `fact_sums` over page_facts rows."""
+    return rows.groupBy("site").agg(
+        F.count(F.lit(1)).alias("pages"), *[F.count_if(F.col(name)).alias(name) for name in (*SHARES, *COUNTS)],
+        F.coalesce(F.max("has_answers"), F.lit(False)).alias("has_answers"), F.sum("ms").alias("ms_sum"), F.sum("bytes").alias("bytes_sum"), *more,
+    )
+
+
 def facts_of(sums: DataFrame) -> DataFrame:
     """Shares and means from sums."""
     return sums.selectExpr(

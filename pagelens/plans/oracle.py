@@ -1113,6 +1113,6 @@ ORACLES["issue_locators"] = """SELECT i.ord, i.seq, issue_type, css_selector, xp
 ORACLES["stream_page_audit"] = ORACLES["page_issues"]
 ORACLES["stream_visited"] = f"SELECT DISTINCT site, {normalized('url')} AS url_key FROM crawl"
 TABLES["minute"] = "SELECT make_timestamp((1704067200 + (ord // 60) * 60) * 1000000) AS window_start, count(*) AS pages FROM crawl GROUP BY 1"
-ORACLES["stream_progress"] = "SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, pages, pages / 60 AS pages_per_sec FROM minute"
+ORACLES["stream_progress"] = "SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, pages, cast(0 AS BIGINT) AS late_pages, pages / 60 AS pages_per_sec FROM minute"
 TABLES["running_report"] = TABLES["report"].replace("avg(score) FROM score s", "avg(base_score) FROM base_score s")
 ORACLES["stream_site_scores"] = "SELECT site, pages, site_score, ai_visibility_score, site_speed_score, site_health_score FROM running_report"

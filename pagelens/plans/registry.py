@@ -570,7 +570,8 @@ def _stream_visited(spark, sf_dir):
 def _stream_progress(spark, sf_dir):
     """Every window, those still open at the end of the stored pages too."""
     path = scratch(spark, "stream-progress")
-    streaming.stream_progress(_stream(spark, sf_dir), path, scratch(spark, "stream-progress-ckpt")).awaitTermination()
+    for running in streaming.stream_progress(_stream(spark, sf_dir), path, scratch(spark, "stream-progress-ckpt")):
+        running.awaitTermination()
     return streaming.running_progress(spark, path)
 
 

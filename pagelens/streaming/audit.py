@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagelens.functions.arrays import lit
 from pagelens.functions.urls import normalize_url
 from pagelens.operators.extract import page
 from pagelens.operators import site
 from pagelens.operators.rules import page_issues
 from pagelens.schemas import CRAWL
 from pagelens.session import spread
+from pagelens.streaming.state import PartialTable, managed_state
 
 
 def crawl_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
@@ -23,53 +25,68 @@ def stream_page_audit(crawl: DataFrame) -> DataFrame:
     return page_issues(page(crawl))
 
 
-def _stored_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What earlier micro-batches stored under `path`, one folder each; an empty table before the first."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch_id=-1")
-    return spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(path)
+def stream_visited(crawl: DataFrame, table_path: str, checkpoint: str, within: str | None = None) -> StreamingQuery:
+    """Each URL once for the whole crawl, however far apart its copies arrive.
+
+    Keys are managed state, dealt out by (site, url_key): a micro-batch looks up its own keys and reads nothing that
+    earlier ones stored. The state holds every key of the crawl, on the executors' disks. With `within` a key is
+    forgotten that long (in event time) after it was seen, and a later copy counts as a new URL.
+    """
+    keyed = crawl.selectExpr("site", "ord", "url", f"{normalize_url('url')} as url_key", "fetched_at")
+    fresh = keyed.withWatermark("fetched_at", within).dropDuplicatesWithinWatermark(["site", "url_key"]) if within else keyed.dropDuplicates(["site", "url_key"])
+    with managed_state(crawl.sparkSession):
+        return append_to(fresh, table_path, checkpoint)
 
 
 VISITED = "site string, ord bigint, url string, url_key string, fetched_at timestamp"
 
 
-def stream_visited(crawl: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Each URL once for the whole crawl, however far apart its copies arrive.
+def visited(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.schema(VISITED).parquet(table_path)
 
-    A micro-batch keeps the keys that no earlier batch has stored (an anti-join on the key) and
-    replaces its own folder, so a replayed batch stores the same rows again and counts nothing twice.
-    """
-    spark = crawl.sparkSession
-    keyed = crawl.selectExpr("site", "ord", "url", f"{normalize_url('url')} as url_key", "fetched_at")
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        earlier = _stored_batches(spark, table_path, VISITED).where(F.col("batch_id") < batch_id)
-        fresh = batch.join(earlier.select("site", "url_key"), ["site", "url_key"], "left_anti").dropDuplicates(["site", "url_key"])
-        fresh.select("site", "ord", "url", "url_key", "fetched_at").write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+WINDOW = "window_start timestamp, window_end timestamp"
 
-    return keyed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def _progress_tables(spark: SparkSession, table_path: str) -> tuple[PartialTable, PartialTable]:
+    """Pages on time, where the latest count of a window holds, and all pages that arrived, as partial counts."""
+    latest = PartialTable(spark, f"{table_path}/on_time", f"{WINDOW}, pages bigint, batch bigint", lambda df: df.groupBy("window_start", "window_end").agg(F.max_by("pages", "batch").alias("pages"), F.max("batch").alias("batch")))
+    arrived = PartialTable(spark, f"{table_path}/arrived", f"{WINDOW}, pages bigint", lambda df: df.groupBy("window_start", "window_end").agg(F.sum("pages").alias("pages")))
+    return latest, arrived
 
-def visited(spark: SparkSession, table_path: str) -> DataFrame:
-    return _stored_batches(spark, table_path, VISITED).drop("batch_id")
 
+def stream_progress(crawl: DataFrame, table_path: str, checkpoint: str, window: str = "1 minute", delay: str = "10 minutes") -> list[StreamingQuery]:
+    """Pages done per event-time window, in update mode behind a watermark.
 
-PROGRESS = "window_start timestamp, window_end timestamp, pages bigint"
+    A window closes with the batch behind the one in which the latest fetched_at passed its end by `delay`; its running count is stored
+    with every batch that changes it, so open windows are seen at any time and need no flush. A page that arrives after its window
+    has closed is late: the state no longer has the window, and the second query, which counts arrivals without
+    state, tells how many there were.
+    """
+    spark = crawl.sparkSession
+    on_time, arrived = _progress_tables(spark, table_path)
 
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy(F.window("fetched_at", window)).agg(F.count(F.lit(1)).alias("pages")).selectExpr("window.start as window_start", "window.end as window_end", "pages")
 
-def stream_progress(crawl: DataFrame, table_path: str, checkpoint: str, window: str = "1 minute") -> StreamingQuery:
-    """Pages done per time window, as partial counts of each micro-batch: no window waits for a watermark."""
+    def store_counts(batch: DataFrame, batch_id: int) -> None:
+        on_time.add(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(F.window("fetched_at", window)).agg(F.count(F.lit(1)).alias("pages"))
-        counts.selectExpr("window.start as window_start", "window.end as window_end", "pages").write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+    def store_arrivals(batch: DataFrame, batch_id: int) -> None:
+        arrived.add(counted(batch), batch_id)
 
-    return crawl.select("fetched_at").writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    times = crawl.select("fetched_at")
+    with managed_state(spark):
+        first = counted(times.withWatermark("fetched_at", delay)).writeStream.outputMode("update").foreachBatch(store_counts).option("checkpointLocation", f"{checkpoint}/on_time").trigger(availableNow=True).start()
+    return [first, times.writeStream.foreachBatch(store_arrivals).option("checkpointLocation", f"{checkpoint}/arrived").trigger(availableNow=True).start()]
 
 
 def running_progress(spark: SparkSession, table_path: str) -> DataFrame:
-    """Every window so far, the open ones too, with pages per second."""
-    sums = _stored_batches(spark, table_path, PROGRESS).groupBy("window_start", "window_end").agg(F.sum("pages").alias("pages"))
-    return sums.selectExpr("*", "pages / (cast(window_end as bigint) - cast(window_start as bigint)) as pages_per_sec")
+    """Every window so far, the open ones too: pages (late ones included), late pages, and pages per second."""
+    on_time, arrived = _progress_tables(spark, table_path)
+    counted = on_time.rows().select("window_start", F.col("pages").alias("in_time"))
+    rows = arrived.rows().join(counted, "window_start", "left").withColumn("late_pages", F.col("pages") - F.coalesce("in_time", F.lit(0)))
+    return rows.selectExpr("window_start", "window_end", "pages", "late_pages", "pages / (cast(window_end as bigint) - cast(window_start as bigint)) as pages_per_sec")
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -78,33 +95,41 @@ def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = T
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+COUNTED = ["pages", *site.SHARES, *site.COUNTS, "bytes_sum", "score_sum"]
+
+
+def _score_tables(spark: SparkSession, table_path: str) -> dict[str, PartialTable]:
+    """Sums per site, page counts per duplicate key, and the crawled addresses."""
+    facts = "site string, " + ", ".join(f"{c} bigint" for c in COUNTED) + ", ms_sum double, has_answers boolean"
+    return {
+        "facts": PartialTable(spark, f"{table_path}/facts", facts, lambda df: df.groupBy("site").agg(*[F.sum(c).alias(c) for c in (*COUNTED, "ms_sum")], F.max("has_answers").alias("has_answers"))),
+        "keys": PartialTable(spark, f"{table_path}/keys", "site string, dup_key string, kind string, n bigint", lambda df: df.groupBy("site", "dup_key", "kind").agg(F.sum("n").alias("n"))),
+        "urls": PartialTable(spark, f"{table_path}/urls", "site string, url string", lambda df: df.distinct()),
+    }
+
+
 def stream_site_scores(crawl: DataFrame, probe: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """What the running site scores need, as partial tables of each micro-batch.
+    """What the running site scores need, added to three tables of partial aggregates with every micro-batch.
 
-    `facts` holds sums per site, `keys` page counts per duplicate key, `urls` the crawled addresses. A
-    replayed batch overwrites the folders it wrote before, so a restart counts nothing twice, and no
-    batch reads or rewrites what earlier ones stored.
+    The batch's pages are read once, into one narrow row each (facts, score, duplicate keys); the tables are made
+    from those rows. Tables combine earlier batches as they get many, so neither a batch nor a reader opens a folder per batch.
     """
+    tables = _score_tables(crawl.sparkSession, table_path)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        pages = page(spread(batch)).persist()
-        scores = site.page_scores(pages, probe).groupBy("site").agg(F.expr("sum(cast(score as bigint))").alias("score_sum"))
-        keys = [site.duplicate_keys(pages, k).groupBy("site", "dup_key").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k)) for k in site.DUPLICATE_KEYS]
-        parts = {"facts": site.fact_sums(pages).join(scores, "site"), "keys": keys[0].unionByName(keys[1]).unionByName(keys[2]), "urls": pages.select("site", "url").distinct()}
+        rows = site.page_facts(page(spread(batch)), probe).persist()
+        keys = rows.selectExpr("site", f"stack({len(site.DUPLICATE_KEYS)}, {', '.join(f'{lit(k)}, {k}_key' for k in site.DUPLICATE_KEYS)}) as (kind, dup_key)").where("dup_key is not null")
+        parts = {"facts": site.summed_facts(rows, F.sum(F.col("score").cast("bigint")).alias("score_sum")), "keys": keys.groupBy("site", "kind", "dup_key").agg(F.count(F.lit(1)).alias("n")), "urls": rows.select("site", "url").distinct()}
         for name, df in parts.items():
-            df.write.mode("overwrite").parquet(f"{table_path}/{name}/batch_id={batch_id}")
-        pages.unpersist()
+            tables[name].add(df, batch_id)
+        rows.unpersist()
 
     return crawl.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_site_scores(spark: SparkSession, table_path: str, probe: DataFrame, sitemap: DataFrame) -> DataFrame:
     """The four scores of every site over all stored batches; broken targets are checked after the crawl."""
-    counted = ["pages", *site.SHARES, *site.COUNTS, "bytes_sum", "score_sum"]
-    schema = "site string, " + ", ".join(f"{c} bigint" for c in counted) + ", ms_sum double, has_answers boolean, batch_id bigint"
-    sums = spark.read.schema(schema).parquet(f"{table_path}/facts").groupBy("site").agg(*[F.sum(c).alias(c) for c in (*counted, "ms_sum")], F.max("has_answers").alias("has_answers"))
-    keys = spark.read.schema("site string, dup_key string, n bigint, kind string, batch_id bigint").parquet(f"{table_path}/keys")
-    groups = keys.groupBy("site", "kind", "dup_key").agg(F.sum("n").alias("n")).where("n > 1")
-    urls = spark.read.schema("site string, url string, batch_id bigint").parquet(f"{table_path}/urls").select("site", "url")
+    tables = {name: t.rows() for name, t in _score_tables(spark, table_path).items()}
+    sums = tables["facts"]
     mean = sums.selectExpr("site", "score_sum / pages as avg_page_score")
-    return site.site_scores(probe, site.facts_of(sums), mean, site.site_duplicate_counts(groups), site.orphan_pages(sitemap, urls))
+    return site.site_scores(probe, site.facts_of(sums), mean, site.site_duplicate_counts(tables["keys"].where("n > 1")), site.orphan_pages(sitemap, tables["urls"]))

@@ -96,9 +96,9 @@ def test_broken_quotes_do_not_overflow(spark):
     assert one(spark, html).title is None
 
 
-def test_mixed_content_limit_and_soft_404(spark):
+def test_mixed_content_and_soft_404(spark):
     srcs = "".join(f'<img src="http://i.org/{k}">' for k in range(21))
     p = one(spark, head(body=srcs + "<p style=\"x:url('http://c.org/a.png')\">Sorry, PAGE  not found"))
-    assert len(p.mixed_content) == 20 and p.mixed_content[0].resource_url == "http://i.org/0" and p.is_soft_404
+    assert len(p.mixed_content) == 22 and p.mixed_content[0].resource_url == "http://i.org/0" and p.is_soft_404
     plain = one(spark, head(body='<form action="http://f.org/"></form><p style="x:url(http://c.org/a.png)">'))
     assert [(m.resource_type, m.resource_url) for m in plain.mixed_content] == [("form", "http://f.org/"), ("css", "http://c.org/a.png")]

@@ -73,7 +73,7 @@ def test_two_page_site(spark):
     assert report.site_score == 97 - 5 - 5 and report.ai_visibility_score == 100 - 20 - 10 - 5 and report.site_speed_score == 90
     assert report.site_health_score == int(87 * 0.4 + 65 * 0.2 + 90 * 0.2 + 20)
     issue = site.duplicate_issues(p, "title").first()
-    assert issue.description == "Duplicate title 'Same long title' shared with: https://example.com/b."
+    assert issue.description == "Duplicate title 'Same long title' shared by 2 pages."
 
 
 def test_broken_assets(spark):

@@ -144,19 +144,11 @@ def test_streams(spark, tmp_path):
     audit.append_to(audit.stream_page_audit(stream), out, str(tmp_path / "ck1")).awaitTermination()
     batch = rules.page_issues(page(spark.read.parquet(src)))
     assert spark.read.parquet(out).count() == batch.count()
-    seen = str(tmp_path / "seen")
-    twice = stream.withColumn("url", F.explode(F.array("url", F.concat("url", F.lit("#again")))))
-    hours = twice.withColumn("fetched_at", F.expr("fetched_at + make_dt_interval(0, cast(ord % 40 as int))"))
-    audit.stream_visited(hours, seen, str(tmp_path / "ck2")).awaitTermination()
-    rows = audit.visited(spark, seen)
-    assert rows.count() == rows.select("site", "url_key").distinct().count() == pages.selectExpr(f"{normalize_url('url')} k").distinct().count()
-    audit.stream_progress(stream, str(tmp_path / "progress"), str(tmp_path / "ck4")).awaitTermination()
-    assert audit.running_progress(spark, str(tmp_path / "progress")).agg(F.sum("pages")).first()[0] == pages.count()
     table = str(tmp_path / "scores")
     probe = pages.groupBy(F.expr(derived.SITE_OF).alias("site")).agg(F.min_by("url", "page_id").alias("start_url")).selectExpr("*", "true as robots_txt_found", "false as sitemap_xml_found")
     sitemap = pages.selectExpr(*derived.SITEMAP_COLUMNS)
     audit.stream_site_scores(stream, probe, table, str(tmp_path / "ck3")).awaitTermination()
-    assert len(glob.glob(f"{table}/facts/batch_id=*")) == 3
+    assert len(audit._score_tables(spark, table)["facts"].folders()) == 3
     columns = ["site", "pages", "site_score", "ai_visibility_score", "site_speed_score", "site_health_score"]
     whole = page(spark.read.parquet(src))
     want = site.website_report(whole, site.page_scores(whole, probe), site.orphan_pages(sitemap, whole), probe)
