@@ -24,13 +24,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Each half of a round is stored: its plan is small and read once.
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         edges = stored(tidy(ends), name)
-        # Stars everywhere: no root is a node of another star, and no node has two roots.
-        nodes = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if nodes.where("n > 1").isEmpty() and edges.select("v").distinct().join(nodes.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # Stars everywhere: no node has two roots, and no root is a node of another star.
+        sides = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        if sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -235,7 +235,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates; null ids stay, rows that repeat a doc_id count once."""
-    gone = near_duplicates(docs, size, percent, miss).where("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """`docs` with one document of each group of near-duplicates.
+
+    Null ids stay. Where a doc_id stands on different texts, all of them stay unless every one belongs to the group of a
+    smaller id; of equal rows with one doc_id and text one stays.
+    """
+    judged = near_duplicates(docs, size, percent, miss).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    kept = docs.join(judged.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))

@@ -75,3 +75,18 @@ def publish(files, temporary: str, final: str) -> None:
     if not isinstance(files, fs.LocalFileSystem) and files.get_file_info(final).type != fs.FileType.NotFound:
         files.delete_file(final)
     files.move(temporary, final)
+
+
+def give_back() -> None:
+    """Return what the driver's Python has freed to the system; large arrays of a fit otherwise stay in its heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
