@@ -52,8 +52,6 @@ MIXED_PATTERNS = [
     (r"""action=["']http://([^"']+)["']""", "form"),
     (r"""url\(["']?http://([^"')]+)["']?""", "css"),
 ]
-JS_WINDOW = 50000
-SOFT_404_WINDOW = 5000
 SPA_MIN_LENGTH = 2000
 
 _ANCHOR = rf"(?is)^({TAG_REST})>(.*?)(?:</a\s*>|\z)"
@@ -62,17 +60,20 @@ _TITLE = r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>"
 _SCRIPT = rf"(?is)<script(?=[\s>])({TAG_REST})>(.*?)</script\s*>"
 
 
-def is_js_rendered(html: str) -> str:
-    return let("sample", f"lower(left({html}, {JS_WINDOW}))", contains_any("sample", JS_INDICATORS))
+def is_js_rendered(html: str, window: int | None = None) -> str:
+    """Whether the page names a script framework, anywhere or in its first `window` characters (50,000 is usual for live pages)."""
+    sample = html if window is None else f"left({html}, {int(window)})"
+    return let("sample", f"lower({sample})", contains_any("sample", JS_INDICATORS))
 
 
 def is_spa_shell(html: str) -> str:
     return f"(not {present(html)} or length({html}) < {SPA_MIN_LENGTH} or {contains_any(html, SPA_MARKERS)})"
 
 
-def is_soft_404(status: str, html: str) -> str:
+def is_soft_404(status: str, html: str, window: int | None = None) -> str:
+    """Whether a page with status 200 says that it does not exist, anywhere or in its first `window` characters (5,000 is usual)."""
     pattern = lit("(?i)" + "|".join(SOFT_404_PATTERNS))
-    sample = f"left({html}, {SOFT_404_WINDOW})"
+    sample = html if window is None else f"left({html}, {int(window)})"
     # Every pattern holds one of these words, so most pages never reach the expression.
     hinted = let("sample", f"lower({sample})", contains_any("sample", SOFT_404_HINTS))
     return f"coalesce({status} = 200 and {hinted} and {sample} rlike {pattern}, false)"
@@ -297,7 +298,7 @@ def http_equiv_map() -> str:
     return map_last_wins(f"filter({entries}, e -> {present('e.key')} and {present('e.value')})")
 
 
-def page(crawl: DataFrame) -> DataFrame:
+def page(crawl: DataFrame, js_window: int | None = None, soft_404_window: int | None = None) -> DataFrame:
     """The `page` table: every extracted field of every fetched page."""
     rel_tokens = f"split(lower({attribute('x', 'rel')}), {lit(chr(92) + 's+')})"
     icon_rels = ["icon", "shortcut icon", "apple-touch-icon"]
@@ -368,8 +369,8 @@ def page(crawl: DataFrame) -> DataFrame:
         f"{_images('imgs')} as images",
         f"{_links()} as links",
         f"{_indexability('concat(robots_directives, x_robots_directives)')} as indexability",
-        f"{is_js_rendered('html')} as is_js_rendered",
-        f"{is_soft_404('status_code', 'html')} as is_soft_404",
+        f"{is_js_rendered('html', js_window)} as is_js_rendered",
+        f"{is_soft_404('status_code', 'html', soft_404_window)} as is_soft_404",
         f"{is_spa_shell('html')} as is_spa_shell",
         f"size(array_distinct({all_urls})) <> size({all_urls}) as has_redirect_loop",
         f"{count_where('headings', 'x.level = 1')} as h1_count",

@@ -9,8 +9,8 @@ from pagelens.functions import urls as U
 from pagelens.functions.arrays import lit, present, strip
 from pagelens.functions.html import attribute
 from pagelens.operators.extract import tag_arrays
-from pagelens.operators.skew import hot_keys, salted_join
-from pagelens.session import ensure_checkpoint_dir
+from pagelens.operators.skew import SALTS, hot_keys, salted_join
+from pagelens.session import kept_in_place, stored
 
 # Fixed values.
 SKIP_ANCHOR = r"^(#|javascript:|mailto:|tel:|data:)"
@@ -54,39 +54,60 @@ def seed_frontier(sitemap: DataFrame, probe: DataFrame) -> DataFrame:
     )
 
 
+def placed_edges(edges: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """Edges dealt out once by (site, source_key, salt) and kept so; the edges of a hot source get a salt by target."""
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("target_key"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = edges.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["site", "source_key"], "left").withColumn("_salt", salt).drop("_hot")
+    return kept_in_place(salted, parts, "site", "source_key", "_salt")
+
+
+def next_level(edges: DataFrame, frontier: DataFrame, hot: DataFrame, visited: list[DataFrame], depth: int) -> DataFrame:
+    """URLs that the frontier leads to and no level has yet, with the smallest path.
+
+    Only the frontier and what it reaches move: edges and the levels of `visited` lie where their join keys put them.
+    """
+    last = F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(0)
+    sources = frontier.select("site", F.col("url_key").alias("source_key"), "path").join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["site", "source_key"], "left")
+    sources = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    step = edges.join(sources, ["site", "source_key", "_salt"]).groupBy("site", F.col("target_key").alias("url_key")).agg(F.expr("min(concat(path, array(pos)))").alias("path"))
+    for level in visited:
+        step = step.join(level, ["site", "url_key"], "left_anti")
+    return step.select("site", "url_key", F.lit(depth).alias("depth"), "path")
+
+
 def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """Breadth-first depth and discovery path of every reachable URL: (site, url_key, depth, path).
 
     `seeds` is (site, url_key[, pos]); `edges` is (site, source_key, target_key[, pos]) of fetched and
     allowed pages only. A URL's path holds the position of each step that led to it, so URLs of one
     depth are discovered in the order of their paths: those of the earliest parent first, by their
-    place on it. One join per level; each level is cut with a reliable checkpoint, so a lost
-    executor never replays the levels before it.
+    place on it. One join per level. Edges are written and dealt out once, the visited URLs level by level;
+    a level is written too, so a lost executor replays one level.
     """
     spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def placed(df: DataFrame) -> DataFrame:
         return df if "pos" in df.columns else df.withColumn("pos", F.lit(0))
 
-    edges = placed(edges).groupBy("site", "source_key", "target_key").agg(F.min(F.col("pos").cast("int")).alias("pos")).checkpoint()
+    edges = stored(placed(edges).groupBy("site", "source_key", "target_key").agg(F.min(F.col("pos").cast("int")).alias("pos")), "edges")
     # A hub page or a shared section has a large share of all edges: its edges are salted.
-    hot = hot_keys(edges, ["site", "source_key"]).checkpoint()
+    hot = stored(hot_keys(edges, ["site", "source_key"]), "hot-sources")
+    lying = placed_edges(edges, hot, parts)
     start = placed(seeds).groupBy("site", "url_key").agg(F.array(F.min(F.col("pos").cast("int"))).alias("path"))
-    reached = start.select("site", "url_key", F.lit(0).alias("depth"), "path").checkpoint()
-    frontier = reached
+    levels = [stored(start.select("site", "url_key", F.lit(0).alias("depth"), "path"), "level")]
+    visited = []
     for depth in range(1, max_depth + 1):
-        step = (
-            salted_join(edges, frontier.selectExpr("site", "url_key as source_key", "path"), ["site", "source_key"], ["target_key"], "inner", hot)
-            .groupBy("site", F.col("target_key").alias("url_key")).agg(F.expr("min(concat(path, array(pos)))").alias("path"))
-            .join(reached.select("site", "url_key"), ["site", "url_key"], "left_anti")
-            .select("site", "url_key", F.lit(depth).alias("depth"), "path")
-            .checkpoint()
-        )
+        visited.append(kept_in_place(levels[-1].select("site", "url_key"), parts, "site", "url_key"))
+        step = stored(next_level(lying, levels[-1], hot, visited, depth), "level")
         if step.isEmpty():
             break
-        reached = reached.unionByName(step)
-        frontier = step
+        levels.append(step)
+    for kept in (lying, *visited):
+        kept.unpersist()
+    reached = levels[0]
+    for level in levels[1:]:
+        reached = reached.unionByName(level)
     return reached
 
 

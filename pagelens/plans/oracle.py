@@ -264,8 +264,8 @@ TABLES["page"] = f"""
         CASE WHEN canon.href IS NOT NULL THEN canon.raw END AS canonical_html,
         {absolute('d.url', 'icon.href')} AS favicon_url, {absolute('d.url', 'nx.href')} AS pagination_next, {absolute('d.url', 'pv.href')} AS pagination_prev,
         {absolute('d.url', 'am.href')} AS amp_url,
-        regexp_matches(lower(substr(d.html, 1, 50000)), {words(JS_INDICATORS)}) AS is_js_rendered,
-        d.status_code = 200 AND regexp_matches(substr(d.html, 1, 5000), {q('(?i)' + '|'.join(SOFT_404_PATTERNS))}) AS is_soft_404,
+        regexp_matches(lower(d.html), {words(JS_INDICATORS)}) AS is_js_rendered,
+        d.status_code = 200 AND regexp_matches(d.html, {q('(?i)' + '|'.join(SOFT_404_PATTERNS))}) AS is_soft_404,
         length(d.html) < 2000 OR regexp_matches(d.html, {words(SPA_MARKERS)}) AS is_spa_shell,
         coalesce(string_split(d.hist, '|'), []) AS history, coalesce(string_split(d.hist_codes, '|'), []) AS history_codes,
         coalesce(ix.noindex, false) AS noindex, ix.noindex_source, coalesce(ix.nofollow, false) AS nofollow, coalesce(ix.nosnippet, false) AS nosnippet,
@@ -360,8 +360,8 @@ _NUXT = r"json_extract_string(nullif(regexp_extract(html, '(?s)__NUXT__\s*=\s*(\
 _STATE = r"nullif(regexp_extract(html, '(?s)window\.{}\s*=\s*(\{{.*?\}})\s*(?:;|</script>)', 1), '')"
 _INITIAL, _APP = (f"CASE WHEN contains(html, {q(m)}) THEN {_STATE.format(m)} END" for m in ("__INITIAL_STATE__", "__APP_DATA__"))
 ORACLES["extract_js_title"] = f"""SELECT ord, coalesce({_NEXT.replace('{}', 'title')}, {_NUXT}, json_extract_string({_INITIAL}, '$.app[1].view.title'),
-    json_extract_string({_APP}, '$.a.b.c.d.e.title')) AS js_title FROM crawl"""
-ORACLES["extract_js_description"] = f"SELECT ord, coalesce({_NEXT.replace('{}', 'description')}, json_extract_string({_INITIAL}, '$.app[1].view.desc')) AS js_description FROM crawl"
+    json_extract_string({_APP}, '$.a.b.c.d.e.title'), json_extract_string({_APP}, '$.a.b.c.d.e.f.title')) AS js_title FROM crawl"""
+ORACLES["extract_js_description"] = f"SELECT ord, coalesce({_NEXT.replace('{}', 'description')}, json_extract_string({_INITIAL}, '$.app[1].view.desc'), json_extract_string({_APP}, '$.a.b.c.d.e.description')) AS js_description FROM crawl"
 
 # --- URL functions -------------------------------------------------------------------------
 _VALID = "({} IN ('http', 'https') AND {} <> '')"

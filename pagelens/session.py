@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +41,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagelens-ckpt-"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it from there; its lineage ends here."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_in_place(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """`df` dealt out by its keys once and kept on the executors' disks, so that joins on these keys don't move it.
+
+    It is made here: only a finished cache tells later plans how it lies. Lost blocks are made again from the plan of `df`,
+    which should read a stored table. Call unpersist() when done.
+    """
+    kept = df.repartition(parts, *keys).persist(StorageLevel.DISK_ONLY)
+    kept.count()
+    return kept
+
+
 # Inputs estimated below this size may be redistributed whole; larger ones have enough splits of their own.
 SPREAD_BYTES = 256 << 20
 

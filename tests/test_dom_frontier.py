@@ -79,6 +79,32 @@ def test_depth_on_a_random_graph(spark):
     assert {r.url_key: r.depth for r in got} == want
 
 
+def test_levels_join_edges_where_they_lie(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = spark.createDataFrame([("s", f"k{i % 40}", f"k{i}", i) for i in range(400)] + [("s", "hub", f"h{i}", i) for i in range(300)], "site string, source_key string, target_key string, pos int")
+        hot = frontier.hot_keys(e, ["site", "source_key"])
+        assert ("s", "hub") in {tuple(r) for r in hot.collect()}
+        lying, seen = frontier.placed_edges(e, hot, 4), frontier.kept_in_place(e.selectExpr("site", "source_key as url_key").distinct(), 4, "site", "url_key")
+        start = spark.createDataFrame([("s", "hub", [0]), ("s", "k1", [1])], "site string, url_key string, path array<int>")
+        step = frontier.next_level(lying, start, hot, [seen], 1)
+        lines = step._jdf.queryExecution().executedPlan().toString().split("\n")
+        scans = [k for k, x in enumerate(lines) if "InMemoryTableScan" in x]
+        assert len(scans) == 2
+        for k in scans:  # from the scan up to its join, over less indented lines only
+            depth = len(lines[k]) - len(lines[k].lstrip(" :+-"))
+            for x in reversed(lines[:k]):
+                at = len(x) - len(x.lstrip(" :+-"))
+                if at < depth:
+                    depth = at
+                    assert "Exchange" not in x
+                    if "Join" in x:
+                        break
+        assert {r.url_key for r in step.collect()} == {f"h{i}" for i in range(300)} | {f"k{i}" for i in range(41, 400, 40)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_discovered_link_kinds(spark):
     c = crawl(spark, {"html": head('<link rel="next" href="/n">', '<link rel="icon" href="/i">', '<meta http-equiv="refresh" content="0; url=/r">', body='<a href="/a">a</a><area href="/m"><a href="mailto:x">')})
     assert {r.target_url.rsplit("/", 1)[1] for r in frontier.discovered_links(c).collect()} == {"n", "r", "a", "m"}

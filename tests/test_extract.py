@@ -102,3 +102,26 @@ def test_mixed_content_and_soft_404(spark):
     assert len(p.mixed_content) == 22 and p.mixed_content[0].resource_url == "http://i.org/0" and p.is_soft_404
     plain = one(spark, head(body='<form action="http://f.org/"></form><p style="x:url(http://c.org/a.png)">'))
     assert [(m.resource_type, m.resource_url) for m in plain.mixed_content] == [("form", "http://f.org/"), ("css", "http://c.org/a.png")]
+
+
+def test_page_state_at_any_depth_and_place(spark):
+    import json
+
+    from pagelens.functions.jsstate import js_description, js_title, nesting, states
+
+    deep = {"title": "Nine levels down", "description": "A description that stands nine levels down"}
+    for k in range(9):
+        deep = {f"k{k}": deep}
+    entries = [{"no": "]}[{\\\""}] * 39 + [{"x": {"title": "In the fortieth entry", "desc": "A description in the fortieth entry"}}]
+    rows = [(1, "__INITIAL_STATE__", deep), (2, "__APP_DATA__", {"list": entries})]
+    html = spark.createDataFrame([(i, f"<script>window.{m} = {json.dumps(v)};</script>", json.dumps(v)) for i, m, v in rows], "id int, html string, state string")
+    found = html.selectExpr("id", f"{states('html')} as st", f"{nesting('state')} as depth")
+    whole = {r.id: (r.t, r.d, r.depth) for r in found.selectExpr("id", f"{js_title('st')} as t", f"{js_description('st')} as d", "depth").collect()}
+    assert whole == {1: ("Nine levels down", "A description that stands nine levels down", 10), 2: ("In the fortieth entry", "A description in the fortieth entry", 4)}
+    assert {r.t for r in found.selectExpr(f"{js_title('st', 5, 10)} as t").collect()} == {None}
+
+
+def test_verdicts_read_whole_pages(spark):
+    late = crawl(spark, {"html": head() + "<p>x</p>" * 20000 + "<p>Page not found</p><div id=__next></div><script>window.__NEXT_DATA__ = {}</script>", "status_code": 200})
+    whole, cut = page(late).first(), page(late, js_window=50000, soft_404_window=5000).first()
+    assert whole.is_soft_404 and whole.is_js_rendered and not cut.is_soft_404 and not cut.is_js_rendered
