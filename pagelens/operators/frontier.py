@@ -129,19 +129,31 @@ def frontier_limit(reached: DataFrame, max_pages: int) -> DataFrame:
     return reached.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_pages)
 
 
+def robots_verdicts(targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, robots_path, allow) of the distinct targets (host, robots_path) that a rule matches.
+
+    A rule matches a target if its path is a prefix of it (`*` is the empty one). So a target is cut at the
+    lengths that its host's rules have, the prefixes meet the rules by equality, and the first match decides: no
+    target looks through a host's rules.
+    """
+    known = rules.where("host is not null and path is not null").selectExpr("host", "if(path = '*', '', path) as prefix", "ord", "allow").groupBy("host", "prefix").agg(F.min(F.struct("ord", "allow")).alias("rule"))
+    lengths = known.groupBy("host").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))
+    cut = salted_join(targets, lengths, ["host"], ["robots_path"], "inner")
+    cut = cut.selectExpr("host", "robots_path", "explode(transform(filter(lengths, n -> n <= length(robots_path)), n -> left(robots_path, n))) as prefix")
+    met = salted_join(cut, known, ["host", "prefix"], ["robots_path"], "inner")
+    return met.groupBy("host", "robots_path").agg(F.min("rule").alias("rule")).selectExpr("host", "robots_path", "rule.allow as allow")
+
+
 def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Each URL with `allowed`: the first matching rule of its host decides; no rule allows.
 
-    `rules` is (host, ord, allow, path) for one agent. Rules of a host are a small group by nature
-    but URLs of a host are not, so rules are folded to one ordered array per host before the join.
+    `rules` is (host, ord, allow, path) for one agent.
     """
-    folded = rules.groupBy("host").agg(F.expr("sort_array(collect_list(struct(ord, allow, path))) as rules"))
-    first = "get(filter(rules, r -> r.path = '*' or startswith(robots_path, r.path)), 0).allow"
     target = f"coalesce(nullif(concat({U._group('url', 5)}, {U._group('url', 6)}), ''), '/')"
     keyed = urls.selectExpr("*", f"{U.netloc('url')} as host", f"{target} as robots_path")
-    return salted_join(keyed, folded, ["host"], ["url"]).selectExpr(
-        *urls.columns, f"coalesce({first}, true) as allowed",
-        f"if(coalesce({first}, true), null, {lit(ROBOTS_BLOCKED)}) as error_message",
+    verdicts = robots_verdicts(keyed.select("host", "robots_path").where("host is not null").distinct(), rules)
+    return salted_join(keyed, verdicts, ["host", "robots_path"], ["url"]).selectExpr(
+        *urls.columns, "coalesce(allow, true) as allowed", f"if(coalesce(allow, true), null, {lit(ROBOTS_BLOCKED)}) as error_message",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.arrays import lit, strip
@@ -13,7 +13,8 @@ def robots_rules(documents: DataFrame) -> DataFrame:
     """(host, group_no, agent, ord, allow, path) of every rule of every stored robots.txt.
 
     A group starts at the first of consecutive user-agent lines and ends at a blank line or the
-    next group. A text is small, so its lines are handled inside its own row, without a shuffle.
+    next group. Lines are rows: running sums and maxima over a file carry the group, the last blank line and the last
+    agent, so a file of any length is read in one pass. Equal rows of one address are one file.
     """
     line = strip("regexp_replace(l, '#.*$', '')")
     key = "lower(" + strip("substring_index(t, ':', 1)") + ")"
@@ -22,25 +23,19 @@ def robots_rules(documents: DataFrame) -> DataFrame:
         f"filter(transform(transform(split(body, {lit(chr(92) + 'r?' + chr(92) + 'n')}), l -> if(startswith(btrim(l), '#'), '#', {line})), "
         f"t -> named_struct('k', {key}, 'v', {value})), e -> e.k in ('user-agent', 'allow', 'disallow', ''))"
     )
-    lines = documents.selectExpr(f"{netloc('url')} as host", f"{parsed} as lines")
-    starts = "filter(sequence(0, size(lines) - 1), i -> get(lines, i).k = 'user-agent' and coalesce(get(lines, i - 1).k, '') <> 'user-agent')"
-    marks = (
-        "transform(lines, (e, i) -> named_struct('k', e.k, 'v', e.v, 'i', i, 'g', size(filter(starts, s -> s <= i)), "
-        "'last_blank', array_max(filter(blanks, b -> b < i)), 'last_agent', array_max(filter(agents, a -> a < i))))"
-    )
-    marked = (
-        lines.selectExpr(
-            "host", "lines", f"if(size(lines) > 0, {starts}, cast(array() as array<int>)) as starts",
-            "if(size(lines) > 0, filter(sequence(0, size(lines) - 1), i -> get(lines, i).k = ''), cast(array() as array<int>)) as blanks",
-            "if(size(lines) > 0, filter(sequence(0, size(lines) - 1), i -> get(lines, i).k = 'user-agent'), cast(array() as array<int>)) as agents",
-        )
-        .selectExpr("host", f"{marks} as lines")
-    )
-    agents = marked.selectExpr("host", "lines", "explode(filter(lines, x -> x.k = 'user-agent')) as a")
-    rules = agents.selectExpr(
-        "host", "a.g as group_no", "lower(a.v) as agent",
-        "inline(filter(lines, x -> x.k in ('allow', 'disallow') and x.g = a.g and x.last_agent > coalesce(x.last_blank, -1))) ",
+    files = documents.selectExpr(f"{netloc('url')} as host", "url", "md5(body) as file", "body").dropDuplicates(["url", "file"])
+    lines = files.selectExpr("host", "url", "file", f"posexplode({parsed}) as (i, e)").selectExpr("host", "url", "file", "i", "e.k as k", "e.v as v")
+    down = Window.partitionBy("host", "url", "file").orderBy("i")
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumn("starts", (F.col("k") == "user-agent") & (F.lag("k", 1, "").over(down) != "user-agent")).select(
+        "*", F.sum(F.col("starts").cast("int")).over(down).cast("int").alias("g"),
+        F.max(F.when(F.col("k") == "", F.col("i"))).over(before).alias("last_blank"), F.max(F.when(F.col("k") == "user-agent", F.col("i"))).over(before).alias("last_agent"),
     )
+    agents = marked.where("k = 'user-agent'").selectExpr("host", "url", "file", "g", "lower(v) as agent")
+    held = marked.where("k in ('allow', 'disallow') and last_agent > coalesce(last_blank, -1)").select("host", "url", "file", "g", "i", "k", "v")
+    # A null address has no host; its files are read all the same.
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("host", "url", "file")]
+    rules = agents.alias("a").join(held.alias("r"), [*same, F.col("a.g") == F.col("r.g")]).selectExpr("a.host", "a.g as group_no", "a.agent", "r.i", "r.k", "r.v")
     # An empty disallow path means that everything is allowed.
     return rules.selectExpr("host", "group_no", "agent", "i as ord", "k = 'allow' or v = '' as allow", "v as path")
 

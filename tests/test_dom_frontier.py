@@ -131,6 +131,19 @@ def test_robots_match_standard_library(spark):
     assert bad == []
 
 
+def test_long_robots_files_and_many_rules(spark):
+    import time
+
+    body = "User-agent: a\nUser-agent: PageLens\n" + "".join(f"Disallow: /d{i:05}/x\nAllow: /d{i:05}\n" for i in range(25_000)) + "\nUser-agent: *\nDisallow: /\n"
+    docs = spark.createDataFrame([("https://h.org/robots.txt", body)] * 2 + [("https://k.org/robots.txt", "User-agent: *\nDisallow: *\n")], "url string, body string")
+    urls = spark.createDataFrame([(f"https://h.org/d{i:05}/{x}",) for i in range(0, 25_000, 5) for x in "xy"] + [("https://h.org/other",), ("https://k.org/a",), ("https://none.org/",), (None,)] * 2, "url string")
+    start = time.perf_counter()
+    rules = robots.rules_for_agent(robots.robots_rules(docs), "PageLens/1.0")
+    got = frontier.robots_filter(urls, rules).collect()
+    assert len(got) == 10_008 and rules.where("host = 'h.org'").count() == 50_000 and time.perf_counter() - start < 60
+    assert all(r.allowed != (r.url is not None and (r.url.endswith("/x") or "k.org" in r.url)) for r in got)
+
+
 def test_blocked_rows_are_kept_and_limit(spark):
     rules = spark.createDataFrame([("e.org", 1, False, "/no")], "host string, ord int, allow boolean, path string")
     out = frontier.robots_filter(spark.createDataFrame([("https://e.org/no/x",), ("https://e.org/yes",)], "url string"), rules)
