@@ -193,7 +193,7 @@ def _write_issues_csv(spark, sf_dir):
     path = scratch(spark, "issues-csv")
     located = dom.issue_locators(s.issues, _nodes(s))
     sinks.write_issues_csv(located, path)
-    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    back = sinks.read_issues_csv(spark, path, verify=True)
     return back.select(*[F.coalesce(F.col(n), F.lit("")).alias(c) for c, n in sinks.CSV_COLUMNS.items() if c not in ("css_selector", "xpath")])
 
 
@@ -226,6 +226,7 @@ def _write_report_json(spark, sf_dir):
     path = scratch(spark, "report-json")
     parts = _report_parts(derived_snapshot(spark, sf_dir))
     sinks.write_report_json(parts, path)
+    path = sinks.report_folder(spark, path, verify=True)
 
     def back(name: str) -> DataFrame:
         schema = StructType([f for f in parts[name].schema.fields])

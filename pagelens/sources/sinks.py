@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens.sources.commit import publish, published
+
 CSV_COLUMNS = {
     "url": "URL", "severity": "Severity", "issue_type": "Issue Type", "description": "Description",
     "html_snippet": "HTML Snippet", "css_selector": "CSS Selector", "xpath": "XPath", "recommendation": "Recommendation",
@@ -12,14 +14,26 @@ CSV_COLUMNS = {
 
 
 def issues_csv_table(located_issues: DataFrame, compact: bool = False) -> DataFrame:
-    """The eight (or seven) export columns, site findings first; null becomes empty."""
+    """The eight (or seven) export columns, site findings first; null becomes empty. Partitions are ranges of (site, ord, seq)."""
     cols = [(c, n) for c, n in CSV_COLUMNS.items() if not (compact and c == "html_snippet")]
-    ordered = located_issues.orderBy("site", "ord", "seq")
+    order = ["site", "ord", "seq"]
+    ordered = located_issues.repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in cols])
 
 
 def write_issues_csv(located_issues: DataFrame, path: str, compact: bool = False) -> None:
-    issues_csv_table(located_issues, compact).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Write the export as a run below `path`; it is visible as a whole or not at all (see `commit`)."""
+    table = issues_csv_table(located_issues, compact)
+    publish(table.sparkSession, path, lambda to: table.write.option("header", True).option("escape", '"').csv(to), lambda at: _csv(table.sparkSession, at))
+
+
+def _csv(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(folder)
+
+
+def read_issues_csv(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
+    """The export's last finished run."""
+    return _csv(spark, published(spark, path, verify))
 
 
 FINDING = ["seq", "severity", "issue_type", "description", "html_snippet", "css_selector", "xpath", "recommendation"]
@@ -49,8 +63,19 @@ def write_report_json(parts: dict[str, DataFrame], path: str) -> None:
     Parts: `sites` (one row per site), `pages` (documents), and the member tables that a report holds as
     lists: site findings, duplicate groups and members, orphans, redirect chains, statuses, keywords, the
     advanced audit. A site's rows are never gathered into one value; they are clustered by site and by
-    blocks of rows before writing, so the number of files follows the rows.
+    blocks of rows before writing, so the number of files follows the rows. All parts are one run: a reader sees
+    the whole report or the one before (`report_folder`).
     """
+    spark = parts["sites"].sparkSession
+    publish(spark, path, lambda to: _write_parts(parts, to), lambda at: spark.read.option("recursiveFileLookup", True).text(at))
+
+
+def report_folder(spark: SparkSession, path: str, verify: bool = False) -> str:
+    """The folder of the last finished report."""
+    return published(spark, path, verify)
+
+
+def _write_parts(parts: dict[str, DataFrame], path: str) -> None:
     for name, df in parts.items():
         if name == "sites":
             df.write.mode("overwrite").json(f"{path}/{name}")

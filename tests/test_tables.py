@@ -10,7 +10,7 @@ from pagelens.operators.extract import page
 from pagelens.operators.skew import salted_join, sized_join
 from pagelens.plans import derived
 from pagelens.plans.snapshot import Snapshot
-from pagelens.sources import crawl as crawl_source
+from pagelens.sources import commit, crawl as crawl_source
 from pagelens.sources import sinks, sitemap
 from pagelens.functions.urls import normalize_url
 from pagelens.streaming import audit
@@ -91,16 +91,42 @@ def snap(spark, tmp_path):
     return Snapshot(c, probe(spark, start="https://example.com/0"), maps, str(tmp_path / "tables"), status)
 
 
+def test_a_run_is_seen_whole_or_not_at_all(spark, tmp_path):
+    path, rows = str(tmp_path / "out"), spark.range(100).selectExpr("id", "concat('line\n', id) as t").repartition(3)
+
+    def write(df):
+        return lambda to: df.write.option("header", True).csv(to)
+
+    def killed(to):
+        rows.write.option("header", True).csv(to)
+        raise RuntimeError("lost")
+
+    with pytest.raises(FileNotFoundError):
+        commit.published(spark, path)
+    commit.publish(spark, path, write(rows), lambda at: sinks._csv(spark, at))
+    first = commit.published(spark, path, verify=True)
+    assert commit.manifest(spark, path).agg(F.count("file"), F.sum("rows")).first()[:] == (3, 100)
+    with pytest.raises(RuntimeError):
+        commit.publish(spark, path, killed, lambda at: sinks._csv(spark, at))
+    assert commit.published(spark, path, verify=True) == first and sinks.read_issues_csv(spark, path).count() == 100
+    commit.publish(spark, path, write(rows.limit(7)), lambda at: sinks._csv(spark, at))
+    assert sinks.read_issues_csv(spark, path, verify=True).count() == 7
+    rows.limit(1).write.mode("append").csv(commit.published(spark, path))
+    with pytest.raises(ValueError):
+        commit.published(spark, path, verify=True)
+
+
 def test_exports(spark, snap, tmp_path):
     located = dom.issue_locators(snap.issues, dom.dom_nodes(snap.crawl))
     sinks.write_issues_csv(located, str(tmp_path / "csv"))
-    rows = [r for f in sorted(glob.glob(str(tmp_path / "csv/*.csv"))) for r in list(csv.reader(open(f)))[1:]]
+    rows = [r for f in sorted(glob.glob(sinks.published(spark, str(tmp_path / "csv")) + "/*.csv")) for r in list(csv.reader(open(f)))[1:]]
     assert len(rows) == snap.issues.count() and rows[0][2] == "Orphan Pages" and len(rows[0]) == 8
     parts = {"sites": snap.report, "pages": sinks.page_documents(snap.page, located, snap.scores, snap.checked), "site_issues": snap.issues.where("ord < 0"), "orphans": snap.orphans}
     sinks.write_report_json(parts, str(tmp_path / "json"))
-    assert {d["issue_type"] for f in glob.glob(str(tmp_path / "json/site_issues/*/*.json")) for d in map(json.loads, open(f))} == {r.issue_type for r in snap.issues.where("ord < 0").collect()}
-    assert len(glob.glob(str(tmp_path / "json/pages/site=*/*.json"))) == 1
-    docs = [json.loads(line) for f in glob.glob(str(tmp_path / "json/pages/*/*.json")) for line in open(f)]
+    report = sinks.report_folder(spark, str(tmp_path / "json"), verify=True)
+    assert {d["issue_type"] for f in glob.glob(f"{report}/site_issues/*/*.json") for d in map(json.loads, open(f))} == {r.issue_type for r in snap.issues.where("ord < 0").collect()}
+    assert len(glob.glob(f"{report}/pages/site=*/*.json")) == 1
+    docs = [json.loads(line) for f in glob.glob(f"{report}/pages/*/*.json") for line in open(f)]
     assert {d["url"] for d in docs} == {"https://example.com/0", "https://example.com/1"} and all(d["issues"] for d in docs)
     sinks.write_sitemap_xml(structured.sitemap_export(snap.scores, snap.probe, "2024-06-01"), str(tmp_path / "xml"))
     text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "xml/*/*.xml")))
