@@ -384,6 +384,8 @@ ORACLES["url_join"] = f"SELECT page_id, CAST(i - 1 AS INTEGER) AS n, {absolute('
 ORACLES["read_crawl"] = "SELECT ord, site, url, status_code, html_size_bytes, compressed_size, CAST(crawl_depth AS INTEGER) AS crawl_depth FROM doc WHERE status_code BETWEEN 200 AND 299"
 ORACLES["fetch_guard"] = """SELECT ord, CASE WHEN h_type NOT LIKE '%text/html%' THEN 'Non-HTML content: ' || h_type WHEN CAST(h_length AS BIGINT) > 10485760 THEN 'Content length exceeds maximum limit.' END AS error_message,
     CASE WHEN h_type NOT LIKE '%text/html%' OR CAST(h_length AS BIGINT) > 10485760 THEN 0 ELSE CAST(length(html) AS INTEGER) END AS html_length FROM crawl"""
+ORACLES["read_crawl_warc"] = ORACLES["read_crawl"]
+ORACLES["fetch_guard_warc"] = ORACLES["fetch_guard"]
 TABLES["sitemap_document"] = f"SELECT page_id, {', '.join(derived.SITEMAP_DOCUMENT_COLUMNS)} FROM pages"
 ORACLES["sitemap_locs"] = r"SELECT url AS sitemap_url, unnest(regexp_extract_all(body, '(?i)<loc>\s*(https?://[^\s<]+)\s*</loc>', 1)) AS loc FROM sitemap_document"
 ORACLES["read_sitemap"] = f"""SELECT regexp_extract(d.url, '//([^/]*)', 1) AS site, d.url AS sitemap_url, replace(trim(loc), '&amp;', '&') AS loc, nullif(lastmod, '') AS lastmod,

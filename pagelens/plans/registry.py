@@ -21,7 +21,7 @@ from pagelens.plans import derived
 from pagelens.plans.snapshot import Snapshot, derived_snapshot, scratch
 from pagelens.sources import crawl as crawl_source
 from pagelens.session import spread
-from pagelens.sources import robots, sinks, sitemap
+from pagelens.sources import robots, sinks, sitemap, warc
 from pagelens.streaming import audit as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,29 @@ def _read_crawl(spark, sf_dir):
     )
 
 
+READ_OUT = ["ord", "site", "url", "status_code", "html_size_bytes", "compressed_size", "crawl_depth"]
+
+
+def _archived(spark, sf_dir):
+    path = scratch(spark, "crawl-warc")
+    warc.write_crawl_warc(derived.derived_crawl(spark, sf_dir), path)
+    return path
+
+
+@query("read_crawl_warc")
+def _read_crawl_warc(spark, sf_dir):
+    """The derived crawl, stored as archives; no body is unpacked."""
+    crawl = crawl_source.read_crawl(spark, _archived(spark, sf_dir), fmt="warc", columns=[*READ_OUT, "error_message"])
+    return crawl_source.successful(crawl).select(*READ_OUT)
+
+
+@query("fetch_guard_warc")
+def _fetch_guard_warc(spark, sf_dir):
+    """The guard over the same archives, bodies included."""
+    crawl = crawl_source.read_crawl(spark, _archived(spark, sf_dir), fmt="warc")
+    return crawl_source.fetch_guard(crawl).selectExpr("ord", "error_message", "length(html) as html_length")
+
+
 table("fetch_guard", lambda s: crawl_source.fetch_guard(s.crawl), "ord", "error_message", "length(html) as html_length")
 
 

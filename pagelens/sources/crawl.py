@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from pagelens.functions.arrays import lit, present
 from pagelens.operators.extract import header
 from pagelens.schemas import CRAWL, SITE_PROBE, STORED_DOCUMENT, URL_STATUS
+from pagelens.sources.warc import read_crawl_warc
 
 MAX_BYTES = 10 * 1024 * 1024
 
@@ -16,8 +18,14 @@ TOO_LONG = "Content length exceeds maximum limit."
 TOO_BIG = "Download size exceeded limit."
 
 
-def read_crawl(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(CRAWL).format(fmt).load(path)
+def read_crawl(spark: SparkSession, path: str, fmt: str = "parquet", columns: list[str] | None = None) -> DataFrame:
+    """A stored crawl; `fmt="warc"` reads indexed archives (`sources/warc.py`), where leaving out `html` in `columns` leaves bodies packed."""
+    shape = StructType.fromDDL(CRAWL)
+    if columns is not None:
+        shape = StructType([shape[c] for c in columns])
+    if fmt == "warc":
+        return read_crawl_warc(spark, path, shape)
+    return spark.read.schema(shape).format(fmt).load(path)
 
 
 def read_site_probe(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
