@@ -2,9 +2,10 @@
 
 Payload digests and sizes come from a narrow projection; the smallest page_id of each digest is found
 by a grouped minimum, so a payload that a third of all pages share is combined before it is shuffled.
-Pages and their references then go through one range shuffle on page_id, are sorted, and each task
-writes gzip-member-per-record archives, starting a new file when the compressed size passes
-`roll_bytes`. Headers, record ids and digests are made anew from the data alone, so a repeated task
+The bounds of the shards are exact: running sums of bytes over the sorted page_ids, not a sample, so they depend on the
+rows alone. Pages and their references then go through one range shuffle on page_id, are sorted, and each shard is
+written as gzip-member-per-record archives, starting a new file when the compressed size passes
+`roll_bytes`. Large tables have shards of SHARD_BYTES, several files each. Headers, record ids and digests are made anew from the data alone, so a repeated task
 writes the same bytes. A file is written under a temporary name and renamed; the manifest (a table)
 lists the files of finished tasks only, and the reader opens what the manifest lists.
 
@@ -26,14 +27,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import filesystem, partitions, publish, stored, text_batches, work_folder
+from pagelens.llm.running import placed
+from pagelens.llm.shared import filesystem, publish, stored, text_batches, work_folder
+from pagelens.operators.skew import salted_join
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, n_records long, n_bytes long, first_page long, last_page long, sha256 string"
+# Payload of a shard of a large table, and of one of a small table, which gets at most FEW_SHARDS.
+SHARD_BYTES = 512 << 20
+SMALL_SHARD_BYTES = 4 << 20
+FEW_SHARDS = 256
+RECORD_BYTES = 512
 _CLEAN = {c: f"%{c:02X}" for c in [*range(33), 127]}
 
 
@@ -58,34 +65,72 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def references(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(page_id, digest, first): rows whose payload is long enough and shared, with its smallest page_id."""
-    sized = pages.select("page_id", F.sha2(F.col("payload"), 256).alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes)
-    firsts = sized.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    return sized.drop("size").join(firsts, "digest").distinct()
+def references(sized: DataFrame, least_bytes: int) -> DataFrame:
+    """(page_id, digest, first): rows of sized(page_id, digest, size) that are long enough and shared, with their smallest page_id.
+
+    A digest that many rows share is salted on its way back to them.
+    """
+    long = sized.where(F.col("size") >= least_bytes).select("page_id", "digest")
+    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    return salted_join(long, firsts, ["digest"], ["page_id"], "inner").distinct()
+
+
+def shard_count(total: int) -> int:
+    """From the payload alone, so that every session deals the same shards."""
+    return max(1, -(-total // SHARD_BYTES), min(FEW_SHARDS, -(-total // SMALL_SHARD_BYTES)))
+
+
+BY_BYTES = f"size + {RECORD_BYTES}L"
+BY_ROWS = "1L"
+
+
+def shard_starts(sized: DataFrame, shards: int, weight: str = BY_BYTES) -> list[int]:
+    """The first page_id of every shard but the first: one number for each, whatever the rows. One id is never in two shards."""
+    weights = sized.groupBy("page_id").agg(F.expr(f"sum({weight})").alias("size")).withColumn("all", F.lit(0))
+    runs = placed(weights, "all", [F.col("page_id").asc_nulls_first()], F.col("size"), "warc-weights")
+    total = sized.agg(F.expr(f"sum({weight})")).first()[0] or 1
+    dealt = runs.groupBy(F.floor(F.col("start").cast("decimal(38,0)") * shards / total).alias("shard")).agg(F.min("page_id").alias("lowest"))
+    return sorted(r.lowest for r in dealt.where("lowest is not null").select("lowest").collect())[1:]
+
+
+def shard_of(starts: list[int]) -> Column:
+    """The number of starts up to page_id, by bisection; rows without page_id are in the first shard."""
+    if not starts:
+        return F.lit(0)
+    steps = ", ".join(str(1 << b) for b in reversed(range(len(starts).bit_length())))
+    known = f"from_json('{starts}', 'array<bigint>')"
+    found = f"aggregate(array({steps}), 0, (n, step) -> if(n + step <= {len(starts)} and get({known}, n + step - 1) <= page_id, n + step, n))"
+    return F.expr(f"if(page_id is null, 0, {found})")
 
 
 def write_warc(
     pages: DataFrame, folder: str, least_bytes: int = 100, roll_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 6, shards: int | None = None
 ) -> DataFrame:
-    """Write all rows of pages(page_id, url, html) below `folder`; returns the manifest, one row per file."""
+    """Write all rows of pages(page_id, url, html) below `folder`; returns the manifest, one row per file.
+
+    With `shards` there are that many shards of about equally many rows, else as many as the bytes ask for, of about equal bytes.
+    """
     spark = pages.sparkSession
     text_batches(spark)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    refs = stored(references(rows, least_bytes), "warc-references")
+    sized = stored(rows.select("page_id", F.sha2(F.col("payload"), 256).alias("digest"), F.octet_length("payload").alias("size")), "warc-sizes")
+    refs = stored(references(sized, least_bytes), "warc-references")
     if shards is None:
-        shards = partitions(spark, rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0)
+        starts = shard_starts(sized, shard_count(sized.agg(F.sum("size")).first()[0] or 0))
+    else:
+        starts = shard_starts(sized, shards, BY_ROWS)
     none = F.lit(None)
     both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("string").alias("digest"), none.cast("long").alias("first")).unionByName(
         refs.select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), "digest", "first")
     )
-    sorted_rows = both.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "url", "payload")
+    dealt = both.withColumn("shard", shard_of(starts)).repartitionById(len(starts) + 1, "shard")
+    sorted_rows = dealt.sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = filesystem(folder)
         files.create_dir(path, recursive=True)
-        shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        out = None
+        attempt = uuid.uuid4().hex
+        out = shard = None
         page, first_of, copies = object(), {}, {}
 
         def finish(o):
@@ -93,10 +138,13 @@ def write_warc(
             publish(files, o["temporary"], o["name"])
             return pa.RecordBatch.from_pylist([{"path": folder.rstrip("/") + o["name"][len(path) :], "n_records": o["n"], "n_bytes": o["size"], "first_page": o["first"], "last_page": o["last"], "sha256": o["sum"].hexdigest()}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("first_page", pa.int64()), ("last_page", pa.int64()), ("sha256", pa.string())]))
 
-        number = 0
         for rb in it:
             for i in range(rb.num_rows):
                 page_id, kind = rb.column(0)[i].as_py(), rb.column(1)[i].as_py()
+                if rb.column(6)[i].as_py() != shard:
+                    if out is not None:
+                        yield finish(out)
+                    out, shard, number = None, rb.column(6)[i].as_py(), 0
                 if page_id != page:
                     page, first_of, copies = page_id, {}, {}
                 if kind == 0:
@@ -128,7 +176,7 @@ def write_warc(
     return stored(sorted_rows.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
-def members(stream, step: int = 1 << 20) -> Iterator[bytes]:
+def members(stream, step: int = 1 << 14) -> Iterator[bytes]:
     """The decompressed records of an archive, one at a time."""
     coder, parts, data = zlib.decompressobj(31), [], b""
     while True:
@@ -167,7 +215,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = Fal
             for uri in rb.column(0).to_pylist():
                 files, path = filesystem(uri)
                 rows, held = [], 0
-                with files.open_input_stream(path, compression=None) as stream:
+                with files.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     for raw in members(stream):
                         headers, http, payload = parse(raw)
                         response = headers["warc-type"] == "response"

@@ -42,12 +42,34 @@ def test_warc_round_trip(spark, pages):
     assert any(r.url == "http://a/3%0D%0AX:%20y%20z" for r in back)
 
 
-def test_warc_is_deterministic(spark, pages):
+@pytest.mark.parametrize("shards", [1, 5, None])
+def test_warc_is_deterministic(spark, pages, shards, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_SHARD_BYTES", 4000)
+    more = pages.unionByName(spark.range(100, 140).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 100) as html", "1 as kind", "'d' as digest"))
     sums = []
-    for parts in (1, 4):
-        manifest = warc.write_warc(pages.repartition(parts), work_folder(spark, "warc-same"), shards=1, roll_bytes=20_000)
-        sums.append(sorted((f.path.rsplit("/", 1)[1], f.sha256) for f in manifest.collect()))
-    assert sums[0] == sums[1]
+    for parts in (1, 4, 3):
+        manifest = warc.write_warc(more.repartition(parts), work_folder(spark, "warc-same"), shards=shards, roll_bytes=20_000)
+        sums.append(sorted((f.path.rsplit("/", 1)[1], f.n_records, f.sha256) for f in manifest.collect()))
+    names = {n[:12] for n, _, _ in sums[0]}
+    assert all(s == sums[0] for s in sums) and len(names) >= (shards or 3) and len(sums[0]) > len(names) - (shards is None)
+
+
+def test_warc_shards_follow_the_rows_alone(spark):
+    """Bounds by hand: equal shares of bytes in page_id order, one id never in two shards."""
+    sizes = {k: 100 + 37 * (k % 11) for k in range(-50, 350)} | {120: 90_000}
+    rows = [(k, "d", n) for k, n in sizes.items()] + [(None, "d", 10), (7, "d", 10)]
+    total = sum(n + warc.RECORD_BYTES for _, _, n in rows)
+    firsts, run = {}, 0
+    for k in sorted({r[0] for r in rows}, key=lambda k: (k is not None, k or 0)):
+        firsts.setdefault(run * 8 // total, k)
+        run += sum(n + warc.RECORD_BYTES for i, _, n in rows if i == k)
+    starts = [k for k in firsts.values() if k is not None]
+    sized = spark.createDataFrame(rows, "page_id long, digest string, size int")
+    got = [warc.shard_starts(sized.repartition(p), 8) for p in (1, 5)]
+    assert got[0] == got[1] == starts
+    dealt = sized.select("page_id", warc.shard_of(starts).alias("shard")).collect()
+    assert all(r.shard == sum(s <= r.page_id for s in starts) if r.page_id is not None else r.shard == 0 for r in dealt)
+    assert warc.shard_count(0) == 1 and warc.shard_count(100 << 20) == 25 and warc.shard_count(1 << 47) == (1 << 47) // warc.SHARD_BYTES
 
 
 def test_warc_damage_is_noticed():
