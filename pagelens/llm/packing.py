@@ -5,9 +5,11 @@ piece rows are dealt out evenly (round robin over sorted rows, so neither a long
 repeated id fills one task and a repeated task sees the same rows) and every task packs blocks of at
 most `block` pieces:
 best fit, longest piece first, each into the open sequence that it fills best. If none has room, a new
-sequence is opened with the length of least cost per token: its length and a fixed overhead, over
-the tokens that what is still unpacked could put into it. At the end every sequence is downsized to
-the smallest permitted length that holds its contents.
+sequence is opened with the length of least cost per token: its price (its length, a fixed overhead, and
+what attention adds, which grows with the square of the length) over the tokens that the lengths still
+unpacked can put into it, largest first. At the end every sequence is downsized to the smallest permitted
+length that holds its contents. A block is also packed with one opening length throughout, for each
+permitted length, and the packing of least total price is kept: several lengths never cost more than one.
 
 Defined results
   * each piece is placed exactly once, at an offset where no other piece of its bin lies;
@@ -30,6 +32,8 @@ from pagelens.llm.shared import text_of
 
 CAPACITIES = (512, 1024, 2048, 4096)
 ROWS_EACH = 200_000
+# Attention costs as much as all else at about six times the width of a model, here 4096.
+ATTENTION = 6 * 4096
 
 
 def word_length(docs: DataFrame) -> Column:
@@ -37,19 +41,43 @@ def word_length(docs: DataFrame) -> Column:
     return F.regexp_count(text_of(docs), F.lit(r"\S+")) + 1
 
 
-def opened(length: int, unpacked: int, capacities: tuple[int, ...], overhead: int) -> int:
+def price(capacity: int, overhead: int, attention: int | None) -> float:
+    """A sequence's cost in tokens; with `attention` the length at which attention costs as much as all else."""
+    return capacity + overhead + (capacity * capacity / attention if attention else 0)
+
+
+def reachable(length: int, capacity: int, counts: list[int], has: int) -> int:
+    """Tokens that a sequence opened for a piece can get from the unpacked lengths, largest first; bit n of `has` is set if counts[n]."""
+    room = bound = capacity - length
+    while fits := has & ((2 << min(room, bound)) - 1):
+        n = fits.bit_length() - 1
+        room -= n * min(counts[n], room // n)
+        bound = n - 1
+    return capacity - room
+
+
+def opened(length: int, unpacked: int, capacities: tuple[int, ...], overhead: int, attention: int | None = None, fill=None) -> int:
     """The permitted length of least cost per token that holds a piece of `length`; ties go to the longer one."""
-    return min((c for c in capacities if c >= length), key=lambda c: ((c + overhead) / min(c, unpacked), -c))
+    fill = fill or (lambda c: min(c, unpacked))
+    return min((c for c in capacities if c >= length), key=lambda c: (price(c, overhead, attention) / fill(c), -c))
 
 
-def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(bin, offset) of each piece, and the final length of each bin. `lengths` descends."""
+def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int, attention: int | None = None, least: int | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(bin, offset) of each piece, and the final length of each bin. `lengths` descends.
+
+    With `least` every bin opens at that length, or the next that holds its piece.
+    """
     room: dict[int, list[int]] = {}
     has = 0  # bit r is set when an open bin has r tokens of room
     filled: list[int] = []
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     unpacked = int(lengths.sum())
+    counts = np.bincount(lengths, minlength=1).tolist()
+    left_over = sum(1 << n for n, k in enumerate(counts) if k and n)
     for i, n in enumerate(lengths.tolist()):
+        counts[n] -= 1
+        if not counts[n]:
+            left_over ^= 1 << n
         fits = has >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
@@ -57,7 +85,11 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) ->
             if not room[r]:
                 has ^= 1 << r
         else:
-            r, b = opened(n, unpacked, capacities, overhead), len(filled)
+            if least is None:
+                r = opened(n, unpacked, capacities, overhead, attention, lambda c: reachable(n, c, counts, left_over))
+            else:
+                r = next(c for c in capacities if c >= max(n, least))
+            b = len(filled)
             filled.append(0)
         bins[i], offsets[i] = b, filled[b]
         filled[b] += n
@@ -68,7 +100,13 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int) ->
     return bins, offsets, [next(c for c in capacities if c >= f) for f in filled]
 
 
-def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = 8, block: int = ROWS_EACH) -> DataFrame:
+def cheapest(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int, attention: int | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The packing of least total price: lengths chosen bin by bin, or one opening length throughout. Ties go to the first."""
+    tries = (best_fit(lengths, capacities, overhead, attention, least) for least in (None, *capacities))
+    return min(tries, key=lambda found: sum(price(c, overhead, attention) for c in found[2]))
+
+
+def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = 8, block: int = ROWS_EACH, attention: int | None = ATTENTION) -> DataFrame:
     """(doc_id, piece, length, bin, capacity, offset): one row per piece, with the sequence that holds it."""
     spark = docs.sparkSession
     capacities = tuple(sorted(capacities))
@@ -88,7 +126,7 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
         def flush(rows: pa.Table) -> pa.RecordBatch:
             nonlocal first
             rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
-            bins, offsets, lengths = best_fit(rows["length"].to_numpy(), capacities, overhead)
+            bins, offsets, lengths = cheapest(rows["length"].to_numpy(), capacities, overhead, attention)
             out = pa.RecordBatch.from_arrays(
                 [*(rows[c].combine_chunks() for c in ("doc_id", "piece", "length")), pa.array(bins + first), pa.array(np.array(lengths, np.int32)[bins]), pa.array(offsets.astype(np.int32))],
                 ["doc_id", "piece", "length", "bin", "capacity", "offset"],

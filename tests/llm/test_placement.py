@@ -96,3 +96,41 @@ def test_best_fit_beats_the_bounds():
     fill = np.bincount(bins, weights=lengths)
     assert (fill <= np.array(capacity)).all() and (np.array(capacity) - fill).sum() < 0.02 * lengths.sum()
     assert packing.opened(10, 10, (64, 128, 256), 4) == 64 and packing.opened(10, 10_000, (64, 128, 256), 4) == 256
+
+
+def total(found, attention):
+    return sum(packing.price(c, 8, attention) for c in found[2])
+
+
+def test_lengths_are_chosen_by_what_can_fill_them():
+    sizes = packing.CAPACITIES
+    alike = packing.cheapest(np.full(1000, 500), sizes, 8, packing.ATTENTION)
+    assert set(alike[2]) == {512} and len(alike[2]) == 1000
+    # Three of 680 fill 2,040 of 2,048; one alone wastes a third of 1,024.
+    assert set(packing.cheapest(np.full(900, 680), sizes, 8, packing.ATTENTION)[2]) == {2048}
+    mixed = np.sort(np.concatenate([np.full(40, 500), np.full(30, 1020), np.full(30, 680), np.full(7, 4090), np.full(9, 1365)]))[::-1]
+    assert set(packing.cheapest(mixed, sizes, 8, packing.ATTENTION)[2]) == set(sizes)
+
+
+def test_several_lengths_never_cost_more_than_one():
+    r = np.random.default_rng(7)
+    for attention in (None, 65536, 8192):
+        for lengths in (r.integers(1, 4097, 700), r.integers(1, 600, 700), r.choice([3, 500, 680, 2100], 700), np.array([4096]), np.array([1, 1, 1])):
+            lengths = np.sort(lengths)[::-1]
+            found = packing.cheapest(lengths, packing.CAPACITIES, 8, attention)
+            assert (np.bincount(found[0], weights=lengths) <= np.array(found[2])).all()
+            assert found[0].max() + 1 == len(found[2])
+            for c in packing.CAPACITIES:
+                assert total(found, attention) <= total(packing.best_fit(lengths, packing.CAPACITIES, 8, attention, c), attention)
+
+
+def test_reachable_against_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        lengths = r.integers(1, 40, r.integers(0, 12)).tolist()
+        capacity, first = 64, int(r.integers(1, 60))
+        room = capacity - first
+        for n in sorted(lengths, reverse=True):
+            room -= n if n <= room else 0
+        counts = np.bincount(lengths, minlength=65).tolist() if lengths else [0] * 65
+        assert packing.reachable(first, capacity, counts, sum(1 << n for n, k in enumerate(counts) if k)) == capacity - room
