@@ -217,6 +217,28 @@ def links(docs: DataFrame, feats: DataFrame, size: int, percent: int) -> DataFra
     return blocks.groupBy("cluster", "a", "i", "b", "j").applyInArrow(lambda t: block_forest(t, percent), "u long, v long")
 
 
+HOT_SHARE = 200
+
+
+def class_roots(feats: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n, class, root) of every row: the component of its class of equal sets.
+
+    Components meet the classes, one row each, before the rows do. A class with more than 1/HOT_SHARE of the rows is
+    joined by broadcast (there are fewer than HOT_SHARE of them), and rows without a class meet nothing, so no key is hot.
+    """
+    narrow = feats.select("doc_id", "n", "class")
+    classes = narrow.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    known = stored(joined.select("class", "members", F.coalesce("root", "rep").alias("root")), "minhash-classes")
+    common = F.col("members") * HOT_SHARE > feats.count()
+    hot = F.broadcast(known.where(common).select("class", "root"))
+    classed = narrow.where("class is not null")
+    of_hot = classed.join(hot, "class")
+    others = classed.join(hot.select("class"), "class", "left_anti").join(known.where(~common).select("class", "root"), "class", "left")
+    without = narrow.where("class is null").withColumn("root", F.lit(None).cast("long"))
+    return of_hot.unionByName(others).unionByName(without)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     text_batches(docs.sparkSession)
@@ -225,11 +247,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     rows = rows_for(percent / 100.0)
     feats = stored(features(docs, size, rows, bands_for(percent / 100.0, rows, miss)), "minhash-features")
     found = components(links(docs, feats, size, percent), "minhash-components")
-    narrow = feats.select("doc_id", "n", "class")
-    classes = narrow.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    classed = narrow.join(classes, "class", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    rooted = classed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    root = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
+    rooted = class_roots(feats, found)
+    root = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     out = rooted.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
     return out.select(F.col("doc_id").cast(kind), "n_shingles", F.col("component_id").cast(kind), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
