@@ -20,7 +20,8 @@ with suffixes of at least two documents are refined, by the bucket identifiers o
 Identifiers are 64-bit mixes, not ranks: two different strings of one bucket share one with
 probability 2^-64. Equal surroundings within a chunk are sent once, for the smallest id; the others are
 decided on the spot. Identifiers found in more than `hot` documents are not refined in one place: their
-strings are dealt out by the identifier of their whole length, once per chunk.
+strings are dealt out by the identifier of their whole length, once per chunk. There is a bucket for every
+`bucket_bytes` of text, so what a task holds at once does not grow with the table.
 
 Defined results
   * null and empty texts, and texts shorter than `length`, lose nothing; a null text counts as empty;
@@ -48,6 +49,7 @@ from pagelens.llm.shared import partitions, stored, text_batches, work_folder
 Q = 20
 KEY_BYTES = 5
 HOT = 4000
+BUCKET_BYTES = 3 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.iinfo(np.int64).max
@@ -119,7 +121,8 @@ class Chunk:
 
 
 def place(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    """Bucket of each identifier. The upper half decides: least identifiers are small, so fewer bits would not fill many buckets."""
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def short(key: np.ndarray) -> bytes:
@@ -139,8 +142,15 @@ def grouped_by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(values[part[0]]), part
 
 
-def packed_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """(chunk, body): Arrow batches of whole rows, stored bucketed by chunk."""
+def cut_at(edges: np.ndarray, mask: np.ndarray, body: bytes, width: int) -> pa.Array:
+    """`body`, the `width` bytes of each masked entry, as one binary value for the entries from each edge to the next."""
+    before = np.append(0, np.cumsum(mask))
+    offsets = (before[np.append(edges, len(mask))] * width).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body)])
+
+
+def packed_chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """(chunk, body): Arrow batches of whole rows, stored bucketed by chunk; and the bytes of all texts."""
     spark = docs.sparkSession
     text_at = docs.columns.index("text")
 
@@ -177,10 +187,10 @@ def packed_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
     chunks = docs.mapInArrow(pack, "chunk long, body binary")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions(spark, total)
+    parts = partitions(spark, total)
     name = f"pagelens_chunks_{uuid.uuid4().hex}"
-    chunks.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", work_folder(spark, "chunks")).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    chunks.repartition(parts, "chunk").write.bucketBy(parts, "chunk").option("path", work_folder(spark, "chunks")).option("compression", "uncompressed").saveAsTable(name)
+    return spark.table(name), total
 
 
 def opened(body: bytes) -> pa.RecordBatch:
@@ -188,7 +198,12 @@ def opened(body: bytes) -> pa.RecordBatch:
     return table.to_batches()[0]
 
 
-def shared_keys(chunks: DataFrame, as_chunk: Callable[[pa.RecordBatch], Chunk], buckets: int, hot: int) -> DataFrame:
+def by_bucket(rows: DataFrame, parts: int) -> DataFrame:
+    """`rows` dealt out by bucket, over as many partitions as the texts need."""
+    return rows.repartition(parts, "bucket")
+
+
+def shared_keys(chunks: DataFrame, as_chunk: Callable[[pa.RecordBatch], Chunk], buckets: int, parts: int, hot: int) -> DataFrame:
     """(chunk, lists): for each chunk the keys that more than one document has; the hot ones in a list of their own."""
     sent = "chunk long, bucket long, single binary, several binary, counts binary"
 
@@ -203,12 +218,17 @@ def shared_keys(chunks: DataFrame, as_chunk: Callable[[pa.RecordBatch], Chunk],
                 fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
                 key = key[fresh]
                 keys, counts = np.unique(key, return_counts=True)
-                rows = []
-                for b, part in grouped_by(place(keys, buckets)):
-                    k, n = keys[part], counts[part]
-                    rows.append({"chunk": number, "bucket": b, "single": short(k[n == 1]), "several": short(k[n > 1]), "counts": n[n > 1].astype("<u4").tobytes()})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("single", pa.binary()), ("several", pa.binary()), ("counts", pa.binary())]))
+                bucket = place(keys, buckets)
+                order = np.argsort(bucket, kind="stable")
+                keys, counts, bucket = keys[order], counts[order], bucket[order]
+                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
+                one = counts == 1
+                if len(keys):
+                    columns = [
+                        pa.array(np.full(len(edges), number)), pa.array(bucket[edges]), cut_at(edges, one, short(keys[one]), KEY_BYTES),
+                        cut_at(edges, ~one, short(keys[~one]), KEY_BYTES), cut_at(edges, ~one, counts[~one].astype("<u4").tobytes(), 4),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "single", "several", "counts"])
 
     answer = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())])
 
@@ -234,12 +254,16 @@ def shared_keys(chunks: DataFrame, as_chunk: Callable[[pa.RecordBatch], Chunk],
             rows.append({"chunk": numbers[k], "bucket": bucket, "shared": short(mine[n <= hot]), "hot": short(mine[n > hot])})
         return pa.Table.from_pylist(rows, schema=answer)
 
-    answers = chunks.mapInArrow(send, sent).groupBy("bucket").applyInArrow(decide, "chunk long, bucket long, shared binary, hot binary")
+    answers = by_bucket(chunks.mapInArrow(send, sent), parts).groupBy("bucket").applyInArrow(decide, "chunk long, bucket long, shared binary, hot binary")
     return stored(answers, "shared-keys").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("lists"))
 
 
 def member(keys: np.ndarray, lists: list[dict], field: str, buckets: int) -> np.ndarray:
-    """Which of `keys` are named by the chunk's lists (bucket and short key)."""
+    """Which of `keys` are named by the chunk's lists (bucket and short key).
+
+    Beyond 2^24 buckets the upper bits of the bucket fall away: a key may then be named in error, which costs
+    a comparison and changes no result, for the whole strings decide.
+    """
     known = [((np.uint64(x["bucket"]) << np.uint64(40)) | long(x[field])) for x in lists if x[field]]
     if not known:
         return np.zeros(len(keys), bool)
@@ -390,20 +414,21 @@ def kept_bytes(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(raw[a:e] for a, e in zip(cuts[::2], cuts[1::2]))
 
 
-def with_spans(docs: DataFrame, finish: Callable[[Chunk, list[np.ndarray]], pa.RecordBatch], schema: str, length: int = 50, chunk_bytes: int = 2 << 20, hot: int = HOT) -> DataFrame:
+def with_spans(docs: DataFrame, finish: Callable[[Chunk, list[np.ndarray]], pa.RecordBatch], schema: str, length: int = 50, chunk_bytes: int = 2 << 20, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Run `finish` on every chunk of `docs` (doc_id, text, ...) and the removed runs of its rows."""
     if not Q < length <= 4 * Q:
         raise ValueError(f"length must be over {Q} and at most {4 * Q}")
     spark = docs.sparkSession
     docs = docs.withColumn("text", docs["text"].cast("string"))
     text_batches(spark)
-    chunks = packed_chunks(docs, chunk_bytes)
-    buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    chunks, total = packed_chunks(docs, chunk_bytes)
+    parts = partitions(spark, total)
+    buckets = max(4 * parts, -(-total // bucket_bytes))
 
     def as_chunk(batch: pa.RecordBatch) -> Chunk:
         return Chunk(batch, "doc_id", "text", length)
 
-    lists = shared_keys(chunks, as_chunk, buckets, hot)
+    lists = shared_keys(chunks, as_chunk, buckets, parts, hot)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
@@ -413,7 +438,7 @@ def with_spans(docs: DataFrame, finish: Callable[[Chunk, list[np.ndarray]], pa.R
                     yield pa.RecordBatch.from_pylist(rows, schema=SENT)
 
     sent = chunks.join(lists, "chunk").select("chunk", "body", "lists").mapInArrow(send, "chunk long, bucket long, kind byte, body binary")
-    runs = sent.groupBy("bucket").applyInArrow(lambda t: refined(t, length), "chunk long, body binary")
+    runs = by_bucket(sent, parts).groupBy("bucket").applyInArrow(lambda t: refined(t, length), "chunk long, body binary")
     runs = stored(runs, "repeated-runs").groupBy("chunk").agg(F.collect_list("body").alias("runs"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

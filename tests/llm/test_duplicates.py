@@ -50,9 +50,10 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
-def test_near_duplicates_match_brute_force(spark, size, percent):
-    rows = near_rows()
+@pytest.mark.parametrize("size, percent, hot_share", [(3, 85, minhash.HOT_SHARE), (5, 80, 30)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, size, percent, hot_share):
+    monkeypatch.setattr(minhash, "HOT_SHARE", hot_share)
+    rows = near_rows() + [(3000 + k, prose(91, 70)) for k in range(40)]  # a common class and many rare ones
     sets = {}
     for i, t in rows:
         if i is not None:
@@ -164,13 +165,23 @@ def substring_rows():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 700, "hot": 5}, {"chunk_bytes": 3000, "hot": 40}])
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 700, "hot": 5, "bucket_bytes": 60}, {"chunk_bytes": 3000, "hot": 40}])
 def test_repeated_substrings_match_brute_force(spark, options):
     rows = substring_rows()
     got = substrings.repeat_report(documents(spark, rows), 50, **options).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeats(rows, 50)
 
 
+def test_buckets_are_even_for_least_identifiers():
+    raw = np.frombuffer(np.random.default_rng(3).bytes(400_000), np.uint8)
+    keys = np.unique(substrings.least(substrings.identifiers(raw, substrings.Q), 31))
+    buckets = 1000
+    sizes = np.bincount(substrings.place(keys, buckets), minlength=buckets)
+    assert sizes.min() > 0 and sizes.max() < 3 * sizes.mean()
+    few = np.bincount(substrings.place(keys, 1 << 24), minlength=1 << 24)
+    assert few.max() <= 3
+
+
 def test_repeats_are_cut_by_whole_characters(spark):
     rows = [(1, "é" * 40), (2, "aé" + "é" * 40 + "z"), (3, None), (4, "keep this")]
     out = substrings.without_repeats(documents(spark, rows))
