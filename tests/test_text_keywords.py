@@ -94,3 +94,46 @@ def test_readability_edges(spark):
     m = spark.createDataFrame([("<p>One two.</p> three!! <br>",), ("<b></b>",)], "h string").select(F.expr(content_metrics(visible_text("h")))).collect()
     # "One two. three!!": o-e, o, ee.
     assert tuple(m[0][0]) == (3, 16, 2, 4) and tuple(m[1][0]) == (0, 0, 1, 0)
+
+
+def test_counts_by_chunk_equal_the_occurrences(spark, monkeypatch):
+    """Rows of equal and null ids, null texts and sites, hyphens and placement, in chunks of a row or of all rows."""
+    rows = [
+        ("a", 1, "u/Hello-World", "hello world", "guide", ["big hello"], "Hello hello world guide hello world the big"), ("a", 2, "x/guide", None, None, [], "guide guide hello world"),
+        ("a", None, "x/guide", None, None, [], "zebra guide hello world"), (None, 3, None, None, None, [None, "zebra"], "--- -zebra zebra- xylo guide"), ("b", 4, "q", "t", "d", ["h"], None),
+        ("b", 7, "q", "cat", "d", None, "straße cat-dog -- --abc"), ("a", 1, "u", "", "", [""], "big hello world hello"), ("b", 7, "q", "cat", "d", None, "dog cat cat"), ("c", 9, "q", "t", "d", [], ""),
+    ]
+    tokenized = K.tokens(spark.createDataFrame(rows, "site string, ord long, url string, title string, description string, headings array<string>, text string").coalesce(1))
+    plain = K.occurrences(tokenized).groupBy("site", "term", "n").agg(
+        F.count("*").alias("count"), F.expr("sum(int(is_first))").alias("n_pages"), F.min(F.expr(K.FIRST_SEEN)).alias("seen"), *[F.max(f).alias(f) for f in K.FLAGS]
+    )
+    place = "cast(seen as bigint) as ord", "cast((seen - floor(seen)) * 10000000000 as int) as pos"
+    want = sorted(map(repr, plain.selectExpr("site", "term as keyword", "n", "count", "n_pages", *place, *K.FLAGS).collect()))
+    table = K.keyword_table(tokenized).selectExpr("site", "keyword", "n", "count", "n_pages", "first_seen.ord as ord", "first_seen.pos as pos", *K.FLAGS)
+    assert sorted(map(repr, table.collect())) == want
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["abc def", None, "ghi"])})
+    monkeypatch.setattr(K, "CHUNK_BYTES", 1)
+    assert [c.num_rows for c in K.chunks(batch)] in ([1, 1, 1], [1, 2], [2, 1])
+
+
+def test_a_task_counts_phrases_once(spark):
+    """What is dealt out is a row for each phrase of a chunk, not one for each occurrence."""
+    texts = spark.createDataFrame([("s", k, "alpha beta gamma alpha beta gamma") for k in range(50)], "source string, doc_id long, text string").coalesce(1)
+    plan = K.keyword_table(K.tokens(K.document_text(texts)))._jdf.queryExecution().executedPlan().toString()
+    assert "inline" not in plan and "MapInArrow" in plan
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
+    """An input of any size is dealt out by its bytes, though it lies in one row group."""
+    from pagelens.session import spread
+
+    spark.range(200_000).selectExpr("id", "uuid() as body").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert size > 64 * cores << 10
+    parts = spread(df, 64 << 10).rdd.getNumPartitions()
+    assert parts >= size // (64 << 10) and spread(df, 1 << 40).rdd.getNumPartitions() == max(cores, df.rdd.getNumPartitions())
