@@ -126,3 +126,58 @@ def test_short_items_in_a_third_of_the_documents(spark):
     everywhere = [(k, t + " " + items[0][1]) if k % 3 else (k, t) for k, t in docs if k >= 10_000]
     got = decontaminate.leaks(documents(spark, everywhere), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, 0) for k, t in everywhere if k % 3}
+
+
+def scores(space, texts):
+    """(text of each window, exact and latent scores of all windows with all passages, what `passages` tells), without lists or bounds."""
+    ids, counts = decontaminate.text_words(pa.array(texts))
+    text, _, _, norm, w, word, weight = decontaminate.passages(space.vocabulary.numbers(ids), counts, space.idf, space.other, 16, None, 8)
+    rows = np.zeros((len(text), len(space.idf)))
+    rows[w, word] = weight
+    over = np.minimum(norm[:, None], space.length)
+    return text, rows @ space.units / over, rows @ (space.basis @ space.latent.T) / over, (norm, w, word, weight)
+
+
+def paraphrases():
+    """Nine short items and eight long ones, and documents with the long ones, every third word replaced."""
+    items, docs, _ = crowded()
+    items = items[:17]
+    for k, text in items[9:]:
+        words = text.split()
+        words[k % 3 :: 3] = [f"r{k}x{j}" for j in range(len(words[k % 3 :: 3]))]
+        docs.append((2000 + k, " ".join(words)))
+    return items, docs
+
+
+def test_the_truncated_space_retrieves(spark):
+    """Fewer directions than passages, pairs only through them, no exact candidate lost, latent ones besides."""
+    items, docs = paraphrases()
+    space = decontaminate.latent_space(documents(spark, docs), items, 16, 1000, 2, 0.3, 0.6, 0.5)
+    assert space.basis.shape[1] == space.latent.shape[1] < 0.95 * len(space.length)
+    near = space.basis @ space.latent.T
+    assert 0.01 < ((space.units - near) ** 2).sum(axis=0).max() <= decontaminate.TAIL + 1e-3
+    _, exact, latent, windows = scores(space, [t for _, t in docs])
+    got = {(k, p): s for ks, ps, ss in decontaminate.retrieved(*windows, space, step=50) for k, p, s in zip(ks.tolist(), ps.tolist(), ss.tolist())}
+    assert set(zip(*(x.tolist() for x in np.nonzero((exact >= 0.3 + 1e-5) | (latent >= 0.3 + 1e-5))))) <= set(got)
+    assert all(max(exact[pair], latent[pair]) >= 0.3 - 1e-5 for pair in got)
+    assert all(abs(s - (exact if exact[pair] >= 0.3 else latent)[pair]) < 1e-4 for pair, s in got.items() if abs(exact[pair] - 0.3) > 1e-5)
+    assert any(exact[pair] < 0.29 for pair in got) and any(latent[pair] < 0.299 for pair in got)
+
+
+def test_a_leak_that_only_the_latent_space_reaches(spark):
+    """The limit lies between the best exact and the best latent score of a document's windows with its item."""
+    items, rows = paraphrases()
+    docs, table = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    space = decontaminate.latent_space(docs, items, 16, 1000, 2, 0.3, 0.6, 0.5)
+    known = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, table).collect()}
+    text, exact, latent, _ = scores(space, [t for _, t in rows])
+    best = []
+    for n, (doc, _) in enumerate(rows):
+        if (doc, doc - 2000) in known:
+            own = np.ix_(text == n, [items[i][0] == doc - 2000 for i in space.passage_item])
+            best.append((latent[own].max() - exact[own].max(), exact[own].max(), latent[own].max(), doc))
+    gap, low, high, doc = max(best)
+    assert gap > 0.002
+    limit = float(low + high) / 2
+    got = {(r.doc_id, r.item_id): r.cosine for r in decontaminate.leaks(docs, table, cosine=limit).collect()}
+    assert limit < got[doc, doc - 2000] <= high + 1e-4
