@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
 def test_checking_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, folder)
