@@ -137,3 +137,113 @@ def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
     assert size > 64 * cores << 10
     parts = spread(df, 64 << 10).rdd.getNumPartitions()
     assert parts >= size // (64 << 10) and spread(df, 1 << 40).rdd.getNumPartitions() == max(cores, df.rdd.getNumPartitions())
+
+
+def moved(plan):
+    """Bytes that the shuffles of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return moved(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return moved(plan.plan())
+    own = plan.metrics().get("shuffleBytesWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+    below = plan.children()
+    return own + sum(moved(below.apply(k)) for k in range(below.size()))
+
+
+def test_phrases_move_in_fewer_bytes_than_their_text(spark, tmp_path):
+    import random
+
+    from pagelens.plans.registry import QUERIES
+
+    some = random.Random(5)
+    words = ["".join(some.choice("abcdefghijklmnop") for _ in range(some.randint(3, 10))) for _ in range(4000)]
+    rows = [(k, " ".join(some.choice(words) for _ in range(600)), f"s{k % 5}") for k in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["document_keyword_count"](spark, str(tmp_path)).selectExpr("sum(count) as n", "count(*) as rows")
+    n = found.first().n
+    want = sum(1 for _, text, _ in rows for _ in brute_terms(brute_tokens(text)))
+    assert n == want and moved(found._jdf.queryExecution().executedPlan()) == 0  # first() runs a plan of its own
+    found.collect()
+    assert 0 < moved(found._jdf.queryExecution().executedPlan()) < 2.5 * sum(len(text) for _, text, _ in rows)
+
+
+def test_buckets_hold_every_phrase_once(monkeypatch):
+    """Phrases of several chunks, of common and other first words, of null sites and with wide numbers, meet once each."""
+    import random
+
+    import pyarrow as pa
+
+    some = random.Random(3)
+    words = ["alpha", "beta-gamma", "the", "delta", "epsilon", "zeta", "of", "x-ray"] + [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows = [(some.choice(["a", "b", None, ""]), k, " ".join(some.choice(words[:8] if some.random() < 0.5 else words) for _ in range(some.randint(0, 60)))) for k in range(200)]
+    rows += [("a", 1 << 40, None), ("c", -5, "alpha delta"), ("c", None, "alpha delta delta")]
+    none = [None] * len(rows)
+    table = {"site": [r[0] for r in rows], "ord": pa.array([r[1] for r in rows], pa.int64()), "title": pa.array(none, pa.string()), "description": pa.array(none, pa.string()),
+             "headings": pa.array(none, pa.list_(pa.string())), "url": [f"u/{'delta' if k % 50 == 0 else ''}" for k in range(len(rows))], "text": pa.array([r[2] for r in rows], pa.string())}
+    batches = pa.Table.from_pydict(table).to_batches(max_chunksize=17)
+    want = {}
+    for k, (site, order, text) in enumerate(rows):
+        for n, pos, term in brute_terms(brute_tokens(text or "")):
+            x = want.setdefault((site, term, n), [0, set(), [], False])
+            x[0] += 1
+            x[1].add(k)
+            x[2] += [(order, pos)] if order is not None else []
+            x[3] |= n == 1 and term in table["url"][k]
+    for chunk_bytes in (1, 900, 1 << 20):
+        monkeypatch.setattr(K, "CHUNK_BYTES", chunk_bytes)
+        for placed in (False, True):
+            sent = pa.Table.from_batches(K.part_counts(iter(batches), [7, 3, 9], ["alpha", "delta"], (1, 2, 3), placed))
+            got = {}
+            for bucket in (7, 3, 9):
+                mine = sent.filter(pa.compute.equal(sent["bucket"], bucket))
+                assert mine.num_rows
+                for r in (r for rb in K.merged(iter(mine.to_batches()), placed) for r in rb.to_pylist()):
+                    assert (r["site"], r["term"], r["n"]) not in got
+                    got[r["site"], r["term"], r["n"]] = r
+            assert set(got) == set(want)
+            for key, (count, pages, seen, in_url) in want.items():
+                assert (got[key]["count"], got[key]["n_pages"]) == (count, len(pages))
+                if placed:
+                    assert (got[key]["ord"], got[key]["pos"] if seen else 0) == (min(seen) if seen else (None, 0)) and got[key]["in_url"] == in_url and not got[key]["in_title"]
+    once = [r for rb in K.part_counts(iter(batches), [0], [], (1,), False) for r in rb.to_pylist()]
+    assert {r["n"] for rb in K.merged(iter([pa.RecordBatch.from_pylist(once)]), False) for r in rb.to_pylist()} == {1}
+
+
+def test_a_common_word_does_not_fill_a_bucket():
+    import numpy as np
+    import pyarrow as pa
+
+    words = pa.array([f"word{k}" for k in range(1000)], pa.large_string())
+    found = {"w1": np.ones(1000, np.int32), "w2": np.arange(1, 1001, dtype=np.int32), "w3": np.zeros(1000, np.int32), "site": np.zeros(1000, np.int32)}
+    plain, dealt = (np.bincount(K.share_of(words, pa.array(["s"]), found, 10, common), minlength=10) for common in ([], ["word0"]))
+    assert plain.max() == 1000 and dealt.max() < 200
+
+
+def test_keys_beyond_64_bits_stay_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    key = K.next_key(np.array([1 << 61, 5, 1 << 61, 7]), 1 << 20, np.array([3, 3, 3, 4]))
+    assert key[0] == key[2] > key[3] > key[1]
+    words, sites = pa.array([f"w{k}" for k in range(3_000_000)], pa.large_string()), pa.array(["a", "b"], pa.large_string())
+    found = {"w1": [5, 5, 5, 6], "w2": [2_999_999] * 4, "w3": [7, 7, 8, 7], "site": [1, 1, 1, 0], "count": [1, 2, 4, 8], "n_pages": [1] * 4}
+    rows = [r for rb in K.merged_share(words, sites, {k: np.array(v, np.int32) for k, v in found.items()}, False) for r in rb.to_pylist()]
+    assert sorted((r["term"], r["site"], r["count"]) for r in rows) == [("w4 w2999998 w6", "a", 3), ("w4 w2999998 w7", "a", 4), ("w5 w2999998 w6", None, 8)]
+
+
+def test_tokens_between_hyphens():
+    import random
+
+    import pyarrow as pa
+
+    some = random.Random(9)
+    texts = ["".join(some.choice("ab-- é.") for _ in range(some.randint(0, 40))) for _ in range(3000)] + ["", "---", "abc-", "-def", "--abc--", "ab-", "-c", "a--b"]
+    tokens, size = K.text_tokens(pa.array(texts))
+    assert size.tolist() == [len(brute_tokens(t)) for t in texts] and tokens.to_pylist() == [w for t in texts for w in brute_tokens(t)]
+
+
+def test_buckets_are_dealt_to_partitions_of_their_own(spark):
+    keys = K.even_keys(spark, 7)
+    parts = spark.createDataFrame([(k,) for k in keys], "bucket long").repartition(7, "bucket").selectExpr("spark_partition_id() as p").distinct()
+    assert len(set(keys)) == 7 and parts.count() == 7
